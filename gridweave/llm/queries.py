@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, secrets, sharding
+from . import decontaminate, jaccard, mixing, secrets, sharding, substrings
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_secrets": secrets.op3_secrets,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op9_jaccard": jaccard.op9_jaccard,
+    "op10_substrings": substrings.op10_substrings,
 }
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op7_sharding": sharding.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op10_substrings": substrings.OP10_SQL,
 }
