@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, secrets, sharding, substrings
+from . import decontaminate, jaccard, mixing, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_secrets": secrets.op3_secrets,
+    "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard": jaccard.op9_jaccard,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op7_sharding": sharding.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op10_substrings": substrings.OP10_SQL,
