@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, mixing, secrets, sharding, substrings, warc
+from . import classlm, decontaminate, jaccard, mixing, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_secrets": secrets.op3_secrets,
+    "op4_quality": quality.op4_quality,
+    "op5_classlm": classlm.op5_classlm,
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_mixing": mixing.op8_mixing,
