@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import classlm, decontaminate, jaccard, mixing, quality, secrets, sharding, substrings, warc
+from . import classlm, decontaminate, html, jaccard, mixing, quality, secrets, sharding, substrings, warc
 
 QUERIES = {
+    "op1_html": html.op1_html,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_secrets": secrets.op3_secrets,
     "op4_quality": quality.op4_quality,
