@@ -80,7 +80,7 @@ def summarised(s: Samples, counter: bool, policy: ResetPolicy) -> DataFrame:
     spots = F.concat(
         places(F.greatest(enters, F.coalesce(at_or_after(pt + w), enters)), leaves, FIRST),
         places(enters, F.least(leaves, F.coalesce(at_or_after(F.col("nt")) - 1, leaves)), LAST),
-        F.when(F.col("reset"), places(enters, F.least(leaves, at_or_after(pt + reach) - (0 if reach > w else 1)), RESET)).otherwise(F.array().cast("array<struct<gi:bigint,role:int>>")),
+        F.when(F.col("reset"), places(enters, F.least(leaves, at_or_after(pt + (reach + 1 if reach > w else w)) - 1), RESET)).otherwise(F.array().cast("array<struct<gi:bigint,role:int>>")),
     )
     out = df.select("*", F.explode(spots).alias("_p")).select("*", F.col("_p.gi").alias("gi"), F.col("_p.role").alias("role")).drop("_p")
     own = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))  # noqa: E731  one row a role

@@ -90,7 +90,11 @@ def r3(values: Column, phi: float) -> Column:
 
 
 def _quantile(x: Context, phi: float = 0.5, method: str = "R7") -> Column:
-    return (r7 if method == "R7" else r3)(x.values, phi)
+    if method == "R3":
+        return r3(x.values, phi)
+    if phi < 0 or phi > 1:
+        return F.when(x.n > 0, F.lit(-math.inf if phi < 0 else math.inf))
+    return x.use(f"_q{phi}".replace(".", "_"), F.percentile(x.rows(x.v), F.lit(float(phi))))
 
 
 def _number(x: Context, agg: Column, name: str) -> Column:
@@ -137,7 +141,7 @@ def _stddev(x: Context) -> Column:
 
 
 def _mad(x: Context) -> Column:
-    middle = r7(x.values, 0.5)
+    middle = x.use("_median", F.percentile(x.rows(x.v), F.lit(0.5)))
     away = F.array_sort(F.transform(F.transform(x.sorted, lambda s: s["v"]), lambda y: F.abs(y - middle)))
     return r7(away, 0.5)
 
