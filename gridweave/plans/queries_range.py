@@ -230,17 +230,24 @@ for _name, _params, _sql, _where, _o in ANCHORED:
     register(f"ts_{_name}_anchor", _range(_name, _params, _o, "ANCHOR"), windowed_sql(_sql, "wa", _where, _o.get("digits", 6)))
 
 
+SF, TF = 0.3141592653, 0.2718281828
+
+
 def _double_exp(spark, sf_dir):
-    return rounded(folds.over_time(events(spark, sf_dir), "double_exp_smoothing", GRID, WINDOW, ROLES, sf=0.5, tf=0.25), 9)
+    return rounded(folds.over_time(events(spark, sf_dir), "double_exp_smoothing", GRID, WINDOW, ROLES, sf=SF, tf=TF), 7)
 
 
+_level = f"{SF} * {{v}} + (1 - {SF}) * ({{l}} + ({{b}}))"
+_trend = f"{TF} * (({{n}}) - {{l}}) + (1 - {TF}) * ({{b}})"
+_l2 = _level.format(v="o2.v", l="o1.v", b="o2.v - o1.v")
+_ln = _level.format(v="o.v", l="r.l", b="r.b")
 register(
     "ts_double_exp_smoothing",
     _double_exp,
     f"""WITH RECURSIVE {SAMPLES}, {POINTS}, {INSIDE}, o AS (SELECT user_id, a, v, row_number() OVER (PARTITION BY user_id, a ORDER BY t) AS i, count(*) OVER (PARTITION BY user_id, a) AS n FROM w),
-r AS (SELECT o1.user_id, o1.a, CAST(2 AS BIGINT) AS i, o1.n, 0.5 * o2.v + 0.5 * (o1.v + (o2.v - o1.v)) AS l, 0.25 * ((0.5 * o2.v + 0.5 * (o1.v + (o2.v - o1.v))) - o1.v) + 0.75 * (o2.v - o1.v) AS b FROM o o1 JOIN o o2 ON o1.user_id = o2.user_id AND o1.a = o2.a AND o1.i = 1 AND o2.i = 2
- UNION ALL SELECT r.user_id, r.a, r.i + 1, r.n, 0.5 * o.v + 0.5 * (r.l + r.b), 0.25 * ((0.5 * o.v + 0.5 * (r.l + r.b)) - r.l) + 0.75 * r.b FROM r JOIN o ON o.user_id = r.user_id AND o.a = r.a AND o.i = r.i + 1)
-SELECT user_id, make_timestamp(a) AS ts, round(l, 9) + 0.0 AS value FROM r WHERE i = n""",
+r AS (SELECT o1.user_id, o1.a, CAST(2 AS BIGINT) AS i, o1.n, CAST({_l2} AS DOUBLE) AS l, CAST({_trend.format(n=_l2, l="o1.v", b="o2.v - o1.v")} AS DOUBLE) AS b FROM o o1 JOIN o o2 ON o1.user_id = o2.user_id AND o1.a = o2.a AND o1.i = 1 AND o2.i = 2
+ UNION ALL SELECT r.user_id, r.a, r.i + 1, r.n, {_ln}, {_trend.format(n=_ln, l="r.l", b="r.b")} FROM r JOIN o ON o.user_id = r.user_id AND o.a = r.a AND o.i = r.i + 1)
+SELECT user_id, make_timestamp(a) AS ts, round(l, 7) + 0.0 AS value FROM r WHERE i = n""",
 )
 
 _M4 = ("t_min", "v_min", "t_max", "v_max", "t_first", "v_first", "t_last", "v_last")
