@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.grid import Grid, checked_width
 from ..plans.roles import Roles
-from .samples import Samples, _ceil_div, fanned, places, prepared
+from .samples import Samples, _ceil_div, fanned, placed, places, prepared
 
 FIRST, LAST, RESET = 0, 1, 2
 #: A gap at an edge is extrapolated over in full up to so many average intervals.
@@ -77,12 +77,12 @@ def summarised(s: Samples, counter: bool, policy: ResetPolicy) -> DataFrame:
     enters, leaves = F.greatest(at_or_after(t), first_of), F.least(at_or_after(t + w) - 1, last_of)
     # With an edge that is read, the pair before the window counts too, from no further than the lookback.
     reach = w + (s.lookback if s.edge in ("ANCHOR", "SMOOTH") else 0)
-    spots = F.concat(
+    out = placed(
+        df,
         places(F.greatest(enters, F.coalesce(at_or_after(pt + w), enters)), leaves, FIRST),
         places(enters, F.least(leaves, F.coalesce(at_or_after(F.col("nt")) - 1, leaves)), LAST),
-        F.when(F.col("reset"), places(enters, F.least(leaves, at_or_after(pt + (reach + 1 if reach > w else w)) - 1), RESET)).otherwise(F.array().cast("array<struct<gi:bigint,role:int>>")),
+        places(enters, F.when(F.col("reset"), F.least(leaves, at_or_after(pt + (reach + 1 if reach > w else w)) - 1)).otherwise(-1), RESET),
     )
-    out = df.select("*", F.explode(spots).alias("_p")).select("*", F.col("_p.gi").alias("gi"), F.col("_p.role").alias("role")).drop("_p")
     own = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))  # noqa: E731  one row a role
     resets = F.col("role") == RESET
     return out.groupBy(*s.keys, "chunk", "gi").agg(

@@ -94,8 +94,8 @@ def prepared(
         t = F.col("t")
         first_c = F.greatest(F.lit(0), _ceil_div(t - F.lit(after * lookback) - F.lit(grid.at(per_chunk - 1)), span))
         last_c = F.least(F.lit(last), _ceil_div(t + F.lit(window + before * lookback) - F.lit(grid.start) + 1, span) - 1)
-        out = out.withColumn("_lo", first_c).withColumn("_hi", last_c).where(F.col("_lo") <= F.col("_hi"))
-        out = out.withColumn("chunk", F.explode(F.sequence(F.col("_lo"), F.col("_hi"))).cast("int")).drop("_lo", "_hi")
+        out = out.withColumn("_lo", first_c.cast("int")).withColumn("_hi", last_c.cast("int")).where(F.col("_lo") <= F.col("_hi"))
+        out = out.withColumn("chunk", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
     out = ranked(out, (*roles.keys, "chunk"), numeric)
     by = Window.partitionBy(*roles.keys, "chunk").orderBy("t")
     near = {"pt": F.lag("t"), "pv": F.lag("v"), "pstale": F.lag("stale"), "nt": F.lead("t"), "nv": F.lead("v"), "nstale": F.lead("stale")}
@@ -117,7 +117,7 @@ def ranked(df: DataFrame, keys: Sequence[str], numeric: bool = True) -> DataFram
     """Of the rows of a key with one time, the last by: not stale, not NaN, value (-0 under +0), start (null least)."""
     order = [F.col("t"), F.col("stale").desc()]
     if numeric:
-        order += [F.when(F.isnan("v"), 0).otherwise(1), F.col("v"), (F.col("v").cast("string") != "-0.0").cast("int")]
+        order += [F.when(F.isnan("v"), 0).otherwise(1), F.col("v"), F.when(F.col("v") == 0, F.atan2("v", F.lit(-1.0)) > 0)]
     else:
         order += [F.col("v")]
     by = Window.partitionBy(*keys).orderBy(*order, F.col("st").asc_nulls_first())
@@ -125,9 +125,14 @@ def ranked(df: DataFrame, keys: Sequence[str], numeric: bool = True) -> DataFram
 
 
 def places(lo: Column, hi: Column, role: int) -> Column:
-    """Grid indices lo..hi with a role; none where lo > hi, which sequence() would count down."""
-    listed = F.transform(F.sequence(lo, hi), lambda i: F.struct(i.alias("gi"), F.lit(role).alias("role")))
-    return F.when(lo <= hi, listed).otherwise(F.array().cast("array<struct<gi:bigint,role:int>>"))
+    """Grid indices lo..hi with a role in the two low bits; none where lo > hi, which sequence() would count down."""
+    return F.when(lo <= hi, F.sequence(lo * 4 + role, hi * 4 + role, F.lit(4).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def placed(df: DataFrame, *spots: Column) -> DataFrame:
+    """A row for each place, with gi and role."""
+    out = df.select("*", F.explode(spots[0] if len(spots) == 1 else F.concat(*spots)).alias("_p"))
+    return out.select(*df.columns, F.shiftright("_p", 2).alias("gi"), F.col("_p").bitwiseAND(F.lit(3).cast("long")).cast("int").alias("role"))
 
 
 def fanned(s: Samples, roles: Sequence[int] = (INSIDE,)) -> DataFrame:
@@ -157,5 +162,5 @@ def fanned(s: Samples, roles: Sequence[int] = (INSIDE,)) -> DataFrame:
     for role, lo, hi in ranges:
         lo, hi = F.greatest(lo, first_of), F.least(hi, last_of)
         parts.append(places(lo, hi, role))
-    out = s.df.withColumn("_p", F.explode(parts[0] if len(parts) == 1 else F.concat(*parts))).select("*", F.col("_p.gi").alias("gi"), F.col("_p.role").alias("role")).drop("_p")
+    out = placed(s.df, *parts)
     return out.withColumn("at", F.lit(g.start) + F.col("gi") * g.step).withColumn("ws", F.col("at") - s.window)
