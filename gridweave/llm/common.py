@@ -67,6 +67,17 @@ def ascii_lower(column: Column) -> Column:
     return F.when(F.length(column) == F.octet_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
     """Rows in an Arrow batch: with documents of 100 KB a batch is some 50 MB, which a Python worker holds."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

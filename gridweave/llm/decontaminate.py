@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ascii_lower, materialize, row_key, same_row, small, table, text_of
+from .common import ascii_lower, fresh, materialize, row_key, same_row, small, table, text_of
 
 # Fixed value: what separates words, once A-Z are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -134,9 +134,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
     hit = materialize(occurrences(docs, benchmark, window, shingle).select("doc_id", "text_key").distinct(), "decontaminate-hit")
     side, _ = small(hit)
-    side = side.select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key"))
-    key = F.xxhash64(text_of(docs["text"]))
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_hit_id")) & (key == F.col("_hit_key")), "left_anti")
+    id_, key = fresh(docs, "_hit_id", "_hit_key")
+    side = side.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    return docs.join(side, docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(text_of(docs["text"])) == F.col(key)), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

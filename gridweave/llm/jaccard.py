@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import arrow_batches, materialize, small, table, text_of
+from .common import arrow_batches, fresh, materialize, small, table, text_of
 from .components import components
 
 NGRAM = 5
@@ -202,8 +202,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     judged = materialize(judged.select("doc_id", "tid", "n", stays.alias("stays")), "jaccard-judged")
 
     def same(rows: DataFrame):
-        side = rows.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
-        return small(side)[0], docs["doc_id"].eqNullSafe(F.col("_id")) & (F.unhex(F.md5(text_of(docs["text"]))) == F.col("_tid"))
+        id_, tid = fresh(docs, "_id", "_tid")
+        side = rows.select(F.col("doc_id").alias(id_), F.col("tid").alias(tid))
+        return small(side)[0], docs["doc_id"].eqNullSafe(F.col(id_)) & (F.unhex(F.md5(text_of(docs["text"]))) == F.col(tid))
 
     kept = docs.join(*same(judged.where("NOT stays")), "left_anti")
     again = judged.where("stays AND n > 1")

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE_CLASS, materialize, small, table, text_of
+from .common import SPACE_CLASS, fresh, materialize, small, table, text_of
 
 LEVELS = ("domain", "lang", "source")
 
@@ -123,10 +123,10 @@ def cuts(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None) -
     return rows, materialize(out.withColumn("cut", F.coalesce("last_key", below)).drop("range", "before", "last_key", "shift"), "mixing-cuts")
 
 
-def _copies(mix: Mix) -> Column:
+def _copies(mix: Mix, full: str = "full_epochs", cut: str = "cut") -> Column:
     """Epochs in which a document is taken. A partial epoch takes whole documents, up to the cut and not beyond the epochs allowed."""
-    partial = (order_key(mix.seed, F.col("full_epochs")) <= F.col("cut")) & (F.col("full_epochs") < mix.max_epochs)
-    return (F.col("full_epochs") + F.when(partial, 1).otherwise(0)).cast("long")
+    partial = (order_key(mix.seed, F.col(full)) <= F.col(cut)) & (F.col(full) < mix.max_epochs)
+    return (F.col(full) + F.when(partial, 1).otherwise(0)).cast("long")
 
 
 def mix_report(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None) -> DataFrame:
@@ -143,13 +143,14 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None
     """The rows of ``docs`` that are taken, with their columns, each as often as it is taken."""
     _, ends = cuts(docs, mix, domain)
     side, _ = small(ends)
-    side = side.select(*[F.col(c).alias(f"_leaf_{c}") for c in LEVELS], "full_epochs", "cut")
+    names = dict(zip(LEVELS, fresh(docs, *[f"_leaf_{c}" for c in LEVELS])))
+    full, cut, copies, epoch = fresh(docs, "_full", "_cut", "_copies", "_epoch")
+    side = side.select(*[F.col(c).alias(names[c]) for c in LEVELS], F.col("full_epochs").alias(full), F.col("cut").alias(cut))
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
     mine = {"domain": default_domain() if domain is None else domain, "lang": known("lang"), "source": known("source")}
-    on = [mine[c] == F.col(f"_leaf_{c}") for c in LEVELS]
-    taken = docs.join(side, on).withColumn("_copies", _copies(mix)).where("_copies > 0")
+    taken = docs.join(side, [mine[c] == F.col(names[c]) for c in LEVELS]).withColumn(copies, _copies(mix, full, cut)).where(F.col(copies) > 0)
     if mix.max_epochs > 1:
-        taken = taken.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+        taken = taken.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
     return taken.select(*docs.columns)
 
 
