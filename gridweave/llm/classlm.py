@@ -139,15 +139,15 @@ def fit(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int =
     vocabulary = materialize(vocabulary, "classlm-vocabulary")
     n_docs = docs.count()
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(known).collect()  # at most ``known`` rows
-    words = [bytes(r["word"]) for r in top]
-    counts = np.array([r["n"] for r in top], np.int64)
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(known).toArrow()  # at most ``known`` rows
+    words = top["word"].to_pylist()
+    counts = top["n"].to_numpy().astype(np.int64)
     ids = {w: i + 2 for i, w in enumerate(words[:head])}
     size = len(ids) + 2
     pairs = np.zeros(size * size, np.int64)
     seen = texts.mapInArrow(_count_pairs(ids, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    for pair, n in seen.collect():  # at most the square of ``head``
-        pairs[pair] = n
+    seen = seen.toArrow()  # at most the square of ``head`` rows
+    pairs[seen["pair"].to_numpy()] = seen["n"].to_numpy()
     pairs = pairs.reshape(size, size)
     # A line of a batch begins with an end of its own, one for each batch, which is the start of its first document.
     of = exchange(pairs, classes, sweeps)
