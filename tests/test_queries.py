@@ -3,13 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
-from gridweave.plans import queries_more, queries_range, registry
+from gridweave.plans import queries_compose, queries_more, queries_range, registry
 
 from .conftest import TESTDATA, same
 
 SF = str(TESTDATA / "sf0.001")
-OWN = {**queries_range.QUERIES, **queries_more.QUERIES}
-SQL = {**queries_range.ORACLE_SQL, **queries_more.ORACLE_SQL}
+OWN = {**queries_range.QUERIES, **queries_more.QUERIES, **queries_compose.QUERIES}
+SQL = {**queries_range.ORACLE_SQL, **queries_more.ORACLE_SQL, **queries_compose.ORACLE_SQL}
 
 
 @pytest.mark.parametrize("name", sorted(OWN))
