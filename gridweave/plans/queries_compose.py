@@ -70,13 +70,13 @@ register("share_gt_over_time", _share, windows_sql("avg(CASE WHEN v > 20 THEN 1.
 
 
 def _vwap(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("w", F.hour("ts") + F.lit(1.0))
+    e = events(spark, sf_dir).withColumn("w", F.hour("ts") + F.lit(1.137))
     up = folds.over_time(e.select("user_id", "ts", (F.col("value") * F.col("w")).alias("value")), "sum_over_time", GRID, WINDOW, ROLES)
     down = folds.over_time(e.select("user_id", "ts", F.col("w").alias("value")), "sum_over_time", GRID, WINDOW, ROLES).withColumnRenamed("value", "w")
-    return rounded(up.join(down, ["user_id", "ts"]).select("user_id", "ts", (F.col("value") / F.col("w")).alias("value")), 8)
+    return rounded(up.join(down, ["user_id", "ts"]).select("user_id", "ts", (F.col("value") / F.col("w")).alias("value")), 6)
 
 
-register("weighted_average", _vwap, f"WITH s AS (SELECT user_id, epoch_us(ts) AS t, value AS v, hour(ts) + 1 AS q FROM events), {POINTS} SELECT user_id, make_timestamp(pt_at) AS ts, round(sum(v * q) / sum(q), 8) + 0.0 AS value FROM s JOIN g ON s.t > g.pt_at - {WINDOW} AND s.t <= g.pt_at GROUP BY ALL")
+register("weighted_average", _vwap, f"WITH s AS (SELECT user_id, epoch_us(ts) AS t, value AS v, hour(ts) + 1.137 AS q FROM events), {POINTS} SELECT user_id, make_timestamp(pt_at) AS ts, round(sum(v * q) / CAST(sum(q) AS DOUBLE), 6) + 0.0 AS value FROM s JOIN g ON s.t > g.pt_at - {WINDOW} AND s.t <= g.pt_at GROUP BY ALL")
 register("threshold_on_output", lambda spark, sf_dir: rounded(ts_rate(events(spark, sf_dir), GRID, WINDOW, ROLES, per="second"), 9).where("value > 0.001"), f"SELECT * FROM ({counter_sql()}) WHERE value > 0.001")
 
 
