@@ -283,9 +283,13 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32_sha1(payload: str) -> F.Column:
-    """Upper-case base32 of the SHA-1 of a binary column: 160 bits are 32 groups of five."""
-    bits = f"lpad(conv(substr(sha1({payload}), 1 + 10 * i, 10), 16, 2), 40, '0')"
-    return F.expr(f"array_join(flatten(transform(sequence(0, 3), i -> transform(sequence(0, 7), j -> substr('{BASE32}', 1 + cast(conv(substr({bits}, 1 + 5 * j, 5), 2, 10) AS int), 1)))), '')")
+    """Upper-case base32 of the SHA-1 of a binary column. Ten hex digits are eight groups of five bits.
+
+    The hash is bound to a variable, because an expression inside a lambda is evaluated at each of its steps.
+    """
+    word = "cast(conv(substr(h, 1 + 10 * (k div 8), 10), 16, 10) AS bigint)"
+    letter = f"substr('{BASE32}', 1 + cast(shiftright({word}, 35 - 5 * (k % 8)) & 31 AS int), 1)"
+    return F.expr(f"element_at(transform(array(sha1({payload})), h -> array_join(transform(sequence(0, 31), k -> {letter}), '')), 1)")
 
 
 def page_records(pages: DataFrame, least_bytes: int = 0, salts: int = 32) -> DataFrame:
