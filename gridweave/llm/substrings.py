@@ -25,7 +25,7 @@ ANCHOR = 8
 #: Seeds are looked up in a bitmap of fixed size up to this many; more are joined with the anchors instead.
 MOST_SEEDS = 32_000_000
 MOST_BITS = 1 << 29
-CHUNK_BITS = 1 << 18
+CHUNK_BITS = 1 << 13
 #: Runs of repeats of all documents that may be broadcast.
 MOST_RUNS = 1_000_000
 
