@@ -74,14 +74,21 @@ def summarised(s: Samples, counter: bool, policy: ResetPolicy) -> DataFrame:
     first_of = F.col("chunk").cast("long") * s.per_chunk
     last_of = F.least(F.lit(g.count - 1), first_of + (s.per_chunk - 1))
     at_or_after = lambda x: _ceil_div(x - g.start, g.step)
-    enters, leaves = F.greatest(at_or_after(t), first_of), F.least(at_or_after(t + w) - 1, last_of)
     # With an edge that is read, the pair before the window counts too, from no further than the lookback.
     reach = w + (s.lookback if s.edge in ("ANCHOR", "SMOOTH") else 0)
+    df = df.withColumns({
+        "_enters": F.greatest(at_or_after(t), first_of),
+        "_leaves": F.least(at_or_after(t + w) - 1, last_of),
+        "_since": at_or_after(pt + w),
+        "_next": at_or_after(F.col("nt")) - 1,
+        "_reset": F.when(F.col("reset"), at_or_after(pt + reach + 1) - 1 if reach > w else at_or_after(pt + w) - 1).otherwise(-1),
+    })
+    enters, leaves = F.col("_enters"), F.col("_leaves")
     out = placed(
         df,
-        places(F.greatest(enters, F.coalesce(at_or_after(pt + w), enters)), leaves, FIRST),
-        places(enters, F.least(leaves, F.coalesce(at_or_after(F.col("nt")) - 1, leaves)), LAST),
-        places(enters, F.when(F.col("reset"), F.least(leaves, at_or_after(pt + (reach + 1 if reach > w else w)) - 1)).otherwise(-1), RESET),
+        places(F.greatest(enters, "_since"), leaves, FIRST),  # greatest() and least() pass over nulls
+        places(enters, F.least(leaves, "_next"), LAST),
+        places(enters, F.least(leaves, "_reset"), RESET),
     )
     own = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))  # noqa: E731  one row a role
     resets = F.col("role") == RESET
@@ -113,33 +120,32 @@ def _dropped(s: Samples) -> DataFrame:
     )
 
 
-def extrapolated(at: Column, ws: Column, counter: bool, zero_start: bool) -> Column:
-    """The increase projected to both edges; null where the samples are too few.
+def extrapolated(df: DataFrame, window: int, counter: bool, zero_start: bool) -> DataFrame:
+    """``df`` with the increase projected to both edges as ``value``, for windows with samples enough.
 
-    Computed as delta * ((S + d0 + d1) / S) in this order, so that results agree to the bit with other evaluators.
+    Computed as delta * ((S + d0 + d1) / S) in this order, so that results agree to the bit with other evaluators. It is
+    written in steps, each a projection that reads the one below more than once and so stays apart: as one
+    expression it would be evaluated over and over and be too long to be compiled.
     """
     c = F.col
+    ws = c("at") - window
     known = F.coalesce((ws < c("first_st")) & (c("first_st") < c("first_t")), F.lit(False)) if counter else F.lit(False)
-    zero = (~known & F.lit(zero_start)) if counter else F.lit(False)
-    from_zero = known | zero
-    n = c("n") + F.when(from_zero, 1).otherwise(0)
-    start = F.when(known, c("first_st")).when(zero, ws).otherwise(c("first_t"))
-    value = F.when(from_zero, F.lit(0.0)).otherwise(c("first"))
+    df = df.withColumn("_known", known).withColumn("_zero", (c("_known") | F.lit(zero_start)) if counter else c("_known"))
+    df = df.withColumn("_n", c("n") + F.when(c("_zero"), 1).otherwise(0)).where(c("_n") >= 2)
+    start = F.when(c("_known"), c("first_st")).when(c("_zero"), ws).otherwise(c("first_t"))
     delta = c("adj") + (c("last") - c("first"))
-    delta = F.when(from_zero, delta + c("first")).otherwise(delta)
-    spanned = (c("last_t") - start).cast("double")
-    average = spanned / F.nullif((n - 1).cast("double"), F.lit(0.0))
-    limit = average * F.lit(GAP_FACTOR)
-    left = (start - ws).cast("double")
-    left = F.when(left > limit, average / 2).otherwise(left)
+    df = df.withColumns({"_start": start, "_from": F.when(c("_zero"), F.lit(0.0)).otherwise(c("first")), "_delta": F.when(c("_zero"), delta + c("first")).otherwise(delta)})
+    df = df.withColumn("_span", (c("last_t") - c("_start")).cast("double"))
+    df = df.withColumn("_mean", c("_span") / (c("_n") - 1).cast("double"))
+    df = df.withColumns({"_limit": c("_mean") * F.lit(GAP_FACTOR), "_left": (c("_start") - ws).cast("double"), "_right": (c("at") - c("last_t")).cast("double")})
+    gap = lambda e: F.when(c(e) > c("_limit"), c("_mean") / 2).otherwise(c(e))
+    df = df.withColumns({"_left": F.when(c("_zero"), F.lit(0.0)).otherwise(gap("_left")), "_right": gap("_right")})
     if counter:
-        rises = below(F.lit(0.0), delta) & ~F.isnan(value) & (value >= 0)
-        to_zero = spanned * (value / F.nullif(delta, F.lit(0.0)))
-        left = F.when(rises & (to_zero < left), to_zero).otherwise(left)
-    left = F.when(from_zero, F.lit(0.0)).otherwise(left)
-    right = (at - c("last_t")).cast("double")
-    right = F.when(right > limit, average / 2).otherwise(right)
-    return F.when(n >= 2, delta * ((spanned + left + right) / F.nullif(spanned, F.lit(0.0))))
+        rises = ~c("_zero") & below(F.lit(0.0), c("_delta")) & ~F.isnan("_from") & (c("_from") >= 0)
+        to_zero = F.when(rises, c("_span") * (c("_from") / F.nullif(c("_delta"), F.lit(0.0))))
+        df = df.withColumn("_to_zero", to_zero)
+        df = df.withColumn("_left", F.when(c("_to_zero") < c("_left"), c("_to_zero")).otherwise(c("_left")))
+    return df.withColumn("value", c("_delta") * ((c("_span") + c("_left") + c("_right")) / F.nullif(c("_span"), F.lit(0.0))))
 
 
 def anchored(at: Column, ws: Column, lookback: int, counter: bool, policy: ResetPolicy, smooth: bool) -> Column:
@@ -172,7 +178,7 @@ def anchored(at: Column, ws: Column, lookback: int, counter: bool, policy: Reset
 
 
 def counter_values(df: DataFrame, grid: Grid, window, roles: Roles = Roles(), what: str = "rate", edge: str = "EXTRAPOLATE", lookback=None, policy: ResetPolicy = ResetPolicy(), push: bool | None = None):
-    """(samples, one row per series and grid point with column ``value``) for what = rate, increase or delta."""
+    """(samples, one row per series and grid point that has a ``value``) for what = rate, increase or delta."""
     if edge not in ("EXTRAPOLATE", "ANCHOR", "SMOOTH"):
         raise ValueError(f"{what} has no edge mode {edge}")
     window = checked_width(window)
@@ -180,11 +186,15 @@ def counter_values(df: DataFrame, grid: Grid, window, roles: Roles = Roles(), wh
     s = prepared(df, grid, window, roles, edge, lookback if edge != "EXTRAPOLATE" else 0, push=push)
     counter = what != "delta"
     out = summarised(s, counter, policy).withColumn("at", F.lit(grid.start) + F.col("gi") * grid.step)
-    at, ws = F.col("at"), F.col("at") - window
-    value = extrapolated(at, ws, counter, policy.zero_start) if edge == "EXTRAPOLATE" else anchored(at, ws, lookback, counter, policy, edge == "SMOOTH")
     if counter and policy.kind == "NULL":
-        value = F.when(F.col("resets") == 0, value)
+        out = out.where("resets = 0")
+    if edge == "EXTRAPOLATE":
+        out = extrapolated(out, window, counter, policy.zero_start)
+    else:
+        at, ws = F.col("at"), F.col("at") - window
+        out = out.withColumn("value", anchored(at, ws, lookback, counter, policy, edge == "SMOOTH")).where("value IS NOT NULL")
+    value = F.col("value")
     rate = value / F.lit(float(window))
     if counter and policy.reset_value is not None:
         value, rate = (F.when(rate > policy.reset_value, F.lit(0.0)).otherwise(x) for x in (value, rate))
-    return s, out.withColumn("value", rate if what == "rate" else value)
+    return s, out.select(*s.keys, "chunk", "gi", (rate if what == "rate" else value).alias("value"))

@@ -37,5 +37,5 @@ def ts_rate(
     if per == "second" and what == "rate":
         out = out.withColumn("value", F.col("value") * SECOND)
     if shape == "rows":
-        return shapes.rows(s, out)
+        return shapes.rows(s, out, filled=edge == "EXTRAPOLATE")
     return shapes.dense(s, out) if shape == "dense" else shapes.lists(s, out, every=every)

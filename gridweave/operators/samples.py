@@ -158,9 +158,7 @@ def fanned(s: Samples, roles: Sequence[int] = (INSIDE,)) -> DataFrame:
         lo = F.coalesce(_ceil_div(F.col("pt") - g.start, g.step), F.lit(0))
         hi = _ceil_div(t - g.start, g.step) - 1
         ranges.append((AFTER, lo, hi))
-    parts = []
-    for role, lo, hi in ranges:
-        lo, hi = F.greatest(lo, first_of), F.least(hi, last_of)
-        parts.append(places(lo, hi, role))
-    out = placed(s.df, *parts)
+    # Bounds are columns of their own, so that they are computed once.
+    df = s.df.withColumns({f"_{end}{role}": e for role, lo, hi in ranges for end, e in (("lo", F.greatest(lo, first_of)), ("hi", F.least(hi, last_of)))})
+    out = placed(df, *[places(F.col(f"_lo{role}"), F.col(f"_hi{role}"), role) for role, _, _ in ranges])
     return out.withColumn("at", F.lit(g.start) + F.col("gi") * g.step).withColumn("ws", F.col("at") - s.window)

@@ -7,9 +7,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .samples import Samples, time_of
 
 
-def rows(s: Samples, out: DataFrame, value: str = "value") -> DataFrame:
-    """One row per series and grid point that has a value."""
-    return out.where(F.col(value).isNotNull()).select(*s.keys, time_of(s.time, F.lit(s.grid.start) + F.col("gi") * s.grid.step).alias("ts"), F.col(value))
+def rows(s: Samples, out: DataFrame, value: str = "value", filled: bool = False) -> DataFrame:
+    """One row per series and grid point that has a value.
+
+    ``filled`` says that all rows have one: a test for null would be pushed below the projections that make the value,
+    and would evaluate it all over again there.
+    """
+    return (out if filled else out.where(F.col(value).isNotNull())).select(*s.keys, time_of(s.time, F.lit(s.grid.start) + F.col("gi") * s.grid.step).alias("ts"), F.col(value))
 
 
 def dense(s: Samples, out: DataFrame, value: str = "value") -> DataFrame:
