@@ -25,8 +25,9 @@ NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MOST_HASHES = 128
-#: Words that a task holds at once to compare their texts.
-BLOCK_WORDS = 2_000_000
+#: Words that a task holds at once to compare their texts, at most; and how much smaller a block may be for the sake of
+#: more tasks. A cluster is cut into some eight blocks before its blocks grow to the most.
+BLOCK_WORDS, FINER, BLOCKS = 2_000_000, 40, 8
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -84,7 +85,8 @@ def _signer(bands: int, rows: int, n: int, seed: int):
 
 def _compare(n: int, threshold: float):
     def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """One group: clusters of texts, or two blocks of one cluster (side 0, 1 or 2 for both). Counts links and joins roots."""
+        """One group: clusters of texts, or two blocks of one cluster, whose pairs
+        within a block are another group's. Counts links and joins roots."""
         known = W.Hashes()
         out = []
         pdf = pdf.drop_duplicates(["cluster", "tid"])
@@ -110,7 +112,7 @@ def _compare(n: int, threshold: float):
                     x = parent[x]
                 return x
 
-            crossed = side.min() != side.max()
+            crossed = key[1] != key[2]
             for i in range(len(sets)):
                 lists = mine[at[i] : at[i + 1]]
                 lens = end[lists] - begin[lists]
@@ -151,9 +153,10 @@ def classified(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
     clusters = components(tied).select(F.col("node").alias("tid"), F.col("root").alias("cluster"))
     members = clusters.join(texts.select("tid", "rep", "copies", "words"), "tid")
     members = materialize(members, "jaccard-members")
-    weights = members.groupBy("cluster").agg(F.sum("words").alias("weight")).withColumn("blocks", F.ceil(F.col("weight") / block_words).cast("int"))
-    weights = materialize(weights, "jaccard-weights")
-    bins = max(1, math.ceil((weights.agg(F.sum("weight")).first()[0] or 0) / block_words) * 4)
+    weights = members.groupBy("cluster").agg(F.sum("words").alias("weight"))
+    block = F.greatest(F.lit(max(1, block_words // FINER)), F.least(F.lit(block_words), F.ceil(F.col("weight") / BLOCKS)))
+    weights = materialize(weights.withColumn("blocks", F.ceil(F.col("weight") / block).cast("int")), "jaccard-weights")
+    bins = max(1, math.ceil((weights.agg(F.sum("weight")).first()[0] or 0) / max(1, block_words // FINER)))
     members = materialize(members.join(weights.select("cluster", "blocks"), "cluster"), "jaccard-sized")
     side, _ = small(members.select(F.col("tid").alias("t"), "rep", "copies", "cluster", "blocks"))
     keyed = source.withColumn("tid", F.unhex(F.md5("text")))
@@ -187,7 +190,8 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     A link is a pair of rows whose texts have a Jaccard similarity of ``threshold`` or more; a class is a connected
     component of links, named by its least doc_id. Equal texts are one text with copies: links count the copies of
     every linked text and the row's own other copies. Null, empty and blank texts have no n-grams: they link to
-    nothing, and each has its own id as class. Null ids sort first. Other columns are ignored.
+    nothing, and each has its own id as class. A null id names a class only where none of it has another. Other columns
+    are ignored.
     """
     return classified(docs, n, threshold, recall, block_words, seed).drop("tid")
 
