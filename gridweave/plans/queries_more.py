@@ -378,7 +378,7 @@ def _rates(spark, sf_dir):
 
 
 register("topk_per_point", lambda spark, sf_dir: rounded(compose.topk_per_point(_rates(spark, sf_dir), 3, tie=["user_id"]), 9), f"SELECT user_id, ts, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY value DESC, user_id) AS rank FROM ({counter_sql()})) WHERE rank <= 3")
-register("across_series", lambda spark, sf_dir: compose.across(rounded(_rates(spark, sf_dir), 9), F.round(F.sum("value"), 6).alias("total"), F.max("value").alias("top"), F.count("value").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 8).alias("middle"), F.round(compose.jain(), 5).alias("fairness")), f"SELECT ts, round(sum(value), 6) AS total, max(value) AS top, count(value) AS n, round(quantile_cont(value, 0.5), 8) AS middle, round(sum(value) ** 2 / (count(value) * sum(value * value)), 5) AS fairness FROM ({counter_sql()}) GROUP BY ts")
+register("across_series", lambda spark, sf_dir: compose.across(rounded(_rates(spark, sf_dir), 9), F.round(F.sum("value"), 6).alias("total"), F.max("value").alias("top"), F.count("value").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 10).alias("middle"), F.round(compose.jain(), 5).alias("fairness")), f"SELECT ts, round(sum(value), 6) AS total, max(value) AS top, count(value) AS n, round(quantile_cont(value, 0.5), 10) AS middle, round(sum(value) ** 2 / (count(value) * sum(value * value)), 5) AS fairness FROM ({counter_sql()}) GROUP BY ts")
 register("remove_resets", lambda spark, sf_dir: rounded(compose.remove_resets(full(spark, sf_dir).select("user_id", "ts", "event_id", "value"), ["user_id"], "ts").select("event_id", "total"), 6, "total"), "WITH d AS (SELECT event_id, user_id, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) SELECT event_id, round(sum(CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) + 0.0 AS total FROM d")
 register("concurrency", lambda spark, sf_dir: compose.concurrency(full(spark, sf_dir).select("ts", (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("te")), "ts", "te", DAY), "WITH x AS (SELECT epoch_us(ts) AS t, 1 AS d FROM events UNION ALL SELECT epoch_us(ts) + 7200000000, -1 FROM events), s AS (SELECT t, CAST(sum(d) AS BIGINT) AS d FROM x GROUP BY t), r AS (SELECT t, sum(d) OVER (ORDER BY t) AS run, d FROM s), b AS (SELECT t // 86400000000 AS b, max(run) AS top, arg_min(run - d, t) AS open FROM r GROUP BY ALL) SELECT make_timestamp(b * 86400000000) AS ts, CAST(greatest(top, open) AS BIGINT) AS peak FROM b")
 register("union_length", lambda spark, sf_dir: compose.union_length(full(spark, sf_dir).select("user_id", "ts", (F.col("ts") + F.expr("INTERVAL 8 HOURS")).alias("te")), ["user_id"], "ts", "te"), "WITH n AS (SELECT user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nt FROM events) SELECT user_id, CAST(sum(least(28800000000, coalesce(nt - t, 28800000000))) AS BIGINT) AS ticks FROM n GROUP BY user_id")
