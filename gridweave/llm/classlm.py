@@ -117,6 +117,23 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def _band() -> Column:
+    """Counts in bands of a sixty-fourth of a doubling."""
+    return F.floor(F.log2("n") * 64)
+
+
+def _least_band(vocabulary: DataFrame, known: int) -> int:
+    """The lowest band such that it and those above hold at most ``known`` words: no sort, whatever the vocabulary."""
+    bands = sorted(vocabulary.groupBy(_band().alias("band")).count().collect(), reverse=True)  # some thousand rows
+    total, least = 0, 1 << 30
+    for band, n in bands:
+        total += n
+        if total > known:
+            break
+        least = band
+    return least
+
+
 @dataclass
 class Model:
     """What workers score with. Words are joined by spaces; the first ``len(classes) - 2`` of them are the head."""
@@ -129,6 +146,7 @@ class Model:
     total: int  # tokens in training
     types: int  # distinct tokens in training
     rare_total: float  # denominator of the emissions of the rare class
+    least: int  # band of counts from which words are known
 
 
 def fit(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
@@ -139,9 +157,11 @@ def fit(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int =
     vocabulary = materialize(vocabulary, "classlm-vocabulary")
     n_docs = docs.count()
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(known).toArrow()  # at most ``known`` rows
-    words = top["word"].to_pylist()
-    counts = top["n"].to_numpy().astype(np.int64)
+    least = _least_band(vocabulary, known)
+    top = vocabulary.where(_band() >= least).toArrow()  # at most ``known`` rows
+    order = sorted(zip((-top["n"].to_numpy()).tolist(), top["word"].to_pylist()))
+    words = [w for _, w in order]
+    counts = np.array([-n for n, _ in order], np.int64)
     ids = {w: i + 2 for i, w in enumerate(words[:head])}
     size = len(ids) + 2
     pairs = np.zeros(size * size, np.int64)
@@ -159,7 +179,7 @@ def fit(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int =
     prior = (class_tokens + 1) / (class_tokens + 1).sum()
     step = np.log10((bigrams + PRIOR * prior) / (bigrams.sum(1, keepdims=True) + PRIOR))
     rare_types = n_types - (size - 2)
-    model = Model(b" ".join(words), counts, of, step, class_tokens, n_words + n_docs, n_types + (n_docs > 0), class_tokens[RARE] + rare_types + 1)
+    model = Model(b" ".join(words), counts, of, step, class_tokens, n_words + n_docs, n_types + (n_docs > 0), class_tokens[RARE] + rare_types + 1, least)
     return model, vocabulary
 
 
@@ -214,8 +234,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int
     columns = f"row bigint, word binary, times bigint, n_tokens bigint, n_known bigint, missing bigint, base double, score double, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     parts = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), columns)
     # A row of its own for each document, under a word with a space that joins nothing, carries what is known already.
-    least = int(model.counts[-1]) if len(model.counts) else 0
-    others = vocabulary.where(F.col("n") <= least).withColumnRenamed("n", "c")
+    others = vocabulary.where(_band() < model.least).withColumnRenamed("n", "c")
     joined = parts.join(others, "word", "left")
     gain = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
     out = joined.groupBy("row").agg(
