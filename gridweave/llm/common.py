@@ -40,7 +40,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = scratch(spark, tag)
     # What this write has shuffled is of no more use once it is done; else it stays on disk until a collection of garbage.
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
+    before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
         df.write.parquet(path)

@@ -1,12 +1,18 @@
 """The pipeline's stages on small tables, and the registered queries against DuckDB."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from gridweave.llm import queries
+from gridweave.llm import quality, queries, sharding
+from gridweave.llm import words as W
 from gridweave.llm.common import materialize
 from tests.conftest import TESTDATA, same
 
+from .test_jaccard import brute
+from .test_models import features
+from .test_native import bits_of, mixed, words
+
 SF = str(TESTDATA / "sf0.001")
 
 
@@ -29,6 +35,55 @@ def test_run(spark):
     assert len(ids) == len(set(ids)) > 0
 
 
+def plain(docs, labels, items):
+    """The five stages restated over lists: {doc_id: (bytes, shard)}."""
+    known, raw, good = W.Hashes(), np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    grams = {r["doc_id"]: quality.ngram_buckets(known.of(W.split(r["text"])), quality.BUCKETS) for r in docs}
+    trusted = {r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0}
+    for i, g in grams.items():
+        np.add.at(raw, g, 1)
+        if i in trusted:
+            np.add.at(good, g, 1)
+    share = good.sum() / raw.sum()
+    ratio = np.log((good + quality.PRIOR * share) / (raw + quality.PRIOR) / share)
+    docs = [r for r in docs if not features(r["text"] or "")[-1] and ratio[grams[r["doc_id"]]].mean() >= quality.THRESHOLD]
+
+    classes = {i: c for i, c, _ in brute([(r["doc_id"], r["text"]) for r in docs])}
+    docs = [r for r in docs if classes[r["doc_id"]] == r["doc_id"]]
+
+    windows = set()
+    for r in items:
+        w = words(r["text"])
+        windows |= {tuple(w[i : i + min(10, len(w))]) for i in range(len(w) - min(10, len(w)) + 1)} if w else set()
+
+    def hit(text):
+        w = words(text)
+        return any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+
+    docs = [r for r in docs if not hit(r["text"])]
+
+    taken = {r[0] for r in mixed(docs, corpus_pipeline.PIPELINE_MIX) if r[6]}
+    docs = [r for r in docs if r["doc_id"] in taken]
+
+    size = {r["doc_id"]: len(r["text"].encode()) for r in docs}
+    out = {}
+    for i in size:
+        for depth in range(61):
+            if sum(n for j, n in size.items() if bits_of(j)[:depth] == bits_of(i)[:depth]) <= sharding.SHARD_BYTES:
+                out[i] = (size[i], bits_of(i)[:depth])
+                break
+    return out
+
+
+def test_run_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(sharding.shards, "__defaults__", (20_000,))
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").collect()
+    want = plain(read("documents"), read("labels"), read("benchmark"))
+    got = {r["doc_id"]: (r["n_bytes"], r["shard_id"]) for r in corpus_pipeline.run(spark, SF).collect() if not r["oversized"]}
+    assert got == want and len(want) > 50 and len({s for _, s in want.values()}) > 1
+
+
 def test_stages_of_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
