@@ -413,3 +413,23 @@ def _revenue(spark, sf_dir):
 
 
 register("join_and_bucket", _revenue, "SELECT o_orderpriority, CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) AS month, count(*) AS n, round(sum(CAST(l_quantity AS DOUBLE)), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+
+
+# --- states that are stored and merged
+
+
+def _states(spark, sf_dir):
+    """States of two halves of the samples, merged and finished."""
+    from ..operators import states
+
+    e = events(spark, sf_dir).withColumn("half", F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(2)))
+    parts = [states.states(e.where(F.col("half") == h).drop("half"), GRID, ROLES) for h in (0, 1)]
+    out = states.finished(states.merged(*parts, keys=ROLES.keys), GRID, WINDOW, ROLES.keys)
+    return out.select("user_id", "ts", F.col("count_over_time").alias("n"), F.round("sum_over_time", 6).alias("total"), F.col("min_over_time").alias("low"), F.col("max_over_time").alias("high"), F.col("first_over_time").alias("first"), F.col("last_over_time").alias("last"))
+
+
+register(
+    "states_merged_and_finished",
+    _states,
+    f"WITH {_W} SELECT user_id, make_timestamp(a) AS ts, CAST(count(*) AS DOUBLE) AS n, round(sum(v), 6) AS total, min(v) AS low, max(v) AS high, arg_min(v, t) AS first, arg_max(v, t) AS last FROM w GROUP BY ALL",
+)

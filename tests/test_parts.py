@@ -170,3 +170,21 @@ def test_histogram_rate(spark):
     running = hist.from_values(df, Grid(20, 200, 20), 1000).withColumnRenamed("value", "h")
     out = hist.hist_over_time(running, "increase", Grid(100, 200, 20), 60, Roles(value="h")).collect()
     assert out and all(r["value"]["count"] == pytest.approx(12, rel=0.01) for r in out)
+
+
+def test_states_finish_to_the_folds(spark):
+    from gridweave.operators import states
+    from pyspark.sql import types as T
+
+    r = random.Random(12)
+    rows = [(k, t, float("nan") if r.random() < 0.1 else float(r.randint(-9, 9))) for k in range(4) for t in sorted(r.sample(range(-50, 400), 80))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    grid = Grid(0, 380, 20)
+    parts = [states.states(df.where(f"pmod(ts, 3) = {i}"), grid) for i in range(3)]
+    got = states.finished(states.merged(*parts), grid, 60, time=T.LongType()).collect()
+    for name in states.FINAL:
+        want = {(x["series_id"], x["ts"]): x["value"] for x in folds.over_time(df, name, grid, 60).collect()}
+        mine = {(x["series_id"], x["ts"]): x[name] for x in got}
+        assert set(mine) == set(want) and all(mine[k] == want[k] or (np.isnan(mine[k]) and np.isnan(want[k])) for k in want), name
+    with pytest.raises(ValueError, match="whole number of steps"):
+        states.finished(parts[0], grid, 50)
