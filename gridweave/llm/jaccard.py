@@ -137,7 +137,7 @@ def _compare(n: int, threshold: float):
 
 
 def classified(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
-    """near_duplicates() with the MD5 of the text as ``tid``."""
+    """near_duplicates() with the MD5 of the text as ``tid``, and the least one of its class, which no null id blurs, as ``root``."""
     arrow_batches(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -177,11 +177,11 @@ def classified(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, re
     roots = components(seen.where("links > 0").select(F.col("tid").alias("u"), F.col("root").alias("v")))
     classes = roots.withColumnRenamed("node", "tid").join(texts.select("tid", "rep"), "tid")
     least = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = texts.select("tid", "rep", "copies").join(links, "tid", "left").join(classes.select("tid", "root").join(least, "root").drop("root"), "tid", "left")
-    known = known.select("tid", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = texts.select("tid", "rep", "copies").join(links, "tid", "left").join(classes.select("tid", "root").join(least, "root"), "tid", "left")
+    known = known.select("tid", F.coalesce("root", "tid").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = materialize(known, "jaccard-classes")
     side, _ = small(known)
-    return signed.select("doc_id", "tid").join(side, "tid", "left").select("doc_id", "tid", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed.select("doc_id", "tid").join(side, "tid", "left").select("doc_id", "tid", "root", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
@@ -193,15 +193,15 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     nothing, and each has its own id as class. A null id names a class only where none of it has another. Other columns
     are ignored.
     """
-    return classified(docs, n, threshold, recall, block_words, seed).drop("tid")
+    return classified(docs, n, threshold, recall, block_words, seed).drop("tid", "root")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with one of each class, the first by id and text; rows without links all stay."""
     linked = materialize(classified(docs, **options).where("n_links > 0"), "jaccard-linked")
-    first = linked.groupBy("class_id").agg(F.min(F.struct("doc_id", "tid")).alias("first"))
+    first = linked.groupBy("root").agg(F.min(F.struct("doc_id", "tid")).alias("first"))
     first = materialize(first, "jaccard-first")
-    judged = linked.groupBy("class_id", "doc_id", "tid").agg(F.count(F.lit(1)).alias("n")).join(first, linked["class_id"].eqNullSafe(first["class_id"]))
+    judged = linked.groupBy("root", "doc_id", "tid").agg(F.count(F.lit(1)).alias("n")).join(first, "root")
     stays = F.struct("doc_id", "tid").eqNullSafe(F.col("first"))
     judged = materialize(judged.select("doc_id", "tid", "n", stays.alias("stays")), "jaccard-judged")
 

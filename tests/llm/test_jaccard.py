@@ -86,6 +86,14 @@ def test_repeated_rows_keep_one(spark):
     assert jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).count() == 1
 
 
+def test_classes_under_null_ids_keep_one_each(spark):
+    """Two texts repeated and one nearly repeated, all without an id: one row of each class stays."""
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 150)
+    rows = [(None, t, "en", "s", 1, *["c"] * 11) for t in (a, a, b, b, b, c, edited(c, 34, 1))]
+    kept = [r["text"] for r in jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(kept) == 3 and {a, b} < set(kept)
+
+
 def test_empty(spark):
     df = table(spark, [])
     assert jaccard.near_duplicates(df).count() == 0 and jaccard.keep_one(df).count() == 0
