@@ -1,12 +1,15 @@
 """A Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
-Every token of every training document is counted. The most frequent words (``head``) are put into classes by
-the exchange algorithm, which moves one word at a time to the class that raises the likelihood of the class
-bigrams most; all other words share the class of rare words, as is usual below a frequency cut, and the
-end of a document has its own. P(text) is the product over tokens of P(class | class before) * P(token | class).
-
-Counts of the most frequent words (``known``, a documented bound) go to every worker; what other words a document
-has is joined with the full vocabulary by a shuffle.
+Every token of every training document is counted, and every word gets a class. The most frequent words (the core) are
+put into classes by the exchange algorithm, which moves one word at a time to the class that raises the likelihood of the
+class bigrams most. Each later word, whatever its count, goes to the class under which all its neighbours in the corpus
+are likeliest; neighbours that have no class yet count as rare words there. Transitions are then counted over the classes
+of all words. The class of rare words is left to words that training lacks, and the end of a document has its own.
+P(text) is the product over tokens of P(class | class before) * P(token | class). With ``head`` given, only so many words
+have classes and all others share that of rare words.
+
+Counts and classes of the most frequent words (``known``, a documented bound) go to every worker; what other words a
+document has is joined with the full vocabulary by a shuffle.
 """
 
 from __future__ import annotations
@@ -22,12 +25,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import arrow_batches, materialize, table, text_of
 
+#: Words that exchange itself moves; a table of this size squared is all that the driver holds.
 HEAD = 1000
 CLASSES = 64
 KNOWN = 400_000
 SWEEPS = 6
 #: Distinct words that a task counts before it hands them on.
 MOST_COUNTED = 300_000
+#: Neighbours that a task gathers before it sums them.
+MOST_NEIGHBOURS = 4_000_000
 #: Weight of the class unigram in the transition probabilities.
 PRIOR = 5.0
 END, RARE = 0, 1
@@ -71,6 +77,58 @@ def _count_pairs(ids: dict[bytes, int], size: int):
     return run
 
 
+def _count_neighbours(core: dict[bytes, int], total: int):
+    """(word, key, n) of words outside the core; the key is the class before, or ``total`` and the class after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[bytes, int] = {}
+        keys: list[np.ndarray] = []
+        get, wide = core.get, 2 * total
+
+        def out() -> Iterator[pa.RecordBatch]:
+            some, n = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_counts=True)
+            words = pa.array(list(names), pa.binary())
+            for i in range(0, len(some), 500_000):
+                part = some[i : i + 500_000]
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(part // wide)), pa.array((part % wide).astype(np.int32)), pa.array(n[i : i + 500_000])], names=["word", "key", "n"])
+            names.clear()
+            keys.clear()
+
+        for batch in batches:
+            line = [END]
+            for text in batch.column("text").to_pylist():
+                for w in tokens_of(text):
+                    k = get(w)
+                    line.append(total + names.setdefault(w, len(names)) if k is None else k)
+                line.append(END)
+            at = np.array(line, np.int64)
+            i = np.flatnonzero(at >= total)
+            seen = np.where(at >= total, RARE, at)
+            own = (at[i] - total) * wide
+            keys += [own + seen[i - 1], own + total + seen[i + 1]]
+            if len(names) > MOST_COUNTED or sum(map(len, keys)) > MOST_NEIGHBOURS:
+                yield from out()
+        yield from out()
+
+    return run
+
+
+def _assign(table_: np.ndarray, total: int):
+    """The class of each word with its summed neighbours: the likeliest, by ``table_`` (key, class) of logarithms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("seen")
+            starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+            key, n = (x.to_numpy() for x in lists.flatten().flatten())
+            if len(starts):
+                best = np.add.reduceat(table_[key] * n[:, None], starts).argmax(1)
+                count = np.add.reduceat(np.where(key < total, n, 0), starts)  # each token has one neighbour before it
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(count), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+
+    return run
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -136,12 +194,12 @@ def _least_band(vocabulary: DataFrame, known: int) -> int:
 
 @dataclass
 class Model:
-    """What workers score with. Words are joined by spaces; the first ``len(classes) - 2`` of them are the head."""
+    """What workers score with. Words are joined by spaces; the first ``len(classes) - 2`` of them have the classes."""
 
     words: bytes
     counts: np.ndarray
-    classes: np.ndarray  # of END, RARE, then the head words
-    step: np.ndarray  # log10 P(class | class before)
+    classes: np.ndarray  # of END, RARE, then the words
+    step: np.ndarray  # log10 P(class | class before); zero until counted
     class_tokens: np.ndarray
     total: int  # tokens in training
     types: int  # distinct tokens in training
@@ -149,8 +207,13 @@ class Model:
     least: int  # band of counts from which words are known
 
 
-def fit(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
-    """The model, and (word, n) of all words of the training documents ``docs``."""
+def _steps(bigrams: np.ndarray, class_tokens: np.ndarray) -> np.ndarray:
+    prior = (class_tokens + 1) / (class_tokens + 1).sum()
+    return np.log10((bigrams + PRIOR * prior) / (bigrams.sum(1, keepdims=True) + PRIOR))
+
+
+def _learned(docs: DataFrame, head: int | None, classes: int, known: int, sweeps: int) -> tuple[Model, DataFrame, DataFrame]:
+    """The model without its steps, (word, n) of all words of ``docs``, and (word, n, class) of those not in the model."""
     arrow_batches(docs.sparkSession)
     texts = docs.select(text_of().alias("text"))
     vocabulary = texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -162,8 +225,8 @@ def fit(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int =
     order = sorted(zip((-top["n"].to_numpy()).tolist(), top["word"].to_pylist()))
     words = [w for _, w in order]
     counts = np.array([-n for n, _ in order], np.int64)
-    ids = {w: i + 2 for i, w in enumerate(words[:head])}
-    size = len(ids) + 2
+    ids = {w: i + 2 for i, w in enumerate(words[: HEAD if head is None else head])}
+    size, total = len(ids) + 2, classes + 2
     pairs = np.zeros(size * size, np.int64)
     seen = texts.mapInArrow(_count_pairs(ids, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     seen = seen.toArrow()  # at most the square of ``head`` rows
@@ -171,19 +234,32 @@ def fit(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int =
     pairs = pairs.reshape(size, size)
     # A line of a batch begins with an end of its own, one for each batch, which is the start of its first document.
     of = exchange(pairs, classes, sweeps)
-    one = np.eye(classes + 2)[of]
-    bigrams = one.T @ pairs @ one
-    class_tokens = np.zeros(classes + 2)
+    class_tokens = np.zeros(total)
     np.add.at(class_tokens, of[2:], counts[: size - 2])
     class_tokens[END], class_tokens[RARE] = n_docs, n_words - counts[: size - 2].sum()
-    prior = (class_tokens + 1) / (class_tokens + 1).sum()
-    step = np.log10((bigrams + PRIOR * prior) / (bigrams.sum(1, keepdims=True) + PRIOR))
     rare_types = n_types - (size - 2)
-    model = Model(b" ".join(words), counts, of, step, class_tokens, n_words + n_docs, n_types + (n_docs > 0), class_tokens[RARE] + rare_types + 1, least)
-    return model, vocabulary
-
-
-def _score(model):
+    others = vocabulary.where(_band() < least).withColumn("class", F.lit(RARE))
+    if head is None and rare_types:
+        one = np.eye(total)[of]
+        step = _steps(one.T @ pairs @ one, class_tokens) * math.log(10)
+        likely = np.r_[step - np.log(np.maximum(class_tokens, 1)), step.T]
+        likely[:, (class_tokens == 0) | (np.arange(total) < 2)] = -np.inf
+        near = texts.mapInArrow(_count_neighbours({w: int(of[i]) for w, i in ids.items()}, total), "word binary, key int, n bigint")
+        near = near.repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
+        near = near.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("seen"))
+        classed = materialize(near.mapInArrow(_assign(likely, total), "word binary, n bigint, class int"), "classlm-classes")
+        class_tokens[RARE] = rare_types = 0
+        for k, n in classed.groupBy("class").agg(F.sum("n")).collect():
+            class_tokens[k] += n
+        found = classed.where(_band() >= least).select("word", "class").toArrow()  # at most ``known`` rows
+        of_word = dict(zip(found["word"].to_pylist(), found["class"].to_pylist()))
+        of = np.r_[of, [of_word[w] for w in words[size - 2 :]]].astype(np.int64)
+        others = classed.where(_band() < least)
+    model = Model(b" ".join(words), counts, of, np.zeros((total, total)), class_tokens, n_words + n_docs, n_types + (n_docs > 0), class_tokens[RARE] + rare_types + 1, least)
+    return model, vocabulary, others
+
+
+def _read(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         ids = {w: i for i, w in enumerate(m.words.split())}
@@ -203,16 +279,16 @@ def _score(model):
             for key, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "text")]):
                 words = tokens_of(text)
                 at = np.array([get(w, none) for w in words], np.int64)
-                path = np.r_[END, cls[at], END]
-                strange = Counter(w for w, i in zip(words, at.tolist()) if i == none) if (at == none).any() else {}
-                missing = sum(strange.values())
+                path = np.r_[END, cls[at], END].astype(np.int16)
+                strange = np.flatnonzero(at == none).tolist()
+                missing = len(strange)
                 main.append((
-                    key, b" %d" % key, 1, len(words) + 1, len(words) - missing + (n_docs > 0), missing,
-                    float(log_count[at].sum()) + end_base, float(m.step[path[:-1], path[1:]].sum() + emit[at].sum()), doc_id,
+                    key, b" %d" % key, None, len(words) + 1, len(words) - missing + (n_docs > 0),
+                    float(log_count[at].sum()) + end_base, float(emit[at].sum()), path.tobytes(), doc_id,
                 ))
-                tail += [(key, w, n, 0, 0, 0, 0.0, 0.0, None) for w, n in strange.items()]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), batch.schema.field("doc_id").type]
-            names = ["row", "word", "times", "n_tokens", "n_known", "missing", "base", "score", "doc_id"]
+                tail += [(key, words[i], i + 1, 0, 0, 0.0, 0.0, None, None) for i in strange]
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), batch.schema.field("doc_id").type]
+            names = ["row", "word", "at", "n_tokens", "n_known", "base", "emitted", "path", "doc_id"]
             for part in (main, tail):
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
@@ -220,31 +296,102 @@ def _score(model):
     return run
 
 
-def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
-
-    Learns from the rows that are not held out. Null text is empty and has its end alone; a null id counts as empty text
-    in the hash. A word that training lacks has the rare class's smallest emission. Rows are scored one by one, so
-    repeated rows get equal results, and in training they count as often as they are there. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    model, vocabulary = fit(docs.where(~held_out()), head, classes, known, sweeps)
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts the classes of joined words where they stand in the path."""
+    for batch in batches:
+        lists = batch.column("found")
+        ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        at, k = (x.to_numpy() for x in lists.flatten().flatten())
+        out = []
+        for i, path in enumerate(batch.column("path").to_pylist()):
+            if ends[i] < ends[i + 1]:
+                whole = np.frombuffer(path, np.int16).copy()
+                whole[at[ends[i] : ends[i + 1]]] = k[ends[i] : ends[i + 1]]
+                path = whole.tobytes()
+            out.append(path)
+        rest = [c for c in batch.schema.names if c not in ("path", "found")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.binary())], names=[*rest, "path"])
+
+
+def _paths(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, counts, sums of logarithms of word counts and emissions, and the path of classes."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     # Rows of one file split keep their order, so the number of a row is the same whenever its task is run again.
     rows = docs.select("doc_id", text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
-    columns = f"row bigint, word binary, times bigint, n_tokens bigint, n_known bigint, missing bigint, base double, score double, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-    parts = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), columns)
+    columns = f"row bigint, word binary, at int, n_tokens bigint, n_known bigint, base double, emitted double, path binary, doc_id {id_type}"
+    parts = rows.mapInArrow(_read(docs.sparkSession.sparkContext.broadcast(model)), columns)
     # A row of its own for each document, under a word with a space that joins nothing, carries what is known already.
-    others = vocabulary.where(_band() < model.least).withColumnRenamed("n", "c")
-    joined = parts.join(others, "word", "left")
-    gain = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
+    joined = parts.join(others.withColumnRenamed("n", "c"), "word", "left")
+    tail, c, k = F.col("at").isNotNull(), F.coalesce("c", F.lit(0)), F.coalesce("class", F.lit(RARE))
+    size = F.element_at(F.lit([float(x) for x in model.class_tokens]), k + 1)
+    emitted = F.when(k == RARE, F.log10(c + F.lit(1.0)) - F.lit(math.log10(model.rare_total))).otherwise(F.log10(c / size))
     out = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum("missing").alias("missing"),
-        (F.sum("base") + F.sum(gain)).alias("base"),
-        (F.sum("score") + F.sum(gain)).alias("score"),
+        F.sum(F.col("n_known") + (tail & F.col("c").isNotNull()).cast("int")).alias("n_known"),
+        F.sum(F.col("base") + F.when(tail, F.log10(c + F.lit(1.0))).otherwise(0.0)).alias("base"),
+        F.sum(F.col("emitted") + F.when(tail, emitted).otherwise(0.0)).alias("emitted"),
+        F.max("path").alias("path"),
+        F.collect_list(F.when(tail, F.struct("at", k.cast("int").alias("k")))).alias("found"),
     )
+    out = out.drop("row").mapInArrow(_fill, f"doc_id {id_type}, n_tokens bigint, n_known bigint, base double, emitted double, path binary")
+    return materialize(out, "classlm-paths")
+
+
+def _count_steps(total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(total * total, np.int64)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                at = np.frombuffer(path, np.int16).astype(np.int64)
+                counts += np.bincount(at[:-1] * total + at[1:], minlength=total * total)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["pair", "n"])
+
+    return run
+
+
+def _with_steps(model: Model, paths: DataFrame) -> Model:
+    """The model with the transitions of the training paths."""
+    total = len(model.class_tokens)
+    seen = paths.select("path").mapInArrow(_count_steps(total), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    bigrams = np.zeros(total * total)
+    bigrams[seen["pair"].to_numpy()] = seen["n"].to_numpy()
+    model.step = _steps(bigrams.reshape(total, total), model.class_tokens)
+    return model
+
+
+def fit(docs: DataFrame, head: int | None = None, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
+    """The model, and (word, n) of all words of the training documents ``docs``."""
+    model, vocabulary, others = _learned(docs, head, classes, known, sweeps)
+    return _with_steps(model, _paths(docs, model, others)), vocabulary
+
+
+def _walk(step: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch.column("path").to_pylist():
+                at = np.frombuffer(path, np.int16)
+                out.append(float(step[at[:-1], at[1:]].sum()))
+            rest = [c for c in batch.schema.names if c != "path"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.float64())], names=[*rest, "walked"])
+
+    return run
+
+
+def score(docs: DataFrame, head: int | None = None, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+
+    Learns from the rows that are not held out. Null text is empty and has its end alone; a null id counts as empty text
+    in the hash. A word that training lacks has the rare class's smallest emission. Rows are scored one by one, so
+    repeated rows get equal results, and in training they count as often as they are there. Other columns are ignored.
+    """
+    model, _, others = _learned(docs.where(~held_out()), head, classes, known, sweeps)
+    paths = _paths(docs, model, others)
+    model = _with_steps(model, paths.where(~held_out()))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    out = paths.mapInArrow(_walk(model.step), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base double, emitted double, walked double")
     n_tokens = F.col("n_tokens")
     out = out.select(
         "doc_id",
@@ -253,7 +400,7 @@ def score(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, known: int
         F.col("n_known"),
         F.lit(int(model.total)).cast("long").alias("train_tokens"),
         (F.col("base") - n_tokens * F.lit(math.log10(model.total + model.types + 1))).alias("base_score"),
-        (F.col("score") - F.col("missing") * F.lit(math.log10(model.rare_total))).alias("score"),
+        (F.col("walked") + F.col("emitted")).alias("score"),
     )
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 

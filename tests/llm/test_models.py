@@ -2,6 +2,7 @@
 
 import html as H
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -144,6 +145,33 @@ def test_exchange_finds_planted_classes():
     assert all(len(k) == 1 for k in kinds) and len(set.union(*kinds)) == groups
 
 
+def test_words_past_the_core_have_classes(spark, monkeypatch):
+    """Two kinds of words alternate; those past the core, sent to workers or joined, are told apart as the core is."""
+    monkeypatch.setattr(classlm, "HEAD", 8)
+
+    def text(i):
+        r = random.Random(i)
+        return " ".join("ab"[j % 2] + str(r.randrange(4 if r.random() < 0.6 else 40)) for j in range(40))
+
+    df = spark.createDataFrame([(i, text(i), None, None, None, *["c"] * 11) for i in range(120)], SCHEMA)
+    train = df.where(~classlm.held_out())
+    c = Counter(w for r in train.collect() for w in r["text"].encode().split())
+    for known in (1000, 12):
+        model, _, others = classlm._learned(train, None, 8, known, 6)
+        cls = dict(zip(model.words.split(), model.classes[2:].tolist())) | {bytes(r["word"]): r["class"] for r in others.collect()}
+        assert set(cls) == set(c) and len(c) > 30 and classlm.RARE not in cls.values()
+        assert len({(w[:1], k) for w, k in cls.items()}) == len(set(cls.values()))  # each class has words of one kind
+        size = Counter()
+        for w, k in cls.items():
+            size[k] += c[w]
+        model = classlm._with_steps(model, classlm._paths(train, model, others))
+        for r in classlm.score(df, classes=8, known=known).collect():
+            w = text(r["doc_id"]).encode().split()
+            path = [classlm.END, *(cls.get(x, classlm.RARE) for x in w), classlm.END]
+            want = sum(model.step[p, q] for p, q in zip(path, path[1:])) + sum(math.log10(c[x] / size[cls[x]]) for x in w if x in cls)
+            assert r["score"] == pytest.approx(want)
+
+
 def test_language_model_of_nothing(spark):
     assert classlm.score(table(spark, [])).count() == 0
     one = spark.createDataFrame([(5, None, None, None, None, *["c"] * 11)], SCHEMA)
