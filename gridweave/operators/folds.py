@@ -297,9 +297,14 @@ def _state_duration(x: Context) -> Column:
 
 
 def _top_k(x: Context, k: int = 5, most: int = 1000) -> Column:
-    """The ``k`` most frequent values with bounds of their counts: (key, count_lo, count_hi)."""
-    found = x.use(f"_top{k}", F.call_function("approx_top_k", x.rows(x.v), F.lit(k), F.lit(most)))
-    return F.transform(found, lambda e: F.struct(e["item"].alias("key"), e["count"].alias("count_lo"), e["count"].alias("count_hi")))
+    """The ``k`` most frequent values with bounds of their counts: (key, count_lo, count_hi). The sketch overstates a count by
+    no more than its error, a long that it holds in bytes 24 to 31, low byte first, and that is 0 while it tracks all values."""
+    state = x.use(f"_top_{most}", F.call_function("approx_top_k_accumulate", x.rows(x.v), F.lit(most)))
+    found = F.call_function("approx_top_k_estimate", state, F.lit(k))
+    sketch = state["sketch"]
+    high_first = F.concat(*[F.hex(F.substring(sketch, i, 1)) for i in range(32, 24, -1)])
+    error = F.when(F.octet_length(sketch) >= 32, F.conv(high_first, 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+    return F.transform(found, lambda e: F.struct(e["item"].alias("key"), (e["count"] - error).alias("count_lo"), e["count"].alias("count_hi")))
 
 
 @dataclass(frozen=True)

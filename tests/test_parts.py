@@ -188,3 +188,11 @@ def test_states_finish_to_the_folds(spark):
         assert set(mine) == set(want) and all(mine[k] == want[k] or (np.isnan(mine[k]) and np.isnan(want[k])) for k in want), name
     with pytest.raises(ValueError, match="whole number of steps"):
         states.finished(parts[0], grid, 50)
+
+
+def test_bounds_of_top_values_hold_where_the_sketch_is_full(spark):
+    df = spark.sql("SELECT 1L AS series_id, id AS ts, CAST(CASE WHEN id % 3 = 0 THEN id % 7 WHEN id > 17000 AND id % 3 = 1 THEN -1 ELSE id END AS DOUBLE) AS value FROM range(1, 20000, 1, 1)")
+    (row,) = folds.over_time(df, "approx_top_k_over_time", Grid(20_000, 20_000, 1), 20_000, k=10, most=100).collect()
+    exact = {r["value"]: r["count"] for r in df.groupBy("value").count().collect()}
+    assert all(e["count_lo"] <= exact[e["key"]] <= e["count_hi"] for e in row["value"])
+    assert any(e["count_hi"] > exact[e["key"]] for e in row["value"])
