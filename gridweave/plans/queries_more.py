@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import sql
-from ..operators import compose, hist, pattern, series
+from ..operators import compose, grids, hist, pattern, series
 from ..operators.rate import ts_rate
 from ..sources import grid as grid_source
 from ..sources import samples as sample_source
@@ -111,14 +111,17 @@ register("hist_stdvar", lambda spark, sf_dir: rounded(_hists(spark, sf_dir).with
 register("hist_stddev", lambda spark, sf_dir: rounded(_hists(spark, sf_dir).withColumn("value", hist.hist("stddev", "value")), 5), _VAR.format(f="sqrt", d=5))
 
 
-def _quantile(spark, sf_dir):
-    """Within a bucket of the exact quantile: rows where it is not are listed."""
-    h = _hists(spark, sf_dir, 5).withColumn("q", hist.hist("quantile", "value", phi=0.9)).select("user_id", "ts", "q")
-    from ..operators.folds import over_time
-
-    exact = over_time(events(spark, sf_dir), "quantile_over_time", GRID, WINDOW, ROLES, phi=0.9, method="R3")
-    n = over_time(events(spark, sf_dir), "count_over_time", GRID, WINDOW, ROLES).withColumnRenamed("value", "n")
-    return h.join(exact, ["user_id", "ts"]).join(n, ["user_id", "ts"]).select("user_id", "ts", (F.col("q") > 0).alias("positive"), (F.col("n") > 0).alias("counted"))
+def _quantile(spark, sf_dir, by: float = 1.0):
+    """The quantile is positive and in the bucket of the exact one, restated over the raw samples; ``by`` spoils it, for tests."""
+    h = _hists(spark, sf_dir, 5).withColumn("q", hist.hist("quantile", "value", phi=0.9) * by).select("user_id", "ts", "q")
+    points = grids.ts_grid(spark, GRID).withColumnRenamed("ts", "at")
+    inside = (F.col("s.ts") <= F.col("at")) & (F.col("s.ts") > F.col("at") - F.expr(f"INTERVAL {WINDOW // DAY} DAYS"))
+    raw = events(spark, sf_dir).where("value IS NOT NULL").alias("s").join(F.broadcast(points), inside)
+    exact = raw.groupBy("user_id", F.col("at").alias("ts")).agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("e"), F.count("value").alias("n"))
+    top = F.ceil(F.log2("e") * 32)
+    place = F.log2("q") * 32
+    near = (F.col("q") > 0) & (F.col("e") > 0) & (place <= top + 1e-6) & (place >= top - 1 - 1e-6)
+    return h.join(exact, ["user_id", "ts"]).select("user_id", "ts", F.coalesce(near, F.lit(False)).alias("positive"), (F.col("n") > 0).alias("counted"))
 
 
 register("hist_quantile", _quantile, f"WITH {_W} SELECT user_id, make_timestamp(a) AS ts, TRUE AS positive, TRUE AS counted FROM w GROUP BY ALL")

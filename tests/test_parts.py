@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import walk
 from gridweave.operators import compose, folds, hist, pattern, resample, series, windows
+from gridweave.plans import queries_more
 from gridweave.plans.grid import Grid, carries, contains, scan_bounds
 from gridweave.plans.roles import PROFILES, Profile, Roles, profile, set_profile
 from gridweave.sources import grid as grid_source
 from gridweave.sources import samples as sample_source
 from gridweave.streaming import folds as streaming
 
+from .conftest import TESTDATA
+
 SCHEMA = "series_id long, ts long, value double"
 
 
@@ -196,3 +199,9 @@ def test_bounds_of_top_values_hold_where_the_sketch_is_full(spark):
     exact = {r["value"]: r["count"] for r in df.groupBy("value").count().collect()}
     assert all(e["count_lo"] <= exact[e["key"]] <= e["count_hi"] for e in row["value"])
     assert any(e["count_hi"] > exact[e["key"]] for e in row["value"])
+
+
+def test_a_spoiled_histogram_quantile_is_seen(spark):
+    sf = str(TESTDATA / "sf0.001")
+    assert queries_more._quantile(spark, sf).where("NOT positive").isEmpty()
+    assert queries_more._quantile(spark, sf, 1.1).where("positive").isEmpty()
