@@ -30,7 +30,7 @@ NO_P = BLOCKS - frozenset("button label option legend select summary".split())
 
 PATHS, WORDS = 2048, 1024
 PATH_DIM, WORD_DIM, LENGTHS, HIDDEN = 20, 8, 5, 16
-MOST_WORDS = 24
+EVEN = 24
 #: Pages of the training sample and passes over it.
 SAMPLE, EPOCHS, SEED = 800, 20, 11
 
@@ -124,6 +124,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
     return reader.found
 
 
+@lru_cache(maxsize=1 << 16)
 def _bucket(name: str, size: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
 
@@ -133,33 +134,38 @@ def _path_ids(path: tuple) -> tuple[int, ...]:
     """Names of the leaf, its parent and those above, apart; and the two nearest tags together."""
     near = " ".join(tag for tag, _ in path[-2:])
     out = [_bucket(f"near <{near}>", PATHS)]
-    for depth, (tag, names) in enumerate(reversed(path[-8:])):
+    for depth, (tag, names) in enumerate(reversed(path)):
         where = ("own", "parent", "above")[min(depth, 2)]
         out.append(_bucket(f"{where} <{tag}>", PATHS))
-        out += [_bucket(f"{where} .{n}", PATHS) for n in names[:4]]
-    return tuple(out)
+        out += [_bucket(f"{where} .{n}", PATHS) for n in names]
+    return tuple(dict.fromkeys(out))  # each once, however often it nests
 
 
 def vectors(blocks: list[tuple[tuple, str, int]]) -> tuple[list, list, np.ndarray]:
-    """Per block: ids of its path, ids of its first words, and lengths."""
+    """Per block: ids of its path, ids of all its words, and lengths."""
     paths, words, lengths = [], [], np.zeros((len(blocks), LENGTHS), np.float32)
     for i, (path, text, linked) in enumerate(blocks):
         paths.append(_path_ids(path))
-        some = re.findall(r"\w+|\S", text[:400].lower())[:MOST_WORDS]
-        words.append([_bucket(w, WORDS) for w in some])
+        words.append([_bucket(w, WORDS) for w in re.findall(r"\w+|\S", text.lower())])
         n = len(text)
         lengths[i] = np.log1p(n) / 8, min(1.0, linked / n), text[-1] in ".!?…", (i + 1) / len(blocks), 1.0 / (1 + i)
     return paths, words, lengths
 
 
+def _scale(lens: np.ndarray) -> np.ndarray:
+    """What sums of so many embeddings are divided by: the root, and past EVEN in proportion, so that long texts weigh no more."""
+    lens = np.maximum(lens, 1)
+    return (lens / np.minimum(lens, EVEN) ** 0.5)[:, None]
+
+
 def _bag(ids: list, table_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean embedding of each list of ids, with the flat ids and whose they are."""
+    """Scaled sum of embeddings of each list of ids, with the flat ids and whose they are."""
     lens = np.array([len(x) for x in ids])
     of = np.repeat(np.arange(len(ids)), lens)
     flat = np.fromiter((y for x in ids for y in x), np.int64, lens.sum())
     out = np.zeros((len(ids), table_.shape[1]), np.float32)
     np.add.at(out, of, table_[flat])
-    return out / np.maximum(lens, 1)[:, None] ** 0.5, flat, of
+    return out / _scale(lens).astype(np.float32), flat, of
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -254,7 +260,7 @@ class Labeller:
             dx += gates @ wx.T
         flat = dx[row, column]
         for name, ids, of, a, b in (("path", path_ids, path_of, 0, PATH_DIM), ("word", word_ids, word_of, PATH_DIM, PATH_DIM + WORD_DIM)):
-            lens = np.maximum(np.bincount(of, minlength=len(flat)), 1)[:, None] ** 0.5
+            lens = _scale(np.bincount(of, minlength=len(flat)))
             grad[name] = np.zeros_like(self.p[name])
             np.add.at(grad[name], ids, (flat[:, a:b] / lens)[of])
         return loss, grad

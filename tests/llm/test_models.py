@@ -196,6 +196,15 @@ def test_blocks():
     assert [t for _, t, _ in html.blocks_of("plain <b>text")] == ["plain text"]
 
 
+def test_all_words_and_ancestors_reach_the_vectors():
+    """Blocks that differ only after many words, or in an element far above or the fifth of its names, get other ids."""
+    ids = lambda page: tuple(x[0] for x in html.vectors(html.blocks_of(page))[:2])
+    text = "word " * 300
+    assert ids(f"<p>{text}comments</p>")[1] != ids(f"<p>{text}article</p>")[1]
+    for names in ("comments", "a b c d comments"):
+        assert ids(f"<div class='{names}'>{'<div>' * 12}text</div>")[0] != ids(f"<div class='{names[:-8]}article'>{'<div>' * 12}text</div>")[0]
+
+
 def test_gradients():
     pages, labels_ = html.training_pages(4, 5)
     net = html.Labeller(3)
