@@ -2,7 +2,7 @@ import hashlib
 
 from gridweave.llm import substrings
 
-from .helpers import SCHEMA, table
+from .helpers import SCHEMA, prose, table
 
 
 def brute(rows, length=20):
@@ -40,6 +40,32 @@ def test_awkward_rows_both_ways(spark):
     want = brute(keyed(df))
     assert found(substrings.remove_repeats(df)) == want
     assert found(substrings.remove_repeats(df, most_seeds=-1)) == want
+    for hot in (0, 2, 1000):  # all anchors split, some, none
+        assert found(substrings.remove_repeats(df, hot=hot)) == want
+    assert found(substrings.remove_repeats(df, most_seeds=-1, hot=2)) == want
+
+
+def test_many_contexts_around_one_passage(spark):
+    """Passages of 8 to 60 words in other surroundings, overlapping each other's copies, on both sides of ``hot``."""
+    passages = [prose(90 + n, n) for n in (8, 12, 19, 20, 21, 33, 60)]
+    rows = []
+    for i in range(60):
+        p = passages[i % 7].split()
+        rows.append((i, " ".join([prose(1000 + i, i % 30), *p[i % 3 :], prose(2000 + i % 9, 15), *(passages[(i + 1) % 7].split()[: 25 + i % 5])]), "en", "s", 1, *["c"] * 11))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(keyed(df))
+    assert sum(n for _, _, n, _ in want) > 500
+    for hot in (0, 5, 1000):
+        assert found(substrings.remove_repeats(df, hot=hot)) == want
+
+
+def test_matches_are_extended_both_ways_and_words_are_compared():
+    a, b = "p q a b c d x y z".encode().split(), "r q a b c d x y w".encode().split()
+    assert substrings.extended(a, 2, b, 2, 4) == (1, 2)
+    assert substrings.extended(a, 2, b, 1, 4) is None  # equal hashes of other words join nothing
+    one, two = b"p q a b c d x y z", b"r q a b c d x y w"
+    assert substrings.repeats([(2, 2, one), (12, 2, two), (22, 2, one)], 7, 4) == [[], [(11, 18)], [(20, 29)]]
+    assert substrings.repeats([(2, 2, one), (12, 2, two)], 8, 4) == [[], []]
 
 
 def test_other_lengths(spark):
