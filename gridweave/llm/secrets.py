@@ -4,6 +4,9 @@ Candidate strings are the maximal runs of a class's characters that are at least
 a candidate one character at a time; the counts of its characters and the sum of n*log2(n) over them are updated by
 the character that enters and the one that leaves, so a step costs the same whatever the window. Windows at or
 above the class's threshold are merged into spans. Candidates on the allow-list are skipped. DataFrame expressions only.
+
+All steps are linear in the text. A long candidate is walked in stretches that overlap by all but one character of a
+window, so no state grows with it; places are sums taken block by block; spans are merged by what stands before each.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 BASE_KINDS = ("assign", "access", "hex")
+#: Characters of a candidate that are walked at a time, and numbers that are summed at a time.
+STRETCH, BLOCK = 256, 256
 
 
 @dataclass(frozen=True)
@@ -44,40 +49,61 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``, which is evaluated once; within a lambda a plain one is at each step."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def sums_before(numbers: str) -> str:
+    """SQL: for each number of an array<int> the sum of those before it. Blocks are summed first, then what is in them."""
+    empty = "cast(array() AS array<int>)"
+    blocks = f"transform(sequence(0, (size(n_) - 1) div {BLOCK}), b_ -> slice(n_, 1 + b_ * {BLOCK}, {BLOCK}))"
+    running = lambda xs: f"aggregate({xs}, struct({empty} AS l, 0 AS s), (a_, x_) -> struct(concat(a_.l, array(a_.s)) AS l, a_.s + x_ AS s))"
+    local = f"transform({blocks}, c_ -> {running('c_')})"
+    whole = let("p_", local, f"flatten(zip_with(p_, {running('transform(p_, q_ -> q_.s)')}.l, (y_, z_) -> transform(y_.l, v_ -> v_ + z_)))")
+    return let("n_", numbers, f"CASE WHEN size(n_) = 0 THEN {empty} ELSE {whole} END")
+
+
 def located(text: str, pattern: str, found: str) -> str:
     """SQL: (start, len) of each match of ``pattern`` in column ``text``; ``found`` is the column of its matches.
 
     The pieces between the matches and the matches alternate, so a match starts where what stands before it ends.
     """
     pieces = f"transform(split({text}, {_quoted(pattern)}, -1), p -> length(p))"
-    return f"""CASE WHEN size({found}) = 0 THEN cast(array() AS array<struct<start:int,len:int>>) ELSE aggregate(
-      zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> struct(p AS gap, length(m) AS len)),
-      struct(0 AS upto, cast(array() AS array<struct<start:int,len:int>>) AS found),
-      (a, x) -> struct(a.upto + x.gap + x.len AS upto, concat(a.found, array(struct(a.upto + x.gap AS start, x.len AS len))) AS found)
-    ).found END"""
+    steps = f"zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> p + length(m))"
+    return f"""CASE WHEN size({found}) = 0 THEN cast(array() AS array<struct<start:int,len:int>>) ELSE
+      zip_with({sums_before(steps)}, zip_with(slice({pieces}, 1, size({found})), {found}, (p, m) -> struct(p AS gap, length(m) AS len)),
+        (s, x) -> struct(s + x.gap AS start, x.len AS len)) END"""
 
 
 def _suspect(cls: EntropyClass) -> str:
     """SQL: lambda body over candidate ``c`` (start, string): spans whose windows reach the threshold."""
     w = cls.window
     part = lambda n: f"CASE WHEN {n} > 1 THEN {n} * log2({n}) ELSE 0D END"
-    chars = "split(c.s, '')"
-    events = f"""flatten(transform(sequence(0, length(c.s) - 1), i -> CASE WHEN i < {w}
-        THEN array(struct(substring(c.s, i + 1, 1) AS ch, 1 AS d, i AS i))
-        ELSE array(struct(substring(c.s, i - {w - 1}, 1) AS ch, -1 AS d, -1 AS i), struct(substring(c.s, i + 1, 1) AS ch, 1 AS d, i AS i)) END))"""
-    del chars
-    have = "coalesce(a.counts[e.ch], 0)"
-    total = f"a.total + ({part(f'({have} + e.d)')}) - ({part(have)})"
-    entropy = f"(log2({w}) - ({total}) / {w})"
-    spans = f"""CASE WHEN e.i >= {w - 1} AND round({entropy}, 9) >= {cls.bits}D THEN
-        CASE WHEN size(a.spans) > 0 AND element_at(a.spans, -1).stop >= e.i - {w - 1}
-        THEN concat(slice(a.spans, 1, size(a.spans) - 1), array(struct(element_at(a.spans, -1).start AS start, e.i + 1 AS stop)))
-        ELSE concat(a.spans, array(struct(e.i - {w - 1} AS start, e.i + 1 AS stop))) END
+    have, left = "coalesce(a.counts[e.comes], 0)", "a.counts[e.goes]"
+    # Where one character comes and the same goes, nothing changes.
+    same = "e.goes <=> e.comes"
+    total = f"a.total + ({part(f'({have} + 1)')}) - ({part(have)}) + CASE WHEN e.goes IS NULL THEN 0D ELSE ({part(f'({left} - 1)')}) - ({part(left)}) END"
+    counts = f"map_concat(map_filter(a.counts, (k, v) -> k <> e.comes AND NOT k <=> e.goes), map(e.comes, {have} + 1), CASE WHEN {left} > 1 THEN map(e.goes, {left} - 1) ELSE cast(map() AS map<string,int>) END)"
+    entropy = f"(log2({w}) - a.total / {w})"
+    hit = f"""CASE WHEN a.upto >= {w} AND round({entropy}, 9) >= {cls.bits}D THEN
+        CASE WHEN size(a.spans) > 0 AND element_at(a.spans, -1).stop >= a.upto - {w}
+        THEN concat(slice(a.spans, 1, size(a.spans) - 1), array(struct(element_at(a.spans, -1).start AS start, a.upto AS stop)))
+        ELSE concat(a.spans, array(struct(a.upto - {w} AS start, a.upto AS stop))) END
       ELSE a.spans END"""
-    counts = f"map_concat(map_filter(a.counts, (k, v) -> k <> e.ch), map(e.ch, {have} + e.d))"
-    return f"""transform(aggregate({events},
-      struct(cast(map() AS map<string,int>) AS counts, 0D AS total, cast(array() AS array<struct<start:int,stop:int>>) AS spans),
-      (a, e) -> struct({counts} AS counts, {total} AS total, {spans} AS spans)).spans, x -> struct(c.start + x.start AS start, c.start + x.stop AS stop))"""
+    events = f"transform(ch, (x, i) -> struct(x AS comes, CASE WHEN i >= {w} THEN ch[i - {w}] END AS goes))"
+    # A step judges the window that the step before it has completed; the last one is judged at the end.
+    walk = f"""aggregate({let('ch', "split(s, '')", events)},
+      struct(cast(map() AS map<string,int>) AS counts, 0D AS total, 0 AS upto, cast(array() AS array<struct<start:int,stop:int>>) AS spans),
+      (a, e) -> struct(CASE WHEN {same} THEN a.counts ELSE {counts} END AS counts, CASE WHEN {same} THEN a.total ELSE {total} END AS total, a.upto + 1 AS upto, {hit} AS spans),
+      a -> {hit})"""
+    pieces = f"regexp_extract_all(c.s, '.{{1,{STRETCH}}}', 0)"
+    stretches = let("ps", pieces, f"transform(ps, (p, i) -> concat(p, coalesce(left(get(ps, i + 1), {w - 1}), '')))")
+    spans = f"flatten(transform({stretches}, (s, i) -> transform({walk}, x -> struct(c.start + i * {STRETCH} + x.start AS start, c.start + i * {STRETCH} + x.stop AS stop))))"
+    # A span that reaches the next one is one with it: runs begin where the span before ends earlier, and end before the next begins.
+    heads = "filter(transform(sp, (x, i) -> CASE WHEN i = 0 OR sp[i - 1].stop < x.start THEN x.start END), y -> y IS NOT NULL)"
+    tails = "filter(transform(sp, (x, i) -> CASE WHEN i = size(sp) - 1 OR x.stop < sp[i + 1].start THEN x.stop END), y -> y IS NOT NULL)"
+    return let("sp", spans, f"zip_with({heads}, {tails}, (h, t) -> struct(h AS start, t AS stop))")
 
 
 def _listing(spans: str) -> Column:
@@ -90,8 +116,9 @@ SPAN = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 def scan(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts of the fixed kinds, the digest of their spans, and all spans.
 
-    ``found`` holds all spans as structs (start, rank, kind, stop), sorted. Null text counts as empty and has none.
-    A row is read by itself, so repeated rows get equal results; other columns are ignored.
+    ``found`` holds all spans as structs (start, rank, kind, stop), sorted. Null text counts as empty, and empty text has
+    none. Texts and candidates of any length are read whole, in time that grows with them and no faster. A row is read
+    by itself, so repeated rows get equal results; an empty table gives no rows; other columns are ignored.
     """
     out = docs.select("doc_id", text_of().alias("text"))
     out = out.select(
@@ -126,4 +153,5 @@ def scan(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES) -> DataFr
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
+    """scan() over whole ``documents``; its docstring says what null, empty, very long and repeated rows give."""
     return scan(table(spark, sf_dir, "documents")).drop("found")

@@ -115,6 +115,30 @@ def test_secrets(spark):
     assert secrets.scan(table(spark, [])).count() == 0
 
 
+def test_long_candidates(spark):
+    """Spans across many stretches equal brute force; a megabyte of base-64 takes seconds, not hours."""
+    import random
+    import time
+
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def run(n):  # random stretches, dull ones between them, of all lengths around that of a stretch
+        out = ""
+        while len(out) < n:
+            out += "".join(r.choices(letters, k=r.randint(1, 700))) + r.choice("aZ9") * r.randint(1, 60)
+        return out[:n]
+
+    texts = [run(n) for n in (20, 255, 256, 257, 275, 276, 511, 512, 513, 531, 532, 200_000)] + [" ".join(run(40) for _ in range(2000))]
+    rows = [(i, t, None, None, None, *["c"] * 11) for i, t in enumerate(texts)]
+    got = sorted(tuple(r) for r in secrets.scan(spark.createDataFrame(rows, SCHEMA)).drop("found").collect())
+    assert got == sorted((i, *scanned(t)) for i, t in enumerate(texts))
+    long = spark.createDataFrame([(0, run(1_000_000), None, None, None, *["c"] * 11)], SCHEMA)
+    began = time.perf_counter()
+    assert secrets.scan(long).collect()[0]["spans"]
+    assert time.perf_counter() - began < 60
+
+
 # --- sharding
 
 
