@@ -1,21 +1,23 @@
 """A Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
-Every token of every training document is counted, and every word gets a class. The most frequent words (the core) are
-put into classes by the exchange algorithm, which moves one word at a time to the class that raises the likelihood of the
-class bigrams most. Each later word, whatever its count, goes to the class under which all its neighbours in the corpus
-are likeliest; neighbours that have no class yet count as rare words there. Transitions are then counted over the classes
-of all words. The class of rare words is left to words that training lacks, and the end of a document has its own.
-P(text) is the product over tokens of P(class | class before) * P(token | class). With ``head`` given, only so many words
-have classes and all others share that of rare words.
-
-Counts and classes of the most frequent words (``known``, a documented bound) go to every worker; what other words a
-document has is joined with the full vocabulary by a shuffle.
+Every word of every training document is counted, clustered and scored. Documents are read once, into hashes of 64 bits
+of their words, and all later passes run on those. Clustering is by exchange, which puts a word into the class that raises
+the likelihood of the class bigrams most. It starts with the most frequent words, one at a time on the driver. Then come
+rounds over the whole vocabulary: each word, whatever its count, is judged with all its neighbours in the corpus, summed by
+their classes, against what the class bigrams gain without it where it is and with it elsewhere. Words move together in a
+round, as one that is split over many tasks must, and bigrams are counted anew between rounds.
+
+P(text) is the product over tokens of P(class | class before) * P(token | class). The end of a document has its own class.
+So has what training lacks: its rate is that of words seen once, and a word of it is one of as many as Chao's estimate
+says were not seen.
+
+Counts and classes of the most frequent words (``known``, a documented bound) go to every worker as arrays; what other words
+a document has is joined with the full vocabulary by a shuffle. As neighbours, those count as one class of rare words.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,17 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import words as W
 from .common import arrow_batches, materialize, table, text_of
 
-#: Words that exchange itself moves; a table of this size squared is all that the driver holds.
+#: Words that exchange starts with, on the driver; a table of this size squared is all that it holds.
 HEAD = 1000
 CLASSES = 64
 KNOWN = 400_000
 SWEEPS = 6
-#: Distinct words that a task counts before it hands them on.
-MOST_COUNTED = 300_000
-#: Neighbours that a task gathers before it sums them.
-MOST_NEIGHBOURS = 4_000_000
+#: Rounds of exchange over the whole vocabulary, the first of which gives all words past the start a class.
+ROUNDS = 2
+#: Tokens that a task gathers before it sums them, and pairs of a word and a class that it weighs at a time.
+MOST_TOKENS, MOST_PAIRS = 3_000_000, 50_000
+#: Counts up to this are weighed by a table.
+TABLED = 12
 #: Weight of the class unigram in the transition probabilities.
 PRIOR = 5.0
 END, RARE = 0, 1
@@ -48,87 +53,126 @@ def tokens_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = W.Hashes()
+    for batch in batches:
+        out = [known.of(tokens_of(text)).tobytes() for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(out, pa.binary())], names=["row", "doc_id", "hashes"])
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, hashes) of each row, written: rows are numbered once and for all."""
+    arrow_batches(docs.sparkSession)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
+    return materialize(rows.mapInArrow(_hashed, f"row bigint, doc_id {id_type}, hashes binary"), "classlm-hashes")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all documents of a batch, and how many each has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.int64), np.array([len(x) >> 3 for x in parts], np.int64)
+
+
+def _line(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents one after another with an end before and after each, and where their words stand."""
+    at = np.arange(len(ids)) + 1 + np.repeat(np.arange(len(lens)), lens)
+    line = np.full(len(ids) + len(lens) + 1, END, np.int64)
+    line[at] = ids
+    return line, at
+
+
+def _found(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in the sorted ``keys``, and their number where it is not there."""
+    if not len(keys):
+        return np.zeros(len(hashes), np.int64)
+    at = np.searchsorted(keys, hashes)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == hashes, at, len(keys))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-    out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
+
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            counts.update(tokens_of(text))
-        if len(counts) > MOST_COUNTED:
+        held.append(_flat(batch.column("hashes"))[0])
+        if sum(map(len, held)) > MOST_TOKENS:
             yield out()
-            counts.clear()
     yield out()
 
 
-def _count_pairs(ids: dict[bytes, int], size: int):
+def _count_pairs(model, size: int):
+    """Bigrams of ids; ``model`` has the sorted keys and the id of each, with that of other words at the end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids = model.value
         counts = np.zeros(size * size, np.int64)
-        get = ids.get
         for batch in batches:
-            line = [END]
-            for text in batch.column("text").to_pylist():
-                line += [get(w, RARE) for w in tokens_of(text)]
-                line.append(END)
-            at = np.array(line, np.int64)
-            counts += np.bincount(at[:-1] * size + at[1:], minlength=size * size)
+            flat, lens = _flat(batch.column("hashes"))
+            line, _ = _line(ids[_found(keys, flat)], lens)
+            counts += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["pair", "n"])
 
     return run
 
 
-def _count_neighbours(core: dict[bytes, int], total: int):
-    """(word, key, n) of words outside the core; the key is the class before, or ``total`` and the class after."""
+def _pairs(texts: DataFrame, model, size: int) -> np.ndarray:
+    seen = texts.mapInArrow(_count_pairs(model, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    seen = seen.toArrow()  # at most the square of ``size`` rows
+    out = np.zeros(size * size, np.int64)
+    out[seen["pair"].to_numpy()] = seen["n"].to_numpy()
+    return out.reshape(size, size)
+
+
+def _count_neighbours(model, total: int, least: int):
+    """(h, keys, ns) of words whose class is below ``least``: counts by the class before, ``total`` and the class after, or
+    twice ``total`` for the word itself, which is counted once."""
+    wide = 2 * total + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[bytes, int] = {}
-        keys: list[np.ndarray] = []
-        get, wide = core.get, 2 * total
+        keys, ids = model.value
+        words: list[np.ndarray] = []
+        near: list[np.ndarray] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            some, n = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_counts=True)
-            words = pa.array(list(names), pa.binary())
-            for i in range(0, len(some), 500_000):
-                part = some[i : i + 500_000]
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(part // wide)), pa.array((part % wide).astype(np.int32)), pa.array(n[i : i + 500_000])], names=["word", "key", "n"])
-            names.clear()
-            keys.clear()
+            if not words:
+                return
+            h, of = np.unique(np.concatenate(words), return_inverse=True)
+            some, n = np.unique(of * wide + np.concatenate(near), return_counts=True)
+            words.clear()
+            near.clear()
+            starts = np.searchsorted(some, np.arange(len(h) + 1) * wide)
+            for i in range(0, len(h), 50_000):
+                ends = starts[i : i + 50_001]
+                cut = slice(ends[0], ends[-1])
+                offsets = pa.array((ends - ends[0]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((some[cut] % wide).astype(np.int16), n[cut].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000]), *lists], names=["h", "keys", "ns"])
 
         for batch in batches:
-            line = [END]
-            for text in batch.column("text").to_pylist():
-                for w in tokens_of(text):
-                    k = get(w)
-                    line.append(total + names.setdefault(w, len(names)) if k is None else k)
-                line.append(END)
-            at = np.array(line, np.int64)
-            i = np.flatnonzero(at >= total)
-            seen = np.where(at >= total, RARE, at)
-            own = (at[i] - total) * wide
-            keys += [own + seen[i - 1], own + total + seen[i + 1]]
-            if len(names) > MOST_COUNTED or sum(map(len, keys)) > MOST_NEIGHBOURS:
+            flat, lens = _flat(batch.column("hashes"))
+            own = ids[_found(keys, flat)]
+            line, at = _line(own, lens)
+            again = np.zeros(len(flat) + 1, bool)  # the word before, in the same document, is the same
+            again[1:-1] = (flat[1:] == flat[:-1]) & (at[1:] == at[:-1] + 1)
+            wanted = own < least
+            left = np.where(again[:-1], 2 * total, line[at - 1])
+            right = wanted & ~again[1:]
+            words += [flat[wanted], flat[right]]
+            near += [left[wanted], total + line[at + 1][right]]
+            if sum(map(len, words)) > 2 * MOST_TOKENS:
                 yield from out()
         yield from out()
 
     return run
 
 
-def _assign(table_: np.ndarray, total: int):
-    """The class of each word with its summed neighbours: the likeliest, by ``table_`` (key, class) of logarithms."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("seen")
-            starts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-            key, n = (x.to_numpy() for x in lists.flatten().flatten())
-            if len(starts):
-                best = np.add.reduceat(table_[key] * n[:, None], starts).argmax(1)
-                count = np.add.reduceat(np.where(key < total, n, 0), starts)  # each token has one neighbour before it
-                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(count), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
-
-    return run
-
-
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
@@ -175,6 +219,94 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+
+def gains(of: np.ndarray, key: np.ndarray, n: np.ndarray, now: np.ndarray, bigrams: np.ndarray, tabled: np.ndarray | None = None) -> np.ndarray:
+    """For each word and class, what the class bigrams gain by the word in that class over it in none.
+
+    ``of``, ``key``, ``n``: sorted words (0, 1, ..), their neighbours' classes as _count_neighbours() numbers them, counts;
+    ``now``: the class in which ``bigrams`` have a word, or -1. Links of a word to its own class are taken as they stand.
+    """
+    total = len(bigrams)
+    both = np.concatenate([bigrams, bigrams.T, np.diagonal(bigrams)[None]])
+    tabled = gain_table(bigrams) if tabled is None else tabled
+    low = n <= TABLED
+    out = np.empty((len(n), total))
+    out[low] = tabled[n[low], key[low]]
+    x, m = both[key[~low]], n[~low, None]
+    out[~low] = _xlogx(x + m) - _xlogx(x)
+    mine = now[of]
+    p = np.flatnonzero(mine >= 0)
+    x = both[key[p], mine[p]]
+    out[p, mine[p]] = _xlogx(x) - _xlogx(x - n[p])
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    out = np.add.reduceat(out, starts)
+    itself = key == 2 * total
+    before, after = (np.bincount(of, np.where((key // total == side) | itself, n, 0), len(now))[:, None] for side in (0, 1))
+    rows, columns = bigrams.sum(1), bigrams.sum(0)
+    w = np.flatnonzero(now >= 0)
+    for count, sums in ((after, rows), (before, columns)):  # a word that comes before another is in the row of its class
+        loss = _xlogx(sums + count) - _xlogx(sums)
+        loss[w, now[w]] = _xlogx(sums[now[w]]) - _xlogx(sums[now[w]] - count[w, 0])
+        out -= loss
+    out[:, :2] = -np.inf
+    return out
+
+
+def gain_table(bigrams: np.ndarray) -> np.ndarray:
+    """What counts up to TABLED add, by count, key and class."""
+    both = np.concatenate([bigrams, bigrams.T, np.diagonal(bigrams)[None]])
+    return np.stack([_xlogx(both + i) - _xlogx(both) for i in range(TABLED + 1)])
+
+
+def _moved(model, bigrams: np.ndarray):
+    """Rows of _count_neighbours() in order of h to (h, n, class): each word in the class that gains most, or where it is."""
+    total = len(bigrams)
+    wide = 2 * total + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids = model.value
+        tabled = gain_table(bigrams)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def judged(h: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            words, of = np.unique(h, return_inverse=True)
+            some, at = np.unique(of * wide + key, return_inverse=True)
+            n = np.bincount(at, n, len(some)).astype(np.int64)
+            of, key = some // wide, some % wide
+            now = ids[_found(keys, words)]
+            now = np.where(now == RARE, -1, now)
+            ends = np.searchsorted(of, np.arange(len(words) + 1))
+            i = 0
+            while i < len(words):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + MOST_PAIRS, "right")) - 1)
+                cut = slice(ends[i], ends[j])
+                gain = gains(of[cut] - i, key[cut], n[cut], now[i:j], bigrams, tabled)
+                best, a = gain.argmax(1), now[i:j]
+                stay = np.flatnonzero(a >= 0)
+                stay = stay[gain[stay, best[stay]] <= gain[stay, a[stay]] + 1e-9]
+                best[stay] = a[stay]
+                count = np.bincount(of[cut] - i, np.where((key[cut] < total) | (key[cut] == 2 * total), n[cut], 0), j - i)  # each token has one before it
+                yield pa.RecordBatch.from_arrays([pa.array(words[i:j]), pa.array(count.astype(np.int64)), pa.array(best.astype(np.int32))], names=["h", "n", "class"])
+                i = j
+
+        for batch in batches:
+            lists = batch.column("keys")
+            lens = np.diff(lists.offsets.to_numpy())
+            held.append((np.repeat(batch.column("h").to_numpy(), lens), lists.flatten().to_numpy().astype(np.int64), batch.column("ns").flatten().to_numpy()))
+            size += len(held[-1][0])
+            if size > 4 * MOST_PAIRS:
+                h, key, n = (np.concatenate(x) for x in zip(*held))
+                whole = int(np.searchsorted(h, h[-1])) if len(h) else 0  # the last word may go on
+                held = [(h[whole:], key[whole:], n[whole:])]
+                size = len(h) - whole
+                yield from judged(h[:whole], key[:whole], n[:whole])
+        if held:
+            yield from judged(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
 def _band() -> Column:
     """Counts in bands of a sixty-fourth of a doubling."""
     return F.floor(F.log2("n") * 64)
@@ -194,104 +326,104 @@ def _least_band(vocabulary: DataFrame, known: int) -> int:
 
 @dataclass
 class Model:
-    """What workers score with. Words are joined by spaces; the first ``len(classes) - 2`` of them have the classes."""
+    """What workers score with: known words by hash, with their counts and classes, and the class of other words at the end."""
 
-    words: bytes
+    keys: np.ndarray
     counts: np.ndarray
-    classes: np.ndarray  # of END, RARE, then the words
+    classes: np.ndarray
     step: np.ndarray  # log10 P(class | class before); zero until counted
     class_tokens: np.ndarray
     total: int  # tokens in training
     types: int  # distinct tokens in training
-    rare_total: float  # denominator of the emissions of the rare class
+    unseen: float  # rate of words that training lacks
+    unseen_types: float  # how many they are
     least: int  # band of counts from which words are known
 
 
-def _steps(bigrams: np.ndarray, class_tokens: np.ndarray) -> np.ndarray:
-    prior = (class_tokens + 1) / (class_tokens + 1).sum()
-    return np.log10((bigrams + PRIOR * prior) / (bigrams.sum(1, keepdims=True) + PRIOR))
+def _steps(bigrams: np.ndarray, class_tokens: np.ndarray, unseen: float) -> np.ndarray:
+    """Transitions; one to the class of unseen words has their rate from any class."""
+    prior = class_tokens + 1
+    prior[RARE] = 0
+    seen = bigrams.astype(float)
+    seen[:, RARE] = 0
+    step = (seen + PRIOR * prior / prior.sum()) / (seen.sum(1, keepdims=True) + PRIOR) * (1 - unseen)
+    step[:, RARE] = unseen
+    return np.log10(step)
 
 
-def _learned(docs: DataFrame, head: int | None, classes: int, known: int, sweeps: int) -> tuple[Model, DataFrame, DataFrame]:
-    """The model without its steps, (word, n) of all words of ``docs``, and (word, n, class) of those not in the model."""
-    arrow_batches(docs.sparkSession)
-    texts = docs.select(text_of().alias("text"))
-    vocabulary = texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def _learned(rows: DataFrame, classes: int, known: int, sweeps: int, rounds: int, head: int) -> tuple[Model, DataFrame, DataFrame]:
+    """From hashed training rows: the model without its steps, (h, n) of all words, and (h, n, class) of them."""
+    spark = rows.sparkSession
+    texts = rows.select("hashes")
+    vocabulary = texts.mapInArrow(_count_words, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     vocabulary = materialize(vocabulary, "classlm-vocabulary")
-    n_docs = docs.count()
-    n_words, n_types = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n_docs = rows.count()
+    n_words, n_types, once, twice = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
     least = _least_band(vocabulary, known)
     top = vocabulary.where(_band() >= least).toArrow()  # at most ``known`` rows
-    order = sorted(zip((-top["n"].to_numpy()).tolist(), top["word"].to_pylist()))
-    words = [w for _, w in order]
-    counts = np.array([-n for n, _ in order], np.int64)
-    ids = {w: i + 2 for i, w in enumerate(words[: HEAD if head is None else head])}
-    size, total = len(ids) + 2, classes + 2
-    pairs = np.zeros(size * size, np.int64)
-    seen = texts.mapInArrow(_count_pairs(ids, size), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    seen = seen.toArrow()  # at most the square of ``head`` rows
-    pairs[seen["pair"].to_numpy()] = seen["n"].to_numpy()
-    pairs = pairs.reshape(size, size)
-    # A line of a batch begins with an end of its own, one for each batch, which is the start of its first document.
+    order = np.argsort(top["h"].to_numpy())
+    keys, counts = top["h"].to_numpy()[order], top["n"].to_numpy()[order]
+    core = np.lexsort((keys, -counts))[:head]
+    size, total = len(core) + 2, classes + 2
+    ids = np.full(len(keys) + 1, RARE, np.int64)
+    ids[core] = np.arange(2, size)
+    pairs = _pairs(texts, spark.sparkContext.broadcast((keys, ids)), size)
     of = exchange(pairs, classes, sweeps)
+    ids[core] = of[2:]
+    one = np.eye(total)[of]
+    bigrams = one.T @ pairs @ one
+    classed = None
+    for i in range(max(1, rounds)):
+        model = spark.sparkContext.broadcast((keys, ids.copy()))
+        if i:
+            bigrams = _pairs(texts, model, total).astype(np.float64)
+        near = texts.mapInArrow(_count_neighbours(model, total, total if i else 2), "h bigint, keys array<smallint>, ns array<int>")
+        moved = near.repartition("h").sortWithinPartitions("h").mapInArrow(_moved(model, bigrams), "h bigint, n bigint, class int")
+        if not i:  # the words that exchange has started with stay
+            mine = pa.table({"h": keys[core], "n": counts[core], "class": ids[core].astype(np.int32)})
+            moved = moved.unionByName(spark.createDataFrame(mine.to_pandas(), "h bigint, n bigint, class int"))
+        classed = materialize(moved, "classlm-classes")
+        found = classed.where(_band() >= least).select("h", "class").toArrow()  # at most ``known`` rows
+        ids[np.searchsorted(keys, found["h"].to_numpy())] = found["class"].to_numpy()
     class_tokens = np.zeros(total)
-    np.add.at(class_tokens, of[2:], counts[: size - 2])
-    class_tokens[END], class_tokens[RARE] = n_docs, n_words - counts[: size - 2].sum()
-    rare_types = n_types - (size - 2)
-    others = vocabulary.where(_band() < least).withColumn("class", F.lit(RARE))
-    if head is None and rare_types:
-        one = np.eye(total)[of]
-        step = _steps(one.T @ pairs @ one, class_tokens) * math.log(10)
-        likely = np.r_[step - np.log(np.maximum(class_tokens, 1)), step.T]
-        likely[:, (class_tokens == 0) | (np.arange(total) < 2)] = -np.inf
-        near = texts.mapInArrow(_count_neighbours({w: int(of[i]) for w, i in ids.items()}, total), "word binary, key int, n bigint")
-        near = near.repartition("word").groupBy("word", "key").agg(F.sum("n").alias("n"))
-        near = near.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("seen"))
-        classed = materialize(near.mapInArrow(_assign(likely, total), "word binary, n bigint, class int"), "classlm-classes")
-        class_tokens[RARE] = rare_types = 0
-        for k, n in classed.groupBy("class").agg(F.sum("n")).collect():
-            class_tokens[k] += n
-        found = classed.where(_band() >= least).select("word", "class").toArrow()  # at most ``known`` rows
-        of_word = dict(zip(found["word"].to_pylist(), found["class"].to_pylist()))
-        of = np.r_[of, [of_word[w] for w in words[size - 2 :]]].astype(np.int64)
-        others = classed.where(_band() < least)
-    model = Model(b" ".join(words), counts, of, np.zeros((total, total)), class_tokens, n_words + n_docs, n_types + (n_docs > 0), class_tokens[RARE] + rare_types + 1, least)
-    return model, vocabulary, others
+    class_tokens[END] = n_docs
+    for k, n in classed.groupBy("class").agg(F.sum("n")).collect():
+        class_tokens[k] += n
+    unseen = (once + 1) / (n_words + n_docs + 2)
+    model = Model(keys, counts, ids, np.zeros((total, total)), class_tokens, n_words + n_docs, n_types + (n_docs > 0), unseen, max(1.0, once * (once - 1) / (2.0 * (twice + 1))), least)
+    return model, vocabulary, classed
 
 
 def _read(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        ids = {w: i for i, w in enumerate(m.words.split())}
-        head = len(m.classes) - 2
-        log_count = np.log10(m.counts + 1.0)
-        # By id of a known word, and at the end for a word that is not: class, and log10 of its emission.
-        cls = np.full(len(ids) + 1, RARE)
-        cls[:head] = m.classes[2:]
-        emit = np.r_[log_count - math.log10(m.rare_total), 0.0]
-        emit[:head] = np.log10(m.counts[:head] / m.class_tokens[m.classes[2:]]) if head else 0.0
-        log_count = np.r_[log_count, 0.0]
+        log_count = np.r_[np.log10(m.counts + 1.0), 0.0]
+        # Of a known word; one that is not adds its own once it is joined.
+        emit = np.r_[np.log10(m.counts / m.class_tokens[m.classes[:-1]]), 0.0]
         n_docs = int(m.class_tokens[END])
         end_base = math.log10(n_docs + 1.0)
-        get, none = ids.get, len(ids)
+        none = len(m.keys)
         for batch in batches:
-            main, tail = [], []
-            for key, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "text")]):
-                words = tokens_of(text)
-                at = np.array([get(w, none) for w in words], np.int64)
-                path = np.r_[END, cls[at], END].astype(np.int16)
-                strange = np.flatnonzero(at == none).tolist()
-                missing = len(strange)
-                main.append((
-                    key, b" %d" % key, None, len(words) + 1, len(words) - missing + (n_docs > 0),
-                    float(log_count[at].sum()) + end_base, float(emit[at].sum()), path.tobytes(), doc_id,
-                ))
-                tail += [(key, words[i], i + 1, 0, 0, 0.0, 0.0, None, None) for i in strange]
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), batch.schema.field("doc_id").type]
-            names = ["row", "word", "at", "n_tokens", "n_known", "base", "emitted", "path", "doc_id"]
-            for part in (main, tail):
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names=names)
+            flat, lens = _flat(batch.column("hashes"))
+            at = _found(m.keys, flat)
+            strange = at == none
+            of = np.repeat(np.arange(len(lens)), lens)
+            add = lambda x: np.bincount(of, x, len(lens)).astype(np.float64)
+            first = np.r_[0, np.cumsum(lens)]
+            cls = m.classes[at].astype(np.int16)
+            end = np.array([END], np.int16)
+            paths = [np.concatenate([end, cls[first[i] : first[i + 1]], end]).tobytes() for i in range(len(lens))]
+            null = lambda n, kind: pa.nulls(n, kind)
+            n, kinds = len(lens), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), batch.schema.field("doc_id").type)
+            names = ["row", "h", "at", "n_tokens", "n_known", "base", "emitted", "path", "doc_id"]
+            main = [batch.column("row"), null(n, pa.int64()), null(n, pa.int32()), pa.array(lens + 1), pa.array(lens - add(strange).astype(np.int64) + (n_docs > 0)), pa.array(add(log_count[at]) + end_base), pa.array(add(emit[at])), pa.array(paths, pa.binary()), batch.column("doc_id")]
+            yield pa.RecordBatch.from_arrays(main, names=names)
+            some = np.flatnonzero(strange)
+            if len(some):
+                k = len(some)
+                place = (some - first[of[some]] + 1).astype(np.int32)
+                tail = [batch.column("row").take(pa.array(of[some])), pa.array(flat[some]), pa.array(place), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64)), *[pa.array(np.zeros(k))] * 2, *[null(k, t) for t in kinds[-2:]]]
+                yield pa.RecordBatch.from_arrays(tail, names=names)
 
     return run
 
@@ -313,18 +445,18 @@ def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(out, pa.binary())], names=[*rest, "path"])
 
 
-def _paths(docs: DataFrame, model: Model, others: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, counts, sums of logarithms of word counts and emissions, and the path of classes."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    # Rows of one file split keep their order, so the number of a row is the same whenever its task is run again.
-    rows = docs.select("doc_id", text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
-    columns = f"row bigint, word binary, at int, n_tokens bigint, n_known bigint, base double, emitted double, path binary, doc_id {id_type}"
-    parts = rows.mapInArrow(_read(docs.sparkSession.sparkContext.broadcast(model)), columns)
-    # A row of its own for each document, under a word with a space that joins nothing, carries what is known already.
-    joined = parts.join(others.withColumnRenamed("n", "c"), "word", "left")
-    tail, c, k = F.col("at").isNotNull(), F.coalesce("c", F.lit(0)), F.coalesce("class", F.lit(RARE))
+def _paths(rows: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
+    """One row per hashed row: doc_id, counts, sums of logarithms of word counts and emissions, and the path of classes."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    columns = f"row bigint, h bigint, at int, n_tokens bigint, n_known bigint, base double, emitted double, path binary, doc_id {id_type}"
+    parts = rows.mapInArrow(_read(rows.sparkSession.sparkContext.broadcast(model)), columns)
+    # A row of its own for each document, without a hash, carries what is known already; spread, lest all meet in one task.
+    others = classed.where(_band() < model.least).select(F.col("h").alias("word"), F.col("n").alias("c"), "class")
+    joined = parts.join(others, F.coalesce("h", -F.col("row") - 1) == F.col("word"), "left").where("at IS NOT NULL OR path IS NOT NULL")
+    tail = F.col("at").isNotNull()
+    c, k = F.when(tail, F.coalesce("c", F.lit(0))).otherwise(0), F.coalesce("class", F.lit(RARE))
     size = F.element_at(F.lit([float(x) for x in model.class_tokens]), k + 1)
-    emitted = F.when(k == RARE, F.log10(c + F.lit(1.0)) - F.lit(math.log10(model.rare_total))).otherwise(F.log10(c / size))
+    emitted = F.when(k == RARE, F.lit(-math.log10(model.unseen_types))).otherwise(F.log10(c / size))
     out = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
@@ -357,14 +489,15 @@ def _with_steps(model: Model, paths: DataFrame) -> Model:
     seen = paths.select("path").mapInArrow(_count_steps(total), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(total * total)
     bigrams[seen["pair"].to_numpy()] = seen["n"].to_numpy()
-    model.step = _steps(bigrams.reshape(total, total), model.class_tokens)
+    model.step = _steps(bigrams.reshape(total, total), model.class_tokens, model.unseen)
     return model
 
 
-def fit(docs: DataFrame, head: int | None = None, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
-    """The model, and (word, n) of all words of the training documents ``docs``."""
-    model, vocabulary, others = _learned(docs, head, classes, known, sweeps)
-    return _with_steps(model, _paths(docs, model, others)), vocabulary
+def fit(docs: DataFrame, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS, rounds: int = ROUNDS, head: int = HEAD) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, (h, n) of all words of the training documents ``docs``, and (h, n, class) of them."""
+    rows = hashed(docs)
+    model, vocabulary, classed = _learned(rows, classes, known, sweeps, rounds, head)
+    return _with_steps(model, _paths(rows, model, classed)), vocabulary, classed
 
 
 def _walk(step: np.ndarray):
@@ -380,15 +513,17 @@ def _walk(step: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, head: int | None = None, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS) -> DataFrame:
+def score(docs: DataFrame, classes: int = CLASSES, known: int = KNOWN, sweeps: int = SWEEPS, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
-    Learns from the rows that are not held out. Null text is empty and has its end alone; a null id counts as empty text
-    in the hash. A word that training lacks has the rare class's smallest emission. Rows are scored one by one, so
-    repeated rows get equal results, and in training they count as often as they are there. Other columns are ignored.
+    Learns from the rows that are not held out. Null and empty text has its end alone; a text of any length is scored whole;
+    a null id counts as empty text in the hash. A word that training lacks has a class of its own. Rows are numbered and
+    scored one by one, so repeated rows get equal results, and in training they count as often as they are there. An empty
+    table gives no rows. Other columns are ignored, whatever their names.
     """
-    model, _, others = _learned(docs.where(~held_out()), head, classes, known, sweeps)
-    paths = _paths(docs, model, others)
+    rows = hashed(docs)
+    model, _, classed = _learned(rows.where(~held_out()), classes, known, sweeps, rounds, head)
+    paths = _paths(rows, model, classed)
     model = _with_steps(model, paths.where(~held_out()))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     out = paths.mapInArrow(_walk(model.step), f"doc_id {id_type}, n_tokens bigint, n_known bigint, base double, emitted double, walked double")
@@ -406,4 +541,5 @@ def score(docs: DataFrame, head: int | None = None, classes: int = CLASSES, know
 
 
 def op5_classlm(spark, sf_dir: str) -> DataFrame:
+    """score() over whole ``documents``; its docstring says what null, empty and repeated rows give."""
     return score(table(spark, sf_dir, "documents")).drop("perplexity")

@@ -15,6 +15,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: A side is broadcast only if it was counted and has no more rows than this.
 BROADCAST_ROWS = 200_000
+#: Nor more bytes than this, measured as JSON.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder below the one that the cluster shares (spark.checkpoint.dir); a local one only where that is unset."""
+    """A new folder below the one that the cluster shares (spark.checkpoint.dir). Only a local session, whose driver and
+    executors are one machine, gets a folder of its own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='gridweave-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -49,9 +54,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with a broadcast hint if it was counted to have at most ``most`` rows; else as it is, to be shuffled."""
-    fits = df.limit(most + 1).count() <= most
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` with a broadcast hint if it was measured to have at most ``most`` rows and ``most_bytes``; else as it is, to be shuffled."""
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(row.cast("long"))).first()
+    fits = rows <= most and (size or 0) <= most_bytes
     return (F.broadcast(df) if fits else df), fits
 
 
@@ -85,6 +92,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows in an Arrow batch: with documents of 100 KB a batch is some 50 MB, which a Python worker holds."""
+def arrow_batches(spark: SparkSession, rows: int = 512, size: int = 64 << 20) -> None:
+    """Rows and bytes in an Arrow batch at most, for the session: what a Python worker holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def stable(docs: DataFrame, tag: str) -> DataFrame:
+    """``docs`` such that its rows are numbered alike whenever a task is run again: written first, unless it is read from files as it is."""
+    return materialize(docs, tag) if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_substrings": substrings.op10_substrings,
+    "sharding_splits": sharding.sharding_splits,
 }
 
 ORACLE_SQL = {
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op6_warc": warc.OP6_SQL,
     "op7_sharding": sharding.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "sharding_splits": sharding.SPLITS_SQL,
     "op10_substrings": substrings.OP10_SQL,
 }

@@ -18,6 +18,8 @@ BITS = 60
 SHARD_BYTES = 16 << 20
 #: Bits of a grain beyond those that an even split would need.
 SPARE_BITS = 5
+#: Rows of a table that are numbered together are dealt to pages in stretches of two to the power of this.
+STRETCH_BITS = 14
 
 
 def hash_of(doc_id: str = "doc_id") -> Column:
@@ -56,9 +58,11 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 
     ``shard_id`` is the bucket's prefix in bits ('' for a single shard). Rows with one id share all their bits: where
     they exceed the limit together, their bucket gets overflow pages and the id ends in '.' and the page. A shard is
-    ``oversized`` only if it holds a single document over the limit. Null text has 0 bytes; an empty table has no shards.
+    ``oversized`` only if it holds a single document over the limit. Null and empty text has 0 bytes, a long one all of its
+    bytes; null ids have the hash of the empty text, so they repeat one id. Rows that are equal are told apart by their
+    number in the table that the first step has written. An empty table has no shards; other columns are ignored.
     """
-    rows = materialize(docs.select("doc_id", hash_of().alias("h"), F.octet_length(text_of()).cast("long").alias("n_bytes")), "sharding-rows")
+    rows = materialize(docs.select("doc_id", hash_of().alias("h"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("row")), "sharding-rows")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     low, high = 0, min(BITS, math.ceil(math.log2(max(1, total / limit))) + SPARE_BITS)
     parts, pending = [], rows
@@ -86,23 +90,43 @@ def shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
 def _pages(rows: DataFrame, name: Column, limit: int) -> DataFrame:
     """Overflow pages for buckets of one hash value: rows that repeat an id, or one document over the limit.
 
-    A page takes the rows that begin within limit less the largest row, so it fits; where a row is over half of the
-    limit each gets its own page.
+    Rows lie in the order of their number. A page takes those that begin within limit less the largest row, so it fits;
+    where a row is over half of the limit each gets its own page. What lies before a row is summed in two steps, over
+    stretches of the table and within the row's own, so that no bucket is gathered in one task.
     """
-    own = Window.partitionBy("depth", "prefix")
-    order = own.orderBy("n_bytes")
-    before = F.coalesce(F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = F.lit(limit) - F.max("n_bytes").over(own)
-    page = F.when(room * 2 < limit, F.row_number().over(order) - 1).otherwise(F.floor(before / F.greatest(room, F.lit(1))))
-    rows = rows.withColumn("page", page).withColumn("shard_id", F.when(F.col("shard_docs") == 1, name).otherwise(F.concat(name, F.lit("."), F.col("page").cast("string"))))
+    bucket = ["depth", "prefix"]
+    rows = materialize(rows.withColumn("stretch", F.expr(f"shiftright(row, {STRETCH_BITS})")), "sharding-paged")
+    sums = rows.groupBy(*bucket, "stretch").agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("c"), F.max("n_bytes").alias("m"))
+    upto = Window.partitionBy(*bucket).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    largest = sums.groupBy(*bucket).agg(F.max("m").alias("most"))
+    starts = sums.select(*bucket, "stretch", F.coalesce(F.sum("b").over(upto), F.lit(0)).alias("b0"), F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("c0")).join(largest, bucket)
+    side, _ = small(materialize(starts, "sharding-stretches"))
+    inside = Window.partitionBy(*bucket, "stretch").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("b0") + F.coalesce(F.sum("n_bytes").over(inside), F.lit(0))
+    number = F.col("c0") + F.count(F.lit(1)).over(inside)
+    room = F.lit(limit) - F.col("most")
+    page = F.when(room * 2 < limit, number).otherwise(F.floor(before / F.greatest(room, F.lit(1))))
+    rows = rows.join(side, [*bucket, "stretch"]).withColumn("page", page)
+    rows = materialize(rows.withColumn("shard_id", F.when(F.col("shard_docs") == 1, name).otherwise(F.concat(name, F.lit("."), F.col("page").cast("string")))), "sharding-pages")
     sums = rows.groupBy("shard_id").agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("docs"))
-    return rows.join(sums, "shard_id").select("doc_id", "n_bytes", "shard_id", "depth", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+    side, _ = small(materialize(sums, "sharding-page-sums"))
+    return rows.join(side, "shard_id").select("doc_id", "n_bytes", "shard_id", "depth", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
+    """shards() over whole ``documents``; its docstring says what null, empty and repeated rows give."""
     return shards(table(spark, sf_dir, "documents"))
 
 
+#: A limit under which the smallest tables split as well.
+SPLIT_BYTES = 256 << 10
+
+
+def sharding_splits(spark, sf_dir: str) -> DataFrame:
+    """The same with a limit that makes the buckets of small tables split."""
+    return shards(table(spark, sf_dir, "documents"), SPLIT_BYTES)
+
+
 #: Ids are unique in the tables that this runs on, so it has no overflow pages.
 OP7_TEMPLATE = """
 WITH d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
@@ -117,3 +141,4 @@ SELECT leaf.doc_id, leaf.n_bytes, CASE WHEN leaf.depth = 0 THEN '' ELSE
 FROM leaf JOIN d ON leaf.doc_id = d.doc_id JOIN lv ON lv.depth = leaf.depth AND lv.prefix = d.h >> (60 - leaf.depth)
 """
 OP7_SQL = OP7_TEMPLATE.format(docs="documents", limit=SHARD_BYTES)
+SPLITS_SQL = OP7_TEMPLATE.format(docs="documents", limit=SPLIT_BYTES)

@@ -165,7 +165,8 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = str(options.get("payload", "true")).lower() != "false"
         self.bytes = int(options.get("partitionbytes", FILE_BYTES))
-        self.equal: list[tuple[tuple[str, ...], frozenset]] = []
+        # Fields without a column are asked for by options ``header.<name>``, since Spark pushes no look-up in a map.
+        self.equal: list[tuple[tuple[str, ...], frozenset]] = [(("headers", k[len("header.") :]), frozenset([v])) for k, v in options.items() if k.lower().startswith("header.")]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -296,7 +297,8 @@ def page_records(pages: DataFrame, least_bytes: int = 0, salts: int = 32) -> Dat
     """(WRITES) for each row of ``pages``: response, or revisit of the response with the same payload and the largest page_id.
 
     Payloads under ``least_bytes`` are all responses. Null html is empty; of rows that repeat the largest page_id with
-    its payload each is a response; a null page_id is less than any other. The record id names the page.
+    its payload each is a response; a null page_id is less than any other. The record id names the page. Payloads of any
+    length are whole, an empty table gives no record, and other columns are ignored.
     Groups of equal payloads are found from digests alone; where there are too many to broadcast, large groups are
     dealt over ``salts`` tasks.
     """
@@ -322,17 +324,33 @@ def write_archive(pages: DataFrame, path: str, compression: str = "gzip", **opti
     page_records(pages, **options).write.format("warc").mode("append").option("compression", compression).save(path)
 
 
-def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archive(spark: SparkSession, path: str, payload: bool = True, headers: dict[str, str] | None = None) -> DataFrame:
+    """Records below ``path`` (SCHEMA). ``headers`` are equalities on any fields, judged before a payload is read; filters on
+    columns are pushed by themselves. Files are dealt so that every core has some, and 128 MB make a partition at most."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    fs, at = opened(path)
+    info = fs.get_file_info(at)
+    size = info.size if info.type == pafs.FileType.File else sum(x.size or 0 for x in fs.get_file_info(pafs.FileSelector(at, recursive=True)))
+    part = min(FILE_BYTES, max(1 << 20, size // (2 * spark.sparkContext.defaultParallelism)))
+    reader = spark.read.format("warc").option("payload", str(payload).lower()).option("partitionBytes", part)
+    for k, v in (headers or {}).items():
+        reader = reader.option(f"header.{k.lower()}", v)
+    return reader.load(path)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """Writes whole ``pages`` and reads the archives back. Length and digest are those of the payload read, or, for revisits,
+    which have none, of their headers. page_records() says what null, empty and repeated rows give."""
     path = scratch(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
     page = lambda c: F.expr(f"cast(nullif(substr({c}, {len('urn:page:') + 1}), '') AS bigint)")
-    return read_archive(spark, path, payload=False).where(F.col("record_type").isin("response", "revisit")).select(
-        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to")
+    held = F.col("payload").isNotNull()
+    return read_archive(spark, path).where(F.col("record_type").isin("response", "revisit")).select(
+        page("record_id").alias("page_id"),
+        F.when(held, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(held, base32_sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        page("refers_to").alias("refers_to"),
     )
 
 

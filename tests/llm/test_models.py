@@ -85,51 +85,74 @@ def test_quality_without_labels_or_rows(spark):
 # --- language model
 
 
+def hash_of(word: bytes) -> int:
+    return int(np.uint64(W.Hashes()[word]).astype(np.int64))
+
+
 def test_language_model(spark):
+    """Scores, counts and bases against the model restated: classes as fitted, probabilities from plain counts."""
     rows = [(i, prose(i % 37, 30 + i % 50).replace("ba", "BA"), None, None, None, *["c"] * 11) for i in range(150)]
     df = spark.createDataFrame(rows, SCHEMA).unionByName(table(spark))
-    small = dict(head=40, classes=6, known=100)
-    got = classlm.score(df, **small).collect()
     texts = [(r["doc_id"], r["text"]) for r in df.collect()]
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     toks = lambda t: [*(t or "").encode().lower().split(), b" "]
     train = [toks(t) for i, t in texts if not out(i)]
     c = Counter(x for t in train for x in t)
     n, v = sum(c.values()), len(c)
-    # The model restated: classes as fitted, probabilities from plain counts.
-    model, _ = classlm.fit(df.where(~classlm.held_out()), **small)
-    head = model.words.split()[: len(model.classes) - 2]
-    cls = {w: int(k) for w, k in zip(head, model.classes[2:])}
-    cls[b" "] = classlm.END
-    of = lambda w: cls.get(w, classlm.RARE)
-    size = Counter(of(w) for t in train for w in t)
-    rare_types = sum(of(w) == classlm.RARE for w in c)
-    want = []
-    for i, t in texts:
-        w = toks(t)
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        score, before = 0.0, classlm.END
-        for x in w:
-            k = of(x)
-            emit = 1.0 if k == classlm.END else (c[x] + 1) / (size[k] + rare_types + 1) if k == classlm.RARE else c[x] / size[k]
-            score += model.step[before, k] + math.log10(emit)
-            before = k
-        want.append((i, out(i), len(w), sum(c[x] > 0 for x in w), n, base, score))
-    key = lambda r: (repr(r[0]), r[2], round(r[5], 6))
-    got = sorted((tuple(r)[:7] for r in got), key=key)
-    want.sort(key=key)
-    assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
-
-
-def test_transitions_and_emissions_are_distributions(spark):
-    rows = [(i, prose(i, 40), None, None, None, *["c"] * 11) for i in range(60)]
-    model, vocabulary = classlm.fit(spark.createDataFrame(rows, SCHEMA), head=30, classes=5)
-    assert np.allclose((10**model.step).sum(1), 1)
-    counts = {bytes(r["word"]): r["n"] for r in vocabulary.collect()}
-    head = model.words.split()[:30]
-    rare = [n for w, n in counts.items() if w not in set(head)]
-    assert sum(n + 1 for n in rare) + 1 == pytest.approx(model.rare_total)
+    once, twice = (sum(x == k for w, x in c.items() if w != b" ") for k in (1, 2))
+    for small in (dict(head=40, classes=6, known=100), dict(head=5, classes=3, known=10**6, rounds=3)):
+        got = classlm.score(df, **small).collect()
+        model, vocabulary, classed = classlm.fit(df.where(~classlm.held_out()), **small)
+        assert {r["h"]: r["n"] for r in vocabulary.collect()} == {hash_of(w): k for w, k in c.items() if w != b" "}
+        cls = {r["h"]: r["class"] for r in classed.collect()}
+        assert len(cls) == v - 1 and min(cls.values()) >= 2  # every word has a class
+        of = {w: cls[hash_of(w)] for w in c if w != b" "} | {b" ": classlm.END}
+        size = Counter()
+        for w, k in c.items():
+            size[of[w]] += k
+        step = np.zeros((small["classes"] + 2,) * 2)
+        for t in train:
+            for x, y in zip([classlm.END, *(of[w] for w in t)], [of[w] for w in t]):
+                step[x, y] += 1
+        unseen = (once + 1) / (n + 2)
+        prior = np.array([size[k] + 1.0 if k != classlm.RARE else 0 for k in range(len(step))])
+        step = (step + classlm.PRIOR * prior / prior.sum()) / (step.sum(1, keepdims=True) + classlm.PRIOR) * (1 - unseen)
+        step[:, classlm.RARE] = unseen
+        assert np.allclose(step.sum(1), 1) and np.allclose(10**model.step, step)
+        want = []
+        for i, t in texts:
+            w = toks(t)
+            path = [classlm.END, *(of.get(x, classlm.RARE) for x in w)]
+            emit = [c[x] / size[of[x]] if x in of else 1 / max(1, once * (once - 1) / (2 * (twice + 1))) for x in w]
+            score = sum(math.log10(step[x, y]) for x, y in zip(path, path[1:])) + sum(map(math.log10, emit))
+            want.append((i, out(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), score))
+        key = lambda r: (repr(r[0]), r[2], round(r[5], 6))
+        got = sorted((tuple(r)[:7] for r in got), key=key)
+        want.sort(key=key)
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert np.allclose([g[5:] for g in got], [w[5:] for w in want])
+
+
+def test_gains_are_those_of_the_likelihood():
+    """What a move gains, against the likelihood of all bigrams before and after it; words do not follow themselves here."""
+    r = np.random.default_rng(3)
+    size, total = 30, 7
+    pairs = r.integers(0, 40, (size, size)) * (r.random((size, size)) < 0.5)
+    of = np.r_[0, 1, r.integers(2, total, size - 2)]
+    for w in range(2, size):  # nor their class, whose links the gain takes as they stand
+        pairs[w, of == of[w]] = pairs[of == of[w], w] = 0
+    likely = lambda b: classlm._xlogx(b).sum() - classlm._xlogx(b.sum(0)).sum() - classlm._xlogx(b.sum(1)).sum()
+    bigrams = lambda of: np.eye(total)[of].T @ pairs @ np.eye(total)[of]
+    for w in range(2, size):
+        left, right = (np.bincount(of, x, total).astype(np.int64) for x in (pairs[:, w], pairs[w]))
+        key = np.r_[np.flatnonzero(left), total + np.flatnonzero(right)]
+        gain = classlm.gains(np.zeros(len(key), np.int64), key, np.r_[left[left > 0], right[right > 0]], np.array([of[w]]), bigrams(of).astype(float))[0]
+        for b in range(2, total):
+            if left[b] or right[b]:
+                continue
+            moved = of.copy()
+            moved[w] = b
+            assert gain[b] - gain[of[w]] == pytest.approx(likely(bigrams(moved)) - likely(bigrams(of)))
 
 
 def test_exchange_finds_planted_classes():
@@ -145,31 +168,34 @@ def test_exchange_finds_planted_classes():
     assert all(len(k) == 1 for k in kinds) and len(set.union(*kinds)) == groups
 
 
-def test_words_past_the_core_have_classes(spark, monkeypatch):
-    """Two kinds of words alternate; those past the core, sent to workers or joined, are told apart as the core is."""
-    monkeypatch.setattr(classlm, "HEAD", 8)
-
+def alternating(n, each=40):
     def text(i):
         r = random.Random(i)
-        return " ".join("ab"[j % 2] + str(r.randrange(4 if r.random() < 0.6 else 40)) for j in range(40))
+        return " ".join("ab"[j % 2] + str(r.randrange(4 if r.random() < 0.6 else each)) for j in range(40))
+
+    return [(i, text(i), None, None, None, *["c"] * 11) for i in range(n)]
 
-    df = spark.createDataFrame([(i, text(i), None, None, None, *["c"] * 11) for i in range(120)], SCHEMA)
-    train = df.where(~classlm.held_out())
-    c = Counter(w for r in train.collect() for w in r["text"].encode().split())
+
+def test_words_past_the_core_have_classes(spark):
+    """Two kinds of words alternate; those past the core, known to workers or joined, are told apart as the core is."""
+    df = spark.createDataFrame(alternating(120), SCHEMA)
+    c = Counter(w for r in df.collect() for w in r["text"].encode().split())
     for known in (1000, 12):
-        model, _, others = classlm._learned(train, None, 8, known, 6)
-        cls = dict(zip(model.words.split(), model.classes[2:].tolist())) | {bytes(r["word"]): r["class"] for r in others.collect()}
-        assert set(cls) == set(c) and len(c) > 30 and classlm.RARE not in cls.values()
-        assert len({(w[:1], k) for w, k in cls.items()}) == len(set(cls.values()))  # each class has words of one kind
-        size = Counter()
-        for w, k in cls.items():
-            size[k] += c[w]
-        model = classlm._with_steps(model, classlm._paths(train, model, others))
-        for r in classlm.score(df, classes=8, known=known).collect():
-            w = text(r["doc_id"]).encode().split()
-            path = [classlm.END, *(cls.get(x, classlm.RARE) for x in w), classlm.END]
-            want = sum(model.step[p, q] for p, q in zip(path, path[1:])) + sum(math.log10(c[x] / size[cls[x]]) for x in w if x in cls)
-            assert r["score"] == pytest.approx(want)
+        cls = {r["h"]: r["class"] for r in classlm.fit(df, classes=8, known=known, head=8)[2].collect()}
+        assert set(cls) == set(map(hash_of, c)) and len(c) > 30
+        assert len({(w[:1], cls[hash_of(w)]) for w in c}) == len(set(cls.values()))  # each class has words of one kind
+
+
+def test_rounds_move_rare_words_and_raise_the_likelihood(spark):
+    """Rounds cover words of every rank: some past the 5,000th change class, and training text gets likelier."""
+    df = spark.createDataFrame(alternating(2500, 4000), SCHEMA)
+    one, two = (classlm.fit(df, classes=16, head=50, rounds=k)[2].collect() for k in (1, 2))
+    rank = {r["h"]: i for i, r in enumerate(sorted(one, key=lambda r: -r["n"]))}
+    before = {r["h"]: r["class"] for r in one}
+    moved = [rank[r["h"]] for r in two if before[r["h"]] != r["class"]]
+    assert len(rank) > 6000 and max(moved) > 5000
+    total = [classlm.score(df, classes=16, head=50, rounds=k).where("NOT held_out").agg({"score": "sum"}).first()[0] for k in (1, 2)]
+    assert total[1] > total[0]
 
 
 def test_language_model_of_nothing(spark):

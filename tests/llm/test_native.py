@@ -163,6 +163,21 @@ def test_shards_fit_and_split_only_where_needed(spark):
             assert sum(n for i, n in sizes.items() if bits_of(i).startswith(s[:-1])) > limit
 
 
+def test_pages_of_a_hot_id(spark, monkeypatch):
+    """A third of all rows with one id and another third without any: pages are dealt over stretches, whole and within the limit."""
+    monkeypatch.setattr(sharding, "STRETCH_BITS", 4)
+    rows = [((None, 7, i)[i % 3], prose(i % 5, 1 + i % 40), None, None, None, *["c"] * 11) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    got = sharding.shards(df, 4000).collect()
+    assert sorted((r["doc_id"] or -1, r["n_bytes"]) for r in got) == sorted((r[0] or -1, len(r[1].encode())) for r in rows)
+    held = defaultdict(list)
+    for r in got:
+        held[r["shard_id"]].append(r)
+    assert all(sum(x["n_bytes"] for x in m) == m[0]["shard_bytes"] <= 4000 and len(m) == m[0]["shard_docs"] for m in held.values())
+    hot = [m for m in held.values() if any(x["doc_id"] == 7 for x in m)]
+    assert len(hot) <= 2 * sum(len(r[1].encode()) for r in rows if r[0] == 7) / (4000 - max(len(r[1].encode()) for r in rows))
+
+
 def test_shards_of_awkward_rows(spark):
     df = table(spark)
     got = sharding.shards(df, 2000).collect()
