@@ -36,7 +36,7 @@ SWEEPS = 6
 #: Rounds of exchange over the whole vocabulary, the first of which gives all words past the start a class.
 ROUNDS = 2
 #: Tokens that a task gathers before it sums them, and pairs of a word and a class that it weighs at a time.
-MOST_TOKENS, MOST_PAIRS = 3_000_000, 50_000
+MOST_TOKENS, MOST_PAIRS = 600_000, 20_000
 #: Counts up to this are weighed by a table.
 TABLED = 12
 #: Weight of the class unigram in the transition probabilities.
@@ -165,7 +165,7 @@ def _count_neighbours(model, total: int, least: int):
             left = np.where(again[:-1], 2 * total, line[at - 1])
             right = wanted & ~again[1:]
             words += [flat[wanted], flat[right]]
-            near += [left[wanted], total + line[at + 1][right]]
+            near += [left[wanted].astype(np.int16), (total + line[at + 1][right]).astype(np.int16)]
             if sum(map(len, words)) > 2 * MOST_TOKENS:
                 yield from out()
         yield from out()
