@@ -31,12 +31,12 @@ from .common import arrow_batches, materialize, table, text_of
 #: Words that exchange starts with, on the driver; a table of this size squared is all that it holds.
 HEAD = 1000
 CLASSES = 64
-KNOWN = 400_000
+KNOWN = 1_000_000
 SWEEPS = 6
 #: Rounds of exchange over the whole vocabulary, the first of which gives all words past the start a class.
 ROUNDS = 2
 #: Tokens that a task gathers before it sums them, and pairs of a word and a class that it weighs at a time.
-MOST_TOKENS, MOST_PAIRS = 600_000, 20_000
+MOST_TOKENS, MOST_PAIRS = 1_200_000, 20_000
 #: Counts up to this are weighed by a table.
 TABLED = 12
 #: Weight of the class unigram in the transition probabilities.
@@ -131,8 +131,8 @@ def _pairs(texts: DataFrame, model, size: int) -> np.ndarray:
 
 
 def _count_neighbours(model, total: int, least: int):
-    """(h, keys, ns) of words whose class is below ``least``: counts by the class before, ``total`` and the class after, or
-    twice ``total`` for the word itself, which is counted once."""
+    """(h, near) of words whose class is below ``least``: counts by the class before, ``total`` and the class after, or
+    twice ``total`` for the word itself, which is counted once. A count is multiplied by their number and joined with its key."""
     wide = 2 * total + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +152,8 @@ def _count_neighbours(model, total: int, least: int):
                 ends = starts[i : i + 50_001]
                 cut = slice(ends[0], ends[-1])
                 offsets = pa.array((ends - ends[0]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((some[cut] % wide).astype(np.int16), n[cut].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000]), *lists], names=["h", "keys", "ns"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(n[cut] * wide + some[cut] % wide))
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000]), lists], names=["h", "near"])
 
         for batch in batches:
             flat, lens = _flat(batch.column("hashes"))
@@ -291,9 +291,9 @@ def _moved(model, bigrams: np.ndarray):
                 i = j
 
         for batch in batches:
-            lists = batch.column("keys")
-            lens = np.diff(lists.offsets.to_numpy())
-            held.append((np.repeat(batch.column("h").to_numpy(), lens), lists.flatten().to_numpy().astype(np.int64), batch.column("ns").flatten().to_numpy()))
+            lists = batch.column("near")
+            flat = lists.flatten().to_numpy()
+            held.append((np.repeat(batch.column("h").to_numpy(), np.diff(lists.offsets.to_numpy())), flat % wide, flat // wide))
             size += len(held[-1][0])
             if size > 4 * MOST_PAIRS:
                 h, key, n = (np.concatenate(x) for x in zip(*held))
@@ -377,7 +377,7 @@ def _learned(rows: DataFrame, classes: int, known: int, sweeps: int, rounds: int
         model = spark.sparkContext.broadcast((keys, ids.copy()))
         if i:
             bigrams = _pairs(texts, model, total).astype(np.float64)
-        near = texts.mapInArrow(_count_neighbours(model, total, total if i else 2), "h bigint, keys array<smallint>, ns array<int>")
+        near = texts.mapInArrow(_count_neighbours(model, total, total if i else 2), "h bigint, near array<bigint>")
         moved = near.repartition("h").sortWithinPartitions("h").mapInArrow(_moved(model, bigrams), "h bigint, n bigint, class int")
         if not i:  # the words that exchange has started with stay
             mine = pa.table({"h": keys[core], "n": counts[core], "class": ids[core].astype(np.int32)})

@@ -23,12 +23,12 @@ from .common import arrow_batches, table
 # HTML's elements that stand as blocks, that have no end tag, and whose content is never text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style noscript template svg math iframe object canvas audio video textarea".split())
+UNREAD = frozenset("script style noscript template svg iframe textarea".split())
 # Open elements that a start tag of the key ends.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_P = BLOCKS - frozenset("button label option legend select summary".split())
 
-PATHS, WORDS = 2048, 1024
+PATHS, WORDS = 1 << 14, 1 << 13
 PATH_DIM, WORD_DIM, LENGTHS, HIDDEN = 20, 8, 5, 16
 EVEN = 24
 #: Pages of the training sample and passes over it.
@@ -41,7 +41,8 @@ class _Blocks(html.parser.HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.unread = 0
+        self.unread: list[str] = []
+        self.hidden: list[str] = []  # blocks that have begun within what is not read
         self.links = 0
         self.parts: list[str] = []
         self.linked = 0
@@ -62,10 +63,14 @@ class _Blocks(html.parser.HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
+        if self.unread and self.unread[-1] == "svg" and tag in BLOCKS and tag != "title":
+            self.unread, self.hidden = [], []  # a drawing has no blocks: it was not closed
         if tag in UNREAD:
-            self.unread += 1
+            self.unread.append(tag)
             return
         if self.unread:
+            if tag in BLOCKS and tag not in VOID:
+                self.hidden.append(tag)
             return
         if tag == "br":
             self.parts.append("\n")
@@ -93,10 +98,18 @@ class _Blocks(html.parser.HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in UNREAD:
-            self.unread = max(0, self.unread - 1)
+            if tag in self.unread:
+                del self.unread[len(self.unread) - 1 - self.unread[::-1].index(tag) :]
+            if not self.unread:
+                self.hidden = []
             return
         if self.unread:
-            return
+            if tag in self.hidden:
+                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
+                return
+            if tag not in BLOCKS or all(tag != name for name, _ in self.open):
+                return
+            self.unread, self.hidden = [], []  # the block around it ends, and with it what was not closed
         if tag in BLOCKS:
             self.flush()
         if tag == "a":
@@ -281,17 +294,30 @@ class Labeller:
         return out
 
 
-# Layouts of the training pages. Names are common ones of the web's templates.
-TEXT_HOLDERS = (("article", ""), ("article", "post"), ("main", ""), ("main", "content"), ("div", "content"), ("div", "article-body"), ("div", "post-body"), ("div", "entry-content"), ("section", "story"), ("div", "main-content"), ("article", "hentry"))
-MENUS = (("nav", ""), ("nav", "main-menu"), ("div", "menu"), ("ul", "navbar"), ("div", "breadcrumb"), ("nav", "pagination"))
-HEADERS = (("header", ""), ("header", "site-header"), ("div", "header"), ("div", "topbar"), ("div", "masthead"))
-FOOTERS = (("footer", ""), ("footer", "site-footer"), ("div", "footer"), ("div", "copyright"), ("div", "legal"))
-SIDES = (("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "related"), ("section", "widget"), ("div", "recommended"), ("div", "share"), ("div", "social"), ("div", "tags"))
-NOTICES = (("div", "cookie-notice"), ("div", "notice"), ("div", "cookie-banner"), ("div", "alert"), ("div", "banner"), ("div", "consent"), ("dialog", "popup"), ("div", "newsletter"), ("div", "paywall"))
-ADVERTS = (("div", "ad"), ("div", "ads"), ("div", "advert"), ("div", "advertisement"), ("div", "promo"), ("aside", "sponsored"), ("div", "banner-ad"), ("section", "ad"))
-COMMENTS = (("section", "comments"), ("div", "comments"), ("div", "comment-list"), ("ol", "commentlist"), ("div", "disqus"), ("section", "replies"))
-SAID = {"menu": "home about contact news blog archive search login menu next previous", "footer": "copyright all rights reserved privacy terms imprint contact", "notice": "we use cookies accept subscribe sign up to our newsletter privacy policy", "ad": "sponsored buy now offer sale shop advertisement", "comment": "reply says posted comment comments like report user", "form": "name email message send submit subscribe search password", "side": "related popular recent posts share follow tags more read"}
+# Layouts of the training pages. Names are common ones of the web's templates; ``_odd`` makes others.
+TEXT_NAMES = "content article-body post post-body entry-content story main-content hentry article text body-text page-content blog-post news-item rich-text prose".split()
+NEUTRAL = "container wrapper inner outer row col col-md-8 grid layout block region page site section box panel node field clearfix view module main-wrap template root app".split()
+MENUS = "main-menu menu navbar breadcrumb pagination nav navigation toc topnav submenu pager breadcrumbs".split()
+HEADERS = "site-header header topbar masthead page-header top brand".split()
+FOOTERS = "site-footer footer copyright legal bottom colophon credits".split()
+SIDES = "sidebar related widget recommended share social tags side-column most-read trending teaser see-also promo-list author-links".split()
+NOTICES = "cookie-notice notice cookie-banner alert banner consent popup newsletter paywall gdpr modal subscribe signup toast".split()
+ADVERTS = "ad ads advert advertisement promo sponsored banner-ad ad-slot adsense dfp ad-container sponsor commercial".split()
+COMMENTS = "comments comment-list commentlist disqus replies discussion responses comment-section reader-comments".split()
+FORMS = "search login signup-form contact-form subscribe-form comment-form poll".split()
+SAID = {
+    "menu": "home about contact news blog archive search login menu next previous help products services sport world business",
+    "footer": "copyright all rights reserved privacy terms imprint contact policy conditions company powered by",
+    "notice": "we use cookies accept subscribe sign up to our newsletter privacy policy continue browser consent agree settings free",
+    "ad": "sponsored buy now offer sale shop advertisement discount order today only deal click here",
+    "comment": "reply says posted comment comments like report user said on thanks great ago",
+    "form": "name email message send submit subscribe search password your address comment post",
+    "side": "related popular recent posts share follow tags more read tweet facebook most latest also",
+    "byline": "by written updated published on editor staff min read posted author reporter",
+}
 SYLLABLES = "the on er in at re ti an st ed es ha ou le de en la que ci on mi ra ca to se un ge be ver ch ung al is or ea th ing ly wh nt".split()
+#: Where the text of a page stands; an accuracy is held out by leaving some of them out of training.
+FAMILIES = ("article", "main", "section", "div", "bare", "cell", "odd", "nested", "headed", "nameless")
 
 
 def _phrase(r: np.random.Generator, n: int) -> str:
@@ -307,130 +333,282 @@ def _phrase(r: np.random.Generator, n: int) -> str:
     return (text[:1].upper() + text[1:] + ("." if r.random() < 0.8 else "")).replace("&", "&amp;")
 
 
-def sample_page(r: np.random.Generator) -> tuple[str, list[int]]:
-    """A page in a random layout and, for each of its leaf blocks in order, 1 for text and 0 for the rest."""
-    out: list[str] = ["<!DOCTYPE html><html><head><meta charset='utf-8'><title>" + _phrase(r, 6) + "</title><style>p{margin:0}</style><script>var t='</p>';</script></head><body>"]
-    labels = [0]
+class _Page:
+    """A page in the making: parts of its html, and the label of each leaf block."""
 
-    def one(options):
-        return options[r.integers(0, len(options))]
+    def __init__(self, r: np.random.Generator, family: str):
+        self.r, self.family = r, family
+        self.out: list[str] = []
+        self.labels: list[int] = []
+        #: How many of a page's names say nothing, and whether it has names at all.
+        self.strange, self.named = float(r.choice([0.0, 0.3, 0.7])), family != "nameless" and r.random() < 0.9
 
-    def start(holder):
-        tag, name = holder
-        out.append(f"<{tag}" + (f' {"id" if r.random() < 0.2 else "class"}="{name}"' if name else "") + ">")
+    def chance(self, p: float) -> bool:
+        return self.r.random() < p
+
+    def one(self, options):
+        return options[self.r.integers(0, len(options))]
+
+    def odd(self) -> str:
+        made = "-".join("".join(self.one(SYLLABLES) for _ in range(self.r.integers(1, 4))) for _ in range(self.r.integers(1, 4)))
+        return self.one([made, made, made + str(self.r.integers(0, 99)), self.one(NEUTRAL), "js-" + made, "css-" + made])
+
+    def start(self, tag: str, name: str = "") -> str:
+        """Opens an element, under its name, one that says nothing, both or none; returns what closes it."""
+        names = [name] if name and self.named else []
+        if self.named and self.chance(self.strange):
+            names.insert(self.r.integers(0, len(names) + 1), self.odd())
+        kind = "id" if self.chance(0.2) else "class"
+        self.out.append(f"<{tag}" + (f' {kind}="{" ".join(names)}"' if names else "") + ">")
         return f"</{tag}>"
 
-    def leaf(tag, n, label, said="", link=False):
-        text = _phrase(r, n)
-        if said and r.random() < 0.5:
-            text = " ".join(r.choice(SAID[said].split(), min(n, 4))) + ("" if n < 5 else " " + text)
+    def within(self, tag: str, name: str, fill) -> None:
+        end = self.start(tag, name)
+        fill()
+        self.out.append(end)
+
+    def said(self, kind: str, n: int) -> str:
+        words = SAID[kind].split()
+        at = int(self.r.integers(0, len(words)))
+        return " ".join((words[at:] + words[:at])[:n] if self.chance(0.5) else self.r.choice(words, n))
+
+    def leaf(self, tag: str, n: int, label: int, said: str = "", link: bool = False, name: str = "") -> None:
+        text = _phrase(self.r, n)
+        if said and self.chance(0.6):
+            text = self.said(said, min(n, int(self.r.integers(2, 7)))) + ("" if n < 6 else " " + text)
+        style = self.r.random()
         if link:
-            text = f'<a href="/x">{text}</a>'
-        style = r.random()
-        if style < 0.15:
-            text = f"<b>{text}<br>" if tag == "p" and style < 0.1 else f"<b>{text}</b>"
-        out.append(f"<{tag}>{text}" + ("" if tag in ("p", "li") and r.random() < 0.15 else f"</{tag}>"))
-        labels.append(label)
-
-    def bare(n, said=""):
-        out.append((" ".join(r.choice(SAID[said].split(), 3)) + " " if said and r.random() < 0.5 else "") + _phrase(r, n))
-        labels.append(0)
-
-    def menu():
-        end = start(one(MENUS))
-        if not end.startswith("</ul"):
-            out.append("<ul>")
-        for _ in range(r.integers(2, 9)):
-            leaf("li", int(r.integers(1, 3)), 0, "menu", True)
-        out.append("</ul>" + end)
-
-    def box(options, said, most=3):
-        end = start(one(options))
-        if r.random() < 0.5:
-            bare(int(r.integers(2, 25)), said)
-        else:
-            for _ in range(r.integers(1, most + 1)):
-                leaf(str(r.choice(["p", "h3", "p", "div", "li"])), int(r.integers(1, 30)), 0, said, r.random() < 0.3)
-        out.append(end)
-
-    def form():
-        out.append('<form action="/go">')
-        for _ in range(r.integers(1, 4)):
-            leaf(str(r.choice(["label", "p", "button", "div"])), int(r.integers(1, 5)), 0, "form")
-        out.append("</form>")
-
-    def comments():
-        end = start(one(COMMENTS))
-        for _ in range(r.integers(1, 6)):
-            out.append('<div class="comment">')
-            if r.random() < 0.5:
-                leaf("h4", 2, 0, "comment")
-            leaf("p", int(r.integers(2, 50)), 0, "comment" if r.random() < 0.4 else "")
-            out.append("</div>")
-        out.append(end)
-
-    def around(chance):
-        for part in (menu, lambda: box(SIDES, "side"), lambda: box(NOTICES, "notice"), lambda: box(ADVERTS, "ad"), form):
-            if r.random() < chance:
-                part()
-
-    if r.random() < 0.4:
-        end = start(one(HEADERS))
-        leaf(str(r.choice(["h1", "div", "p", "h2"])), int(r.integers(1, 6)), 0)
-        if r.random() < 0.5:
-            menu()
-        out.append(end)
-    if r.random() < 0.6:
-        menu()
-    around(0.3)
-    wrap = r.random() < 0.3
-    out.append('<div class="wrapper">' if wrap else "")
-    end = start(one(TEXT_HOLDERS))
-    if r.random() < 0.8:
-        leaf("h1", int(r.integers(1, 12)), 1)
-    long = r.random()
-    for _ in range(int(r.integers(40, 90)) if long < 0.04 else int(r.integers(1, 16))):
-        kind = r.random()
-        if kind < 0.8:
-            leaf("p", int(r.integers(1, 60)), 1, link=r.random() < 0.03)
-        elif kind < 0.87:
-            leaf(str(r.choice(["h2", "h3", "h4"])), int(r.integers(1, 8)), 1)
-        elif kind < 0.92:
-            out.append("<ul>")
-            for _ in range(r.integers(1, 5)):
-                leaf("li", int(r.integers(1, 20)), 1)
-            out.append("</ul>")
-        elif kind < 0.95:
-            leaf(str(r.choice(["blockquote", "pre", "figcaption", "div"])), int(r.integers(2, 30)), 1)
-        elif kind < 0.97:
-            box(ADVERTS, "ad", 2)
-        elif kind < 0.985:
-            box(NOTICES, "notice", 2)
+            text = f'<a href="/x">{text}</a>' if style < 0.7 else f"{_phrase(self.r, 1)} <a href='/y'>{text}</a>"
+        elif label and style < 0.1 and n > 8:
+            text += f' <a href="/z">{_phrase(self.r, 2)}</a> {_phrase(self.r, 3)}'
+        elif style < 0.25:
+            text = self.one([f"<b>{text}</b>", f"<b>{text}<br>" if tag == "p" else f"<em>{text}</em>", f"<span>{text}</span>", f"{text}<svg><title>t</title><path d='M0'/></svg>"])
+        end = self.start(tag, name)
+        self.out.append(text + ("" if tag in ("p", "li") and self.chance(0.1) else end))
+        self.labels.append(label)
+
+    def bare(self, n: int, said: str) -> None:
+        self.out.append((self.said(said, 3) + " " if self.chance(0.6) else "") + _phrase(self.r, n))
+        self.labels.append(0)
+
+    def links(self, said: str, n: int, most: int = 3) -> None:
+        """A list of links, in a list or one after another in blocks or items of their own."""
+        tag = self.one(["ul", "ul", "ol", "div"])
+        end = self.start(tag)
+        for _ in range(n):
+            self.leaf("li" if tag != "div" else self.one(["div", "p", "h4"]), int(self.r.integers(1, most + 1)), 0, said, True)
+        self.out.append(end)
+
+    def menu(self) -> None:
+        if self.chance(0.15):  # links in one block
+            self.within(self.one(["nav", "div", "p"]), self.one(MENUS), lambda: (self.out.append(" | ".join(f'<a href="/{i}">{_phrase(self.r, 1)}</a>' for i in range(self.r.integers(2, 7)))), self.labels.append(0)))
+        elif self.chance(0.2):
+            self.links("menu", int(self.r.integers(3, 9)), 2)
         else:
-            form()
-    if r.random() < 0.1:
-        comments()
-    out.append(end + ("</div>" if wrap else ""))
-    if r.random() < 0.3:
-        comments()
-    around(0.2)
-    if r.random() < 0.85:
-        end = start(one(FOOTERS))
-        if r.random() < 0.6:
-            out.append("&copy; ")
-            bare(int(r.integers(2, 15)), "footer")
-        else:
-            leaf("p", int(r.integers(2, 15)), 0, "footer", r.random() < 0.3)
-        out.append(end)
-    out.append("</body></html>" if r.random() < 0.9 else "")
-    return "".join(out), labels
-
-
-def training_pages(n: int = SAMPLE, seed: int = SEED) -> tuple[list, list[np.ndarray]]:
+            self.within(self.one(["nav", "nav", "div"]) if self.named else "nav", self.one(MENUS), lambda: self.links("menu", int(self.r.integers(2, 9)), 2))
+
+    def box(self, tags: list[str], names: list[str], said: str, most: int = 3) -> None:
+        """A box of something else; one without a telling tag has a telling name, or links or telling words."""
+
+        def fill() -> None:
+            kind = self.r.random()
+            if kind < 0.4:
+                self.bare(int(self.r.integers(2, 25)), said)
+            elif kind < 0.6 and said in ("side", "ad", "footer"):
+                if self.chance(0.6):
+                    self.leaf(self.one(["h2", "h3", "h4"]), 2, 0, said)
+                self.links(said, int(self.r.integers(2, 7)), 9)
+            else:
+                for _ in range(self.r.integers(1, most + 1)):
+                    self.leaf(self.one(["p", "h3", "p", "div", "li", "button"]), int(self.r.integers(1, 30)), 0, said, self.chance(0.3))
+
+        tags = [t for t in tags if t not in ("div", "section")] or tags
+        tag = self.one(tags) if not self.named else self.one([*tags, "div", "section"])
+        if tag in ("div", "section") and not self.named:  # nothing but its words tells
+            self.within(tag, "", lambda: (self.out.append(" ".join(self.said(said, 6).split()) + "."), self.labels.append(0)))
+            return
+        deep = self.chance(0.3)
+        self.within(tag, self.one(names), (lambda: self.within("div", "", fill)) if deep else fill)
+
+    def form(self) -> None:
+        def fill() -> None:
+            for _ in range(self.r.integers(1, 4)):
+                self.leaf(self.one(["label", "p", "button", "div", "legend"]), int(self.r.integers(1, 6)), 0, "form")
+            self.out.append(self.one(["<input name='q'>", "<textarea>type</textarea>", ""]))
+
+        self.within("form", self.one(FORMS), fill)
+
+    def comments(self) -> None:
+        def one() -> None:
+            for _ in range(self.r.integers(0, 2)):
+                self.leaf(self.one(["h4", "div", "p", "span" if False else "h5"]), 2, 0, "comment", name=self.one(["author", "comment-author", "meta", "user"]))
+            self.leaf(self.one(["p", "p", "div", "blockquote"]), int(self.r.integers(2, 60)), 0, "comment" if self.chance(0.4) else "")
+            if self.chance(0.2):
+                self.within("div", self.one(["replies", "children", "comment"]), lambda: self.leaf("p", int(self.r.integers(2, 40)), 0))
+            if self.chance(0.3):
+                self.leaf(self.one(["div", "p", "button"]), 1, 0, "comment", True)
+
+        def fill() -> None:
+            if self.chance(0.5):
+                self.leaf(self.one(["h2", "h3"]), int(self.r.integers(1, 4)), 0, "comment")
+            tag = self.one(["div", "li", "article", "div"])
+            outer = self.start("ol") if tag == "li" else ""
+            for _ in range(self.r.integers(1, 6)):
+                self.within(tag, self.one(["comment", "reply", "comment-body", "response"]), one)
+            self.out.append(outer)
+            if self.chance(0.2):
+                self.form()
+
+        kept, self.named = self.named, True  # what readers write is text too: only its names tell it
+        self.within(self.one(["section", "div", "div", "aside"]), self.one(COMMENTS), fill)
+        self.named = kept
+
+    def around(self, p: float) -> None:
+        parts = [self.menu, lambda: self.box(["aside"], SIDES, "side"), lambda: self.box(["dialog"], NOTICES, "notice"), lambda: self.box(["aside"], ADVERTS, "ad"), self.form]
+        for i in self.r.permutation(len(parts)):
+            if self.chance(p):
+                parts[i]()
+
+    def top(self) -> None:
+        if self.chance(0.15):
+            self.out.append('<a href="#c">Skip to content</a>')
+            self.labels.append(0)
+            self.out.append("<hr>")
+        if self.chance(0.6):
+
+            def fill() -> None:
+                self.leaf(self.one(["h1", "div", "p", "h2"]), int(self.r.integers(1, 6)), 0, link=self.chance(0.4))
+                if self.chance(0.2):
+                    self.leaf(self.one(["p", "div"]), int(self.r.integers(2, 9)), 0)
+                if self.chance(0.6):
+                    self.menu()
+                if self.chance(0.2):
+                    self.form()
+
+            self.within(self.one(["header", "header", "div"]) if self.named else "header", self.one(HEADERS), fill)
+        if self.chance(0.6):
+            self.menu()
+        self.around(0.25)
+
+    def bottom(self) -> None:
+        self.around(0.2)
+        if self.chance(0.85):
+
+            def fill() -> None:
+                if self.chance(0.5):
+                    self.out.append(self.one(["&copy; ", "&copy; 2024 ", "(c) "]))
+                    self.bare(int(self.r.integers(2, 15)), "footer")
+                elif self.chance(0.4):
+                    self.links("footer", int(self.r.integers(2, 7)))
+                else:
+                    self.leaf("p", int(self.r.integers(2, 15)), 0, "footer", self.chance(0.3))
+
+            self.within(self.one(["footer", "footer", "div"]) if self.named else "footer", self.one(FOOTERS), fill)
+        elif self.chance(0.3):
+            self.out.append(f"<p>&copy; {self.said('footer', 5)}</p>")
+            self.labels.append(0)
+
+    def heading(self) -> None:
+        def title() -> None:
+            self.leaf("h1" if self.chance(0.85) else "h2", int(self.r.integers(1, 12)), 1, name=self.one(["", "", "title", "headline", "entry-title"]))
+
+        def byline() -> None:
+            for _ in range(self.r.integers(1, 3)):
+                self.leaf(self.one(["p", "div", "p", "address"]), int(self.r.integers(2, 7)), 1, "byline", self.chance(0.2), self.one(["byline", "author", "meta", "date", "dateline", "lead", ""]))
+
+        if self.family == "headed" or self.chance(0.15):
+            self.within(self.one(["header", "header", "div", "hgroup"]), self.one(["", "entry-header", "article-header", "post-header"]), lambda: (title(), byline() if self.chance(0.7) else None))
+        elif self.chance(0.85):
+            title()
+            if self.chance(0.3):
+                byline()
+            if self.chance(0.1):
+                self.box(["aside"], ["share", "social", "share-buttons"], "side", 2)
+
+    def prose(self) -> None:
+        r = self.r
+        long = r.random()
+        for _ in range(int(r.integers(40, 90)) if long < 0.03 else int(r.integers(1, 16))):
+            kind = r.random()
+            if kind < 0.66:
+                self.leaf("p" if self.chance(0.93) else "div", int(r.integers(1, 60)), 1, link=self.chance(0.03))
+            elif kind < 0.75:
+                self.leaf(self.one(["h2", "h3", "h4"]), int(r.integers(1, 8)), 1)
+            elif kind < 0.81:
+                self.within(self.one(["ul", "ol"]), "", lambda: [self.leaf("li", int(r.integers(1, 20)), 1, link=self.chance(0.1)) for _ in range(r.integers(1, 6))])
+            elif kind < 0.84:
+                self.within("blockquote", "", lambda: self.leaf("p", int(r.integers(3, 30)), 1)) if self.chance(0.5) else self.leaf("blockquote", int(r.integers(3, 30)), 1)
+            elif kind < 0.86:
+                self.within("figure", "", lambda: (self.out.append("<img src='a.png'>"), self.leaf("figcaption", int(r.integers(2, 14)), 1)))
+            elif kind < 0.875:
+                self.within("table", "", lambda: [self.within("tr", "", lambda: [self.leaf(self.one(["td", "td", "th"]), int(r.integers(1, 5)), 1) for _ in range(2)]) for _ in range(r.integers(1, 5))])
+            elif kind < 0.885:
+                self.within("dl", "", lambda: [self.leaf(t, int(r.integers(1, 9)), 1) for _ in range(r.integers(1, 4)) for t in ("dt", "dd")])
+            elif kind < 0.9:
+                self.leaf("pre", int(r.integers(2, 30)), 1)
+            elif kind < 0.925:
+                self.within("section", "", lambda: (self.leaf("h2", 3, 1), self.leaf("p", int(r.integers(5, 40)), 1), self.leaf("p", int(r.integers(2, 40)), 1)))
+            elif kind < 0.95:
+                self.box(["aside"], ADVERTS, "ad", 2)
+            elif kind < 0.97:
+                self.box(["dialog"], NOTICES, "notice", 2)
+            elif kind < 0.985:
+                self.box(["aside"], SIDES, "side", 2)
+            else:
+                self.form()
+
+    def text(self) -> None:
+        def fill() -> None:
+            self.heading()
+            self.prose()
+            if self.chance(0.1):
+                self.comments()
+
+        family = self.family
+        if family == "bare":
+            fill()
+            return
+        if family == "cell":  # a table for the layout: links in one cell, the text in another
+            row = self.start("table") and self.start("tr")
+            if self.chance(0.6):
+                self.within("td", self.one(["", *MENUS[:3]]), lambda: self.links("menu", int(self.r.integers(2, 7)), 2))
+            self.within("td", self.one(["", "", *TEXT_NAMES]), fill)
+            self.out.append(row + "</table>")
+            return
+        tag, name = {
+            "article": ("article", self.one(["", "", *TEXT_NAMES])), "main": ("main", self.one(["", "", "content", "main-content"])), "section": ("section", self.one(["", *TEXT_NAMES])),
+            "div": ("div", self.one(TEXT_NAMES)), "odd": (self.one(["div", "div", "section"]), self.odd()), "nested": ("div", ""), "headed": (self.one(["article", "article", "main", "div"]), self.one(["", *TEXT_NAMES])), "nameless": (self.one(["div", "article", "main", "section"]), ""),
+        }[family]
+        ends = [self.start(self.one(["div", "div", "section", "main"]), self.one(["", self.odd(), self.one(NEUTRAL)])) for _ in range(self.r.integers(0, 4) if family == "nested" else self.r.integers(0, 2))]
+        end = self.start(tag, name)
+        if family == "nested":
+            ends.append(end)
+            end = self.start("div", self.one(["", self.odd(), *TEXT_NAMES[:4]]))
+        fill()
+        self.out.append(end + "".join(reversed(ends)))
+
+
+def sample_page(r: np.random.Generator, families: tuple[str, ...] = FAMILIES) -> tuple[str, list[int]]:
+    """A page in a random layout and, for each of its leaf blocks in order, 1 for text and 0 for the rest."""
+    page = _Page(r, families[r.integers(0, len(families))])
+    page.out.append("<!DOCTYPE html><html><head><meta charset='utf-8'><title>" + _phrase(r, 6) + "</title><style>p{margin:0}</style><script>var t='</p>';</script></head>")
+    page.labels.append(0)
+    page.start("body")
+    wrapped = page.start("div", page.one(NEUTRAL)) if page.family != "bare" and page.chance(0.3) else ""
+    page.top()
+    page.text()
+    if page.chance(0.3):
+        page.comments()
+    page.bottom()
+    page.out.append(wrapped + ("</body></html>" if page.chance(0.9) else ""))
+    return "".join(page.out), page.labels
+
+
+def training_pages(n: int = SAMPLE, seed: int = SEED, families: tuple[str, ...] = FAMILIES) -> tuple[list, list[np.ndarray]]:
     r = np.random.default_rng(seed)
     pages, labels = [], []
     while len(pages) < n:
-        page, want = sample_page(r)
+        page, want = sample_page(r, families)
         found = blocks_of(page)
         if len(found) == len(want):  # a missing end tag may join blocks; such pages have no labels
             pages.append(vectors(found))
@@ -439,10 +617,10 @@ def training_pages(n: int = SAMPLE, seed: int = SEED) -> tuple[list, list[np.nda
 
 
 @lru_cache(maxsize=2)
-def trained(n: int = SAMPLE, epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
+def trained(n: int = SAMPLE, epochs: int = EPOCHS, seed: int = SEED, families: tuple[str, ...] = FAMILIES) -> Labeller:
     """The labeller after ``epochs`` of Adam over ``n`` pages. A tenth of the path names is left out at each step, and
     the words of two blocks in five, so that neither tells all."""
-    pages, labels = training_pages(n, seed)
+    pages, labels = training_pages(n, seed, families)
     net, r = Labeller(seed), np.random.default_rng(seed + 1)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
@@ -467,7 +645,8 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     Text blocks in page order, joined by one line break. Null or empty html, and pages without a text block, give
-    empty text. Each row is read by itself; other columns are ignored.
+    empty text; a long page is read whole. Each row is read by itself, so repeated rows get equal results; null ids and
+    urls stay null; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     arrow_batches(spark)
@@ -489,4 +668,5 @@ def extract(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
 
 
 def op1_html(spark, sf_dir: str) -> DataFrame:
+    """extract() over whole ``pages``; its docstring says what null, empty and repeated rows give."""
     return extract(table(spark, sf_dir, "pages"))
