@@ -82,13 +82,31 @@ def _line(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return line, at
 
 
-def _found(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The place of each hash in the sorted ``keys``, and their number where it is not there."""
-    if not len(keys):
-        return np.zeros(len(hashes), np.int64)
-    at = np.searchsorted(keys, hashes)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == hashes, at, len(keys))
+class Lookup:
+    """Places of known hashes. They lie in the order of their low bits, so a hash is looked for from where its own begin."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.mask = (1 << max(8, (2 * len(hashes)).bit_length())) - 1
+        self.keys = hashes[np.argsort(hashes & self.mask, kind="stable")]
+        self.start = np.r_[0, np.cumsum(np.bincount(self.keys & self.mask, minlength=self.mask + 1))].astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or their number where it is not known."""
+        slot = hashes & self.mask
+        at, end = self.start[slot], self.start[slot + 1]
+        out = np.full(len(hashes), len(self.keys))
+        live = np.flatnonzero(at < end)
+        at = at[live]
+        while len(live):
+            hit = self.keys[at] == hashes[live]
+            out[live[hit]] = at[hit]
+            live, at = live[~hit], at[~hit] + 1
+            more = at < end[live]
+            live, at = live[more], at[more]
+        return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +125,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_pairs(model, size: int):
-    """Bigrams of ids; ``model`` has the sorted keys and the id of each, with that of other words at the end."""
+    """Bigrams of ids; ``model`` has the known hashes and the id of each, with that of other words at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = model.value
+        known, ids = model.value
         counts = np.zeros(size * size, np.int64)
         for batch in batches:
             flat, lens = _flat(batch.column("hashes"))
-            line, _ = _line(ids[_found(keys, flat)], lens)
+            line, _ = _line(ids[known.find(flat)], lens)
             counts += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["pair", "n"])
@@ -136,39 +154,45 @@ def _count_neighbours(model, total: int, least: int):
     wide = 2 * total + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = model.value
-        words: list[np.ndarray] = []
+        known, ids = model.value
+        codes: list[np.ndarray] = []  # of known words, place and key
+        words: list[np.ndarray] = []  # of others, hash and key
         near: list[np.ndarray] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if not words:
-                return
-            h, of = np.unique(np.concatenate(words), return_inverse=True)
-            some, n = np.unique(of * wide + np.concatenate(near), return_counts=True)
-            words.clear()
-            near.clear()
-            starts = np.searchsorted(some, np.arange(len(h) + 1) * wide)
+        def rows(h: np.ndarray, some: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """``some``: sorted, place in ``h`` and key."""
+            of = some // wide
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+            h, ends = h[of[first]], np.r_[first, len(some)]
             for i in range(0, len(h), 50_000):
-                ends = starts[i : i + 50_001]
-                cut = slice(ends[0], ends[-1])
-                offsets = pa.array((ends - ends[0]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(n[cut] * wide + some[cut] % wide))
+                cut = ends[i : i + 50_001]
+                part = slice(cut[0], cut[-1])
+                lists = pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)), pa.array(n[part] * wide + some[part] % wide))
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 50_000]), lists], names=["h", "near"])
 
+        def out() -> Iterator[pa.RecordBatch]:
+            yield from rows(known.keys, *np.unique(np.concatenate(codes), return_counts=True))
+            h, of = np.unique(np.concatenate(words), return_inverse=True)
+            yield from rows(h, *np.unique(of * wide + np.concatenate(near), return_counts=True))
+            for held in (codes, words, near):
+                held.clear()
+
         for batch in batches:
             flat, lens = _flat(batch.column("hashes"))
-            own = ids[_found(keys, flat)]
+            place = known.find(flat)
+            own = ids[place]
             line, at = _line(own, lens)
             again = np.zeros(len(flat) + 1, bool)  # the word before, in the same document, is the same
             again[1:-1] = (flat[1:] == flat[:-1]) & (at[1:] == at[:-1] + 1)
-            wanted = own < least
-            left = np.where(again[:-1], 2 * total, line[at - 1])
-            right = wanted & ~again[1:]
-            words += [flat[wanted], flat[right]]
-            near += [left[wanted].astype(np.int16), (total + line[at + 1][right]).astype(np.int16)]
-            if sum(map(len, words)) > 2 * MOST_TOKENS:
+            wanted, strange = own < least, place == len(known)
+            for rest, key in ((wanted, np.where(again[:-1], 2 * total, line[at - 1])), (wanted & ~again[1:], total + line[at + 1])):
+                codes.append((place * wide + key)[rest & ~strange])
+                words.append(flat[rest & strange])
+                near.append(key[rest & strange])
+            if sum(map(len, codes)) + sum(map(len, words)) > 2 * MOST_TOKENS:
                 yield from out()
-        yield from out()
+        if codes:
+            yield from out()
 
     return run
 
@@ -264,7 +288,7 @@ def _moved(model, bigrams: np.ndarray):
     wide = 2 * total + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = model.value
+        known, ids = model.value
         tabled = gain_table(bigrams)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -274,7 +298,7 @@ def _moved(model, bigrams: np.ndarray):
             some, at = np.unique(of * wide + key, return_inverse=True)
             n = np.bincount(at, n, len(some)).astype(np.int64)
             of, key = some // wide, some % wide
-            now = ids[_found(keys, words)]
+            now = ids[known.find(words)]
             now = np.where(now == RARE, -1, now)
             ends = np.searchsorted(of, np.arange(len(words) + 1))
             i = 0
@@ -328,7 +352,7 @@ def _least_band(vocabulary: DataFrame, known: int) -> int:
 class Model:
     """What workers score with: known words by hash, with their counts and classes, and the class of other words at the end."""
 
-    keys: np.ndarray
+    known: Lookup
     counts: np.ndarray
     classes: np.ndarray
     step: np.ndarray  # log10 P(class | class before); zero until counted
@@ -361,36 +385,37 @@ def _learned(rows: DataFrame, classes: int, known: int, sweeps: int, rounds: int
     n_words, n_types, once, twice = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
     least = _least_band(vocabulary, known)
     top = vocabulary.where(_band() >= least).toArrow()  # at most ``known`` rows
-    order = np.argsort(top["h"].to_numpy())
-    keys, counts = top["h"].to_numpy()[order], top["n"].to_numpy()[order]
-    core = np.lexsort((keys, -counts))[:head]
+    words = Lookup(top["h"].to_numpy())
+    counts = np.zeros(len(words), np.int64)
+    counts[words.find(top["h"].to_numpy())] = top["n"].to_numpy()
+    core = np.lexsort((words.keys, -counts))[:head]
     size, total = len(core) + 2, classes + 2
-    ids = np.full(len(keys) + 1, RARE, np.int64)
+    ids = np.full(len(words) + 1, RARE, np.int64)
     ids[core] = np.arange(2, size)
-    pairs = _pairs(texts, spark.sparkContext.broadcast((keys, ids)), size)
+    pairs = _pairs(texts, spark.sparkContext.broadcast((words, ids)), size)
     of = exchange(pairs, classes, sweeps)
     ids[core] = of[2:]
     one = np.eye(total)[of]
     bigrams = one.T @ pairs @ one
     classed = None
     for i in range(max(1, rounds)):
-        model = spark.sparkContext.broadcast((keys, ids.copy()))
+        model = spark.sparkContext.broadcast((words, ids.copy()))
         if i:
             bigrams = _pairs(texts, model, total).astype(np.float64)
         near = texts.mapInArrow(_count_neighbours(model, total, total if i else 2), "h bigint, near array<bigint>")
         moved = near.repartition("h").sortWithinPartitions("h").mapInArrow(_moved(model, bigrams), "h bigint, n bigint, class int")
         if not i:  # the words that exchange has started with stay
-            mine = pa.table({"h": keys[core], "n": counts[core], "class": ids[core].astype(np.int32)})
+            mine = pa.table({"h": words.keys[core], "n": counts[core], "class": ids[core].astype(np.int32)})
             moved = moved.unionByName(spark.createDataFrame(mine.to_pandas(), "h bigint, n bigint, class int"))
         classed = materialize(moved, "classlm-classes")
         found = classed.where(_band() >= least).select("h", "class").toArrow()  # at most ``known`` rows
-        ids[np.searchsorted(keys, found["h"].to_numpy())] = found["class"].to_numpy()
+        ids[words.find(found["h"].to_numpy())] = found["class"].to_numpy()
     class_tokens = np.zeros(total)
     class_tokens[END] = n_docs
     for k, n in classed.groupBy("class").agg(F.sum("n")).collect():
         class_tokens[k] += n
     unseen = (once + 1) / (n_words + n_docs + 2)
-    model = Model(keys, counts, ids, np.zeros((total, total)), class_tokens, n_words + n_docs, n_types + (n_docs > 0), unseen, max(1.0, once * (once - 1) / (2.0 * (twice + 1))), least)
+    model = Model(words, counts, ids, np.zeros((total, total)), class_tokens, n_words + n_docs, n_types + (n_docs > 0), unseen, max(1.0, once * (once - 1) / (2.0 * (twice + 1))), least)
     return model, vocabulary, classed
 
 
@@ -402,11 +427,10 @@ def _read(model):
         emit = np.r_[np.log10(m.counts / m.class_tokens[m.classes[:-1]]), 0.0]
         n_docs = int(m.class_tokens[END])
         end_base = math.log10(n_docs + 1.0)
-        none = len(m.keys)
         for batch in batches:
             flat, lens = _flat(batch.column("hashes"))
-            at = _found(m.keys, flat)
-            strange = at == none
+            at = m.known.find(flat)
+            strange = at == len(m.known)
             of = np.repeat(np.arange(len(lens)), lens)
             add = lambda x: np.bincount(of, x, len(lens)).astype(np.float64)
             first = np.r_[0, np.cumsum(lens)]
