@@ -65,7 +65,7 @@ def hashed(docs: DataFrame) -> DataFrame:
     arrow_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
-    return materialize(rows.mapInArrow(_hashed, f"row bigint, doc_id {id_type}, hashes binary"), "classlm-hashes")
+    return materialize(rows.mapInArrow(_hashed, f"row bigint, doc_id {id_type}, hashes binary"), "classlm-hashes", "zstd")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -491,7 +491,7 @@ def _paths(rows: DataFrame, model: Model, classed: DataFrame) -> DataFrame:
         F.collect_list(F.when(tail, F.struct("at", k.cast("int").alias("k")))).alias("found"),
     )
     out = out.drop("row").mapInArrow(_fill, f"doc_id {id_type}, n_tokens bigint, n_known bigint, base double, emitted double, path binary")
-    return materialize(out, "classlm-paths")
+    return materialize(out, "classlm-paths", "zstd")
 
 
 def _count_steps(total: int):
