@@ -1,4 +1,8 @@
-"""Compositions of Spark's own operators that time-series queries need: joins in time, sessions, latest rows, gaps."""
+"""Compositions of Spark's own operators that time-series queries need: joins in time, sessions, latest rows, gaps.
+
+What runs along a whole key is cut into stretches of time, so that a hot key is spread over tasks. What a stretch needs of
+those before it is a few numbers: they are summed over stretches, not rows, and stand before its rows as a row of their own.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,14 @@ from ..plans.grid import Grid, width
 from .samples import tick_of
 
 
+#: Ticks of a stretch: a day of microseconds. Choose it so that one key's rows of a stretch fit a task.
+STRETCH = 86_400_000_000
+
+
+def _cut(t: Column, size: int) -> Column:
+    return F.call_function("div", t - F.pmod(t, F.lit(size)), F.lit(size))
+
+
 def time_bucket(ts: str | Column, by, origin: int = 0) -> Column:
     """The start of the bucket of ``by`` ticks that a time falls in."""
     ts = F.col(ts) if isinstance(ts, str) else ts
@@ -34,12 +46,13 @@ def last_n(df: DataFrame, keys: Sequence[str], ts: str, n: int, tie: Sequence[st
     return df.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= n)
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], direction: str = "backward", tolerance=None, strict: bool = False, right_ts: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, columns: Sequence[str], direction: str = "backward", tolerance=None, strict: bool = False, right_ts: str | None = None, stretch=STRETCH) -> DataFrame:
     """Each row of ``left`` with the columns of the nearest row of ``right`` in time: at or before, after, or either.
 
-    Both sides are put in one order and values are carried along it, so it takes one exchange and no join. With a
-    tolerance the order is cut into stretches of time that long, rows of ``right`` going to the next stretch too (or to
-    the one before), so a hot key is spread over tasks. Equal times on the right: the greatest of the columns.
+    Both sides are put in one order and values are carried along it, so no rows are joined. The order is cut into stretches
+    of time: as long as the tolerance, rows of ``right`` going to the next stretch too (or to the one before); without one,
+    of ``stretch`` ticks, each with the last row of those before it (or the first of those after it). Equal times on the
+    right: the greatest of the columns. A row without a time matches nothing.
     """
     right_ts = right_ts or ts
     if direction not in ("backward", "forward", "nearest"):
@@ -48,13 +61,23 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, c
     r = right.where(F.col(right_ts).isNotNull()).groupBy(*keys, F.col(right_ts).alias("_rt")).agg(F.max(F.struct(*columns)).alias("_r"))
     r = r.withColumn("_t", tick_of(r, "_rt"))
     lt = tick_of(left, ts)
+    cut = lambda t: _cut(t, limit or width(stretch))
     if limit:
-        cut = lambda t: F.call_function("div", t - F.pmod(t, F.lit(limit)), F.lit(limit))
         near = {"backward": [0, 1], "forward": [-1, 0], "nearest": [-1, 0, 1]}[direction]
         r = r.withColumn("_cut", F.explode(F.array(*[cut(F.col("_t")) + k for k in near])))
     else:
-        cut = lambda t: F.lit(0).cast("long")
-        r = r.withColumn("_cut", F.lit(0).cast("long"))
+        r = r.withColumn("_cut", cut(F.col("_t")))
+        held = F.struct("_t", "_rt", "_r")
+        marks = r.groupBy(*keys, "_cut").agg(F.min(held).alias("_lo"), F.max(held).alias("_hi"))
+        empty = [F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ("_lo", "_hi")]
+        marks = marks.unionByName(left.select(*keys, cut(lt).alias("_cut"), *empty)).where("_cut IS NOT NULL")
+        marks = marks.groupBy(*keys, "_cut").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        along = Window.partitionBy(*keys).orderBy("_cut")
+        last = F.last("_hi", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        next_ = F.first("_lo", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing))
+        for carried in {"backward": [last], "forward": [next_], "nearest": [last, next_]}[direction]:
+            more = marks.select(*keys, "_cut", carried.alias("_x")).where("_x IS NOT NULL")
+            r = r.unionByName(more.select(*keys, "_cut", "_x._t", "_x._rt", "_x._r"))
     # At one time the right row comes first, unless only earlier ones (or, looking forward, later ones) count.
     first = {"backward": 1 if strict else -1, "forward": -1 if strict else 1}
     kinds = ["backward", "forward"] if direction == "nearest" else [direction]
@@ -98,12 +121,33 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bounds
     return joined.where(F.col("_b") == F.greatest("_llo", "_rlo")).drop("_b", "_llo", "_rlo")
 
 
-def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap) -> DataFrame:
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap, stretch=STRETCH) -> DataFrame:
     """Rows with session_id, from 0 up in each key: a new one after more than ``gap`` ticks."""
-    by = Window.partitionBy(*keys).orderBy(ts)
-    t = tick_of(df, ts)
-    new = F.when(t - F.lag(t).over(by) > width(gap), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("session_id", F.sum("_new").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
+    t, most = tick_of(df, ts), width(gap)
+    rows = df.withColumn("_t", t).withColumn("_cut", _cut(F.col("_t"), width(stretch)))
+    inside = Window.partitionBy(*keys, "_cut").orderBy("_t")
+    gaps = rows.select(*keys, "_cut", "_t", F.when(F.col("_t") - F.lag("_t").over(inside) > most, 1).otherwise(0).alias("_new"))
+    parts = gaps.groupBy(*keys, "_cut").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.sum("_new").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.max("_hi").over(along))
+    parts = parts.withColumn("_n", F.col("_n") + F.when(F.col("_lo") - F.col("_before") > most, 1).otherwise(0))
+    first = parts.select(*keys, "_cut", F.col("_before").alias("_t"), F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_n"), F.lit(0).alias("_side"))
+    both = rows.withColumn("_n", F.lit(None).cast("long")).withColumn("_side", F.lit(1)).unionByName(first, allowMissingColumns=True)
+    by = Window.partitionBy(*keys, "_cut").orderBy("_side", "_t")
+    new = F.coalesce("_n", F.when(F.col("_t") - F.lag("_t").over(by) > most, 1).otherwise(0))
+    out = both.withColumn("_n", new).withColumn("session_id", F.sum("_n").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    return out.where("_side = 1").drop("_t", "_cut", "_n", "_side")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str = "value", out: str = "total", stretch=STRETCH) -> DataFrame:
+    """Rows with the sum of a key's values so far, in order of time; null before the first value."""
+    rows = df.withColumn("_t", tick_of(df, ts)).withColumn("_cut", _cut(F.col("_t"), width(stretch))).withColumn("_v", F.col(value))
+    parts = rows.groupBy(*keys, "_cut").agg(F.sum("_v").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.select(*keys, "_cut", F.sum("_n").over(along).alias("_v"), F.lit(0).alias("_side"))
+    both = rows.withColumn("_side", F.lit(1)).unionByName(first, allowMissingColumns=True)
+    by = Window.partitionBy(*keys, "_cut").orderBy("_side", "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(out, F.sum("_v").over(by)).where("_side = 1").drop("_t", "_cut", "_v", "_side")
 
 
 def session_windows(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, *aggs: Column) -> DataFrame:
@@ -136,12 +180,28 @@ def jain(value: str = "value") -> Column:
     return F.pow(F.sum(value), 2) / F.nullif(F.count(value) * F.sum(F.col(value) * F.col(value)), F.lit(0.0))
 
 
-def remove_resets(df: DataFrame, keys: Sequence[str], ts: str, value: str = "value") -> DataFrame:
-    """The counter as if it had never been reset."""
-    by = Window.partitionBy(*keys).orderBy(ts)
-    before = F.lag(value).over(by)
-    step = F.when(before.isNull(), F.col(value)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    return df.withColumn("_d", step).withColumn("total", F.sum("_d").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_d")
+def remove_resets(df: DataFrame, keys: Sequence[str], ts: str, value: str = "value", stretch=STRETCH) -> DataFrame:
+    """The counter as if it had never been reset. Of equal times the lesser value comes first."""
+
+    def step(before: Column, now: Column) -> Column:
+        return F.when(before.isNull() | (now < before), now).otherwise(now - before)
+
+    rows = df.withColumn("_t", tick_of(df, ts)).withColumn("_cut", _cut(F.col("_t"), width(stretch))).withColumn("_v", F.col(value))
+    inside = Window.partitionBy(*keys, "_cut").orderBy("_t", "_v")
+    edges = rows.select(*keys, "_cut", "_v", F.row_number().over(inside).alias("_i"), F.lead(F.lit(1)).over(inside).alias("_more"), F.lag("_v").over(inside).alias("_b"))
+    parts = edges.groupBy(*keys, "_cut").agg(
+        F.sum(F.when(F.col("_i") > 1, step(F.col("_b"), F.col("_v")))).alias("_n"), F.max(F.when(F.col("_i") == 1, F.col("_v"))).alias("_first"), F.max(F.when(F.col("_more").isNull(), F.col("_v"))).alias("_last")
+    )
+    order = Window.partitionBy(*keys).orderBy("_cut")
+    parts = parts.withColumn("_before", F.lag("_last").over(order))
+    whole = F.coalesce("_n", F.lit(0.0)) + F.coalesce(step(F.col("_before"), F.col("_first")), F.lit(0.0))
+    sums = F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = parts.select(*keys, "_cut", F.col("_before").alias("_v"), sums.alias("_d"), F.lit(0).alias("_side"))
+    both = rows.withColumn("_d", F.lit(None).cast("double")).withColumn("_side", F.lit(1)).unionByName(first, allowMissingColumns=True)
+    by = Window.partitionBy(*keys, "_cut").orderBy("_side", "_t", "_v")
+    both = both.withColumn("_d", F.when(F.col("_side") == 0, F.col("_d")).otherwise(step(F.lag("_v").over(by), F.col("_v"))))
+    out = both.withColumn("total", F.sum("_d").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return out.where("_side = 1").drop("_t", "_cut", "_v", "_d", "_side")
 
 
 def concurrency(df: DataFrame, start: str, end: str, by, keys: Sequence[str] = ()) -> DataFrame:
@@ -161,11 +221,14 @@ def concurrency(df: DataFrame, start: str, end: str, by, keys: Sequence[str] = (
     return run.select(*keys, F.timestamp_micros(F.col("b") * size).cast("timestamp_ntz").alias("ts"), (open_ + F.col("top")).alias("peak"))
 
 
-def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+def union_length(df: DataFrame, keys: Sequence[str], start: str, end: str, stretch=STRETCH) -> DataFrame:
     """(keys, ticks): how long a key's intervals are together, overlaps once."""
-    lo, hi = tick_of(df, start), tick_of(df, end)
-    by = Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select(*keys, lo.alias("lo"), hi.alias("hi"))
-    rows = rows.withColumn("seen", F.max("hi").over(by))
+    rows = df.select(*keys, tick_of(df, start).alias("lo"), tick_of(df, end).alias("hi")).withColumn("_cut", _cut(F.col("lo"), width(stretch)))
+    parts = rows.groupBy(*keys, "_cut").agg(F.max("hi").alias("hi"))
+    along = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    first = parts.select(*keys, F.lit(None).cast("long").alias("lo"), F.max("hi").over(along).alias("hi"), "_cut")
+    both = rows.withColumn("_side", F.lit(1)).unionByName(first.withColumn("_side", F.lit(0)))
+    by = Window.partitionBy(*keys, "_cut").orderBy("_side", "lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("seen", F.max("hi").over(by)).where("_side = 1")
     added = F.greatest(F.col("hi") - F.greatest("lo", F.coalesce("seen", F.col("lo"))), F.lit(0))
-    return rows.groupBy(*keys).agg(F.sum(added).alias("ticks"))
+    return both.groupBy(*keys).agg(F.sum(added).alias("ticks"))

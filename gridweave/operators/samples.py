@@ -19,7 +19,8 @@ from ..plans.session import pushes
 
 #: A chunk spans so many times the reach of a window, so at most a ninth of the samples are dealt twice.
 CHUNK_REACHES = 8
-CHUNK_POINTS = 64
+#: The least points of a chunk, so that grids much coarser than their windows are not cut at every point.
+CHUNK_POINTS = 8
 
 INSIDE, BEFORE, AFTER = 0, 1, 2
 

@@ -9,12 +9,15 @@ from ..operators import compose, grids, hist, pattern, series
 from ..operators.rate import ts_rate
 from ..sources import grid as grid_source
 from ..sources import samples as sample_source
+from . import series_sql
 from .grid import Grid
 from .queries_range import DAY, GRID, ROLES, WINDOW, counter_sql, events, rounded, table
 from .roles import Roles
 
 HOUR = 3_600_000_000
 DAYS = Grid.of("2024-01-01", "2024-01-30", DAY)
+#: Ends of days, and how many of them a sampled histogram looks back on.
+ENDS, HELD_DAYS = Grid.of("2024-01-01", "2024-01-31", DAY), 6
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -33,7 +36,7 @@ def _sql_rate(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return rounded(
         spark.sql(
-            "SELECT * FROM ts_rate(TABLE(SELECT user_id AS series_id, ts, value FROM {e}), timestamp'2024-01-03', timestamp'2024-01-29', 86400000000, 259200000000)", e=e
+            "SELECT * FROM ts_rate(TABLE(SELECT user_id AS series_id, ts, value FROM {e}), timestamp'2024-01-03', timestamp'2024-01-31', 86400000000, 259200000000)", e=e
         ).select(F.col("series_id").alias("user_id"), F.posexplode("values").alias("i", "value")).where("value IS NOT NULL").select("user_id", F.timestamp_micros(F.lit(GRID.start) + F.col("i") * F.lit(GRID.step)).cast("timestamp_ntz").alias("ts"), "value"),
         9, by=1e6,
     )
@@ -111,20 +114,13 @@ register("hist_stdvar", lambda spark, sf_dir: rounded(_hists(spark, sf_dir).with
 register("hist_stddev", lambda spark, sf_dir: rounded(_hists(spark, sf_dir).withColumn("value", hist.hist("stddev", "value")), 5), _VAR.format(f="sqrt", d=5))
 
 
-def _quantile(spark, sf_dir, by: float = 1.0):
-    """The quantile is positive and in the bucket of the exact one, restated over the raw samples; ``by`` spoils it, for tests."""
-    h = _hists(spark, sf_dir, 5).withColumn("q", hist.hist("quantile", "value", phi=0.9) * by).select("user_id", "ts", "q")
-    points = grids.ts_grid(spark, GRID).withColumnRenamed("ts", "at")
-    inside = (F.col("s.ts") <= F.col("at")) & (F.col("s.ts") > F.col("at") - F.expr(f"INTERVAL {WINDOW // DAY} DAYS"))
-    raw = events(spark, sf_dir).where("value IS NOT NULL").alias("s").join(F.broadcast(points), inside)
-    exact = raw.groupBy("user_id", F.col("at").alias("ts")).agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("e"), F.count("value").alias("n"))
-    top = F.ceil(F.log2("e") * 32)
-    place = F.log2("q") * 32
-    near = (F.col("q") > 0) & (F.col("e") > 0) & (place <= top + 1e-6) & (place >= top - 1 - 1e-6)
-    return h.join(exact, ["user_id", "ts"]).select("user_id", "ts", F.coalesce(near, F.lit(False)).alias("positive"), (F.col("n") > 0).alias("counted"))
-
-
-register("hist_quantile", _quantile, f"WITH {_W} SELECT user_id, make_timestamp(a) AS ts, TRUE AS positive, TRUE AS counted FROM w GROUP BY ALL")
+register(
+    "hist_quantile",
+    lambda spark, sf_dir: rounded(_hists(spark, sf_dir, 5).withColumn("value", hist.hist("quantile", "value", phi=0.9)), 6),
+    f"""WITH {_W}, b AS (SELECT user_id, a, CASE WHEN v > 0 THEN CAST(ceil(log2(v) * 32) AS INTEGER) END AS k, count(*) AS c FROM w GROUP BY ALL),
+r AS (SELECT *, sum(c) OVER (PARTITION BY user_id, a ORDER BY k NULLS FIRST) AS upto, sum(c) OVER (PARTITION BY user_id, a) AS n FROM b)
+SELECT user_id, make_timestamp(a) AS ts, round(coalesce(arg_min(pow(2.0, (k - 1 + (0.9 * n - (upto - c)) / c) / 32), upto), 0), 6) + 0.0 AS value FROM r WHERE upto >= 0.9 * n GROUP BY ALL""",
+)
 register(
     "hist_fraction",
     lambda spark, sf_dir: rounded(_hists(spark, sf_dir).withColumn("value", hist.hist("fraction", "value", low=0.0, high=16.0)), 6),
@@ -155,14 +151,15 @@ SELECT event_type, round(arg_min(lo + (hi - lo) * ((0.5 * total - (upto - n)) /
 
 
 def _hist_samples(spark, sf_dir):
-    """Running histograms of each user: a counter of buckets, sampled at each day's end."""
-    days = hist.from_values(events(spark, sf_dir), DAYS, 30 * DAY, ROLES, 0)
-    return days.select("user_id", "ts", F.col("value").alias("h"))
+    """Histograms of each user's last days, sampled at each day's end: counts of buckets that now and then fall."""
+    days = hist.from_values(events(spark, sf_dir), ENDS, HELD_DAYS * DAY, ROLES, 0)
+    # Sums of doubles depend on their order, which a change is not to be seen in.
+    return days.select("user_id", "ts", F.col("value").withField("sum", F.round("value.sum", 6)).alias("h"))
 
 
 HIST_ROLES = Roles("user_id", "ts", "h")
-_RUN = f"""d AS (SELECT unnest(generate_series({DAYS.start}, {DAYS.end}, {DAY})) AS t), s AS (SELECT user_id, epoch_us(ts) AS et, value AS v FROM events WHERE value IS NOT NULL),
-h AS (SELECT s.user_id, d.t, CAST(count(*) AS DOUBLE) AS n, sum(v) AS total FROM s JOIN d ON s.et <= d.t AND s.et > d.t - {30 * DAY} GROUP BY ALL),
+_RUN = f"""d AS (SELECT unnest(generate_series({ENDS.start}, {ENDS.end}, {DAY})) AS t), s AS (SELECT user_id, epoch_us(ts) AS et, value AS v FROM events WHERE value IS NOT NULL),
+h AS (SELECT s.user_id, d.t, CAST(count(*) AS DOUBLE) AS n, sum(v) AS total FROM s JOIN d ON s.et <= d.t AND s.et > d.t - {HELD_DAYS * DAY} GROUP BY ALL),
 g AS (SELECT unnest(generate_series({GRID.start}, {GRID.end}, {GRID.step})) AS a), w AS (SELECT h.*, g.a FROM h JOIN g ON h.t > g.a - {WINDOW} AND h.t <= g.a)"""
 for _name, _expr in (("first", "arg_min(n, t)"), ("last", "arg_max(n, t)"), ("sum", "sum(n)"), ("avg", "avg(n)")):
     register(
@@ -190,6 +187,7 @@ def _hist_reset_flags(spark, sf_dir):
 
 
 register("hist_detect_reset", _hist_reset_flags)
+ORACLE_SQL.update(series_sql.hist_sql((ENDS.start, ENDS.end), DAY, HELD_DAYS * DAY, (GRID.start, GRID.end, GRID.step), WINDOW))
 
 
 def _hist_resample(spark, sf_dir):
@@ -285,6 +283,7 @@ register(
     lambda spark, sf_dir: daily(spark, sf_dir).select("user_id", F.round(F.aggregate(F.zip_with("values", "values", lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x), 4).alias("value")),
     f"WITH {_DAILY} SELECT user_id, round(sum(coalesce(v * v, 0)), 4) AS value FROM c GROUP BY ALL",
 )
+ORACLE_SQL.update(series_sql.series_sql(_DAILY, DAYS.count))
 
 
 # --- patterns
@@ -304,7 +303,7 @@ def _match(spark, sf_dir):
 
 
 _CODES = "o AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'B' WHEN 'purchase' THEN 'C' ELSE 'x' END AS k FROM events), q AS (SELECT user_id, string_agg(k, '' ORDER BY ts, event_id) AS s FROM o GROUP BY user_id)"
-register("match_pattern", _match)
+register("match_pattern", _match, series_sql.pattern_sql(3 * DAY))
 register(
     "sequence_match",
     lambda spark, sf_dir: pattern.sequence_match(full(spark, sf_dir), ["user_id"], "ts", "(?1)(?2)(?3)", [F.col("event_type") == k for k in ("view", "click", "purchase")], ["event_id"]),
@@ -386,7 +385,7 @@ register("remove_resets", lambda spark, sf_dir: rounded(compose.remove_resets(fu
 register("concurrency", lambda spark, sf_dir: compose.concurrency(full(spark, sf_dir).select("ts", (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("te")), "ts", "te", DAY), "WITH x AS (SELECT epoch_us(ts) AS t, 1 AS d FROM events UNION ALL SELECT epoch_us(ts) + 7200000000, -1 FROM events), s AS (SELECT t, CAST(sum(d) AS BIGINT) AS d FROM x GROUP BY t), r AS (SELECT t, sum(d) OVER (ORDER BY t) AS run, d FROM s), b AS (SELECT t // 86400000000 AS b, max(run) AS top, arg_min(run - d, t) AS open FROM r GROUP BY ALL) SELECT make_timestamp(b * 86400000000) AS ts, CAST(greatest(top, open) AS BIGINT) AS peak FROM b")
 register("union_length", lambda spark, sf_dir: compose.union_length(full(spark, sf_dir).select("user_id", "ts", (F.col("ts") + F.expr("INTERVAL 8 HOURS")).alias("te")), ["user_id"], "ts", "te"), "WITH n AS (SELECT user_id, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS nt FROM events) SELECT user_id, CAST(sum(least(28800000000, coalesce(nt - t, 28800000000))) AS BIGINT) AS ticks FROM n GROUP BY user_id")
 register("moving_by_count", lambda spark, sf_dir: full(spark, sf_dir).select("event_id", F.round(F.avg("value").over(Window.partitionBy("user_id").orderBy("ts").rowsBetween(-9, 0)), 5).alias("value")), "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 5) AS value FROM events")
-register("running_sum", lambda spark, sf_dir: full(spark, sf_dir).select("event_id", F.round(F.sum("value").over(Window.partitionBy("user_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)), 6).alias("value")), "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM events")
+register("running_sum", lambda spark, sf_dir: compose.running_sum(full(spark, sf_dir), ["user_id"], "ts").select("event_id", F.round("total", 6).alias("value")), "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS value FROM events")
 register("cube_by_type", lambda spark, sf_dir: full(spark, sf_dir).withColumn("day", F.to_date("ts")).cube("event_type", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")), "SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY CUBE (event_type, CAST(ts AS DATE))")
 register("equal_width_histogram", lambda spark, sf_dir: full(spark, sf_dir).where("value IS NOT NULL").groupBy(F.width_bucket("value", F.lit(0.0), F.lit(100.0), F.lit(10)).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 11 ELSE floor(value / 10) + 1 END AS BIGINT) AS bucket, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY ALL")
 register("correlation", lambda spark, sf_dir: full(spark, sf_dir).groupBy("event_type").agg(F.round(F.corr(F.col("value"), F.hour("ts").cast("double")), 6).alias("value")), "SELECT event_type, round(corr(value, CAST(hour(ts) AS DOUBLE)), 6) AS value FROM events GROUP BY ALL")
@@ -394,14 +393,14 @@ register("absent_points", lambda spark, sf_dir: compose.gapfill(_rates(spark, sf
 
 
 def _subquery(spark, sf_dir):
-    """The largest daily increase of the last week: a fold over a fold's output."""
+    """The largest daily increase of each week: a fold over a fold's output."""
     from ..operators.folds import over_time
 
     inner = ts_rate(events(spark, sf_dir), GRID, WINDOW, ROLES, what="increase")
-    return rounded(over_time(inner, "max_over_time", Grid.of("2024-01-10", "2024-01-24", 7 * DAY), 7 * DAY, ROLES), 6)
+    return rounded(over_time(inner, "max_over_time", Grid.of("2024-01-03", "2024-01-31", 7 * DAY), 7 * DAY, ROLES), 6)
 
 
-register("fold_of_fold", _subquery, f"WITH r AS ({counter_sql('increase', digits=6)}), g AS (SELECT unnest([TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-17', TIMESTAMP '2024-01-24']) AS a) SELECT user_id, a AS ts, max(value) AS value FROM r JOIN g ON r.ts > a - INTERVAL 7 DAY AND r.ts <= a GROUP BY ALL")
+register("fold_of_fold", _subquery, f"WITH r AS ({counter_sql('increase', digits=6)}), g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-31', INTERVAL 7 DAY)) AS a) SELECT user_id, a AS ts, max(value) AS value FROM r JOIN g ON r.ts > a - INTERVAL 7 DAY AND r.ts <= a GROUP BY ALL")
 
 
 # --- TPC-H-like tables, as any relation

@@ -17,7 +17,8 @@ from .roles import Roles
 DAY = 86_400_000_000
 WINDOW, LOOKBACK = 3 * DAY, 2 * DAY
 ROLES = Roles("user_id")
-GRID = Grid.of("2024-01-03", "2024-01-29", DAY)
+#: The first window begins before the first event and the last ends after the last, so every row is in some window.
+GRID = Grid.of("2024-01-03", "2024-01-31", DAY)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,7 +72,7 @@ def _grid_index(spark, sf_dir):
 
 
 register("version", lambda spark, sf_dir: spark.range(1).select((F.length(F.lit(__version__)) > 0).alias("has_version")), "SELECT TRUE AS has_version")
-register("ts_grid", _grid, f"SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-29', INTERVAL 1 DAY)) AS ts")
+register("ts_grid", _grid, f"SELECT unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS ts")
 register("ts_grid_index", _grid_index, "SELECT event_id, CAST(floor(CAST(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10') AS DOUBLE) / 25200000000) AS BIGINT) AS idx FROM events")
 
 
@@ -140,7 +141,8 @@ register(
     counter_sql(samples="s AS (SELECT user_id, epoch_us(ts) AS t, CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS DOUBLE) AS v, epoch_us(date_trunc('day', ts)) AS st FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)", extra="st"),
 )
 
-SHIP_GRID = Grid.of("1995-01-31", "1997-12-16", 35 * DAY)
+#: From the first ship date to past the last.
+SHIP_GRID = Grid.of("1995-01-31", "2001-11-20", 35 * DAY)
 SHIP_ROLES = Roles("l_suppkey", "l_shipdate", "qty")
 register(
     "ts_rate_duplicates",

@@ -201,7 +201,27 @@ def test_bounds_of_top_values_hold_where_the_sketch_is_full(spark):
     assert any(e["count_hi"] > exact[e["key"]] for e in row["value"])
 
 
-def test_a_spoiled_histogram_quantile_is_seen(spark):
-    sf = str(TESTDATA / "sf0.001")
-    assert queries_more._quantile(spark, sf).where("NOT positive").isEmpty()
-    assert queries_more._quantile(spark, sf, 1.1).where("positive").isEmpty()
+def test_running_compositions_of_a_hot_key_are_spread_and_equal(spark):
+    """One key with all rows: results do not depend on how long a stretch is, and no task has more than a part of the rows."""
+    from pyspark.sql import functions as F
+
+    from gridweave.operators import compose
+
+    rows = spark.range(0, 4000, 1, 4).select(F.lit("hot").alias("k"), F.col("id").alias("i"), (F.col("id") * 37 + (F.col("id") % 11) * 5 + F.when(F.col("id") % 97 == 0, 900).otherwise(0)).alias("ts"), (F.col("id") * 7919 % 1009).cast("double").alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 9001, 5, 1.0), (None, 9002, 7, None)], "k string, i long, ts long, v double"))
+
+    def all_of(stretch):
+        say = lambda df, *c: sorted((tuple(r) for r in df.select(*c).collect()), key=repr)
+        spans = rows.withColumn("te", F.col("ts") + F.col("v").cast("long"))
+        left, right = rows.where("i % 3 = 0 OR k IS NULL").drop("v"), rows.where("i % 97 = 1").drop("i")
+        joined = [say(compose.asof_join(left, right, ["k"], "ts", ["v"], d, stretch=stretch), "i", "v") for d in ("backward", "forward", "nearest")]
+        return [
+            say(compose.sessions(rows, ["k"], "ts", 60, stretch=stretch), "i", "session_id"), say(compose.remove_resets(rows, ["k"], "ts", "v", stretch=stretch), "i", "total"),
+            say(compose.running_sum(rows, ["k"], "ts", "v", stretch=stretch), "i", "total"), say(compose.union_length(spans, ["k"], "ts", "te", stretch=stretch), "k", "ticks"), *joined,
+        ]
+
+    whole = all_of(1 << 40)
+    assert all_of(1000) == whole and all_of(50_000) == whole
+    out = compose.running_sum(rows, ["k"], "ts", "v", stretch=1000)
+    tasks = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert "Window" in out._jdf.queryExecution().executedPlan().toString() and max(tasks) < 4000
