@@ -120,8 +120,8 @@ def _dropped(s: Samples) -> DataFrame:
     )
 
 
-def extrapolated(df: DataFrame, window: int, counter: bool, zero_start: bool) -> DataFrame:
-    """``df`` with the increase projected to both edges as ``value``, for windows with samples enough.
+def extrapolated(df: DataFrame, window: int, counter: bool, zero_start: bool, keep: bool = False) -> DataFrame:
+    """``df`` with the increase projected to both edges as ``value``, for windows with samples enough; with ``keep`` others have null.
 
     Computed as delta * ((S + d0 + d1) / S) in this order, so that results agree to the bit with other evaluators. It is
     written in steps, each a projection that reads the one below more than once and so stays apart: as one
@@ -131,7 +131,8 @@ def extrapolated(df: DataFrame, window: int, counter: bool, zero_start: bool) ->
     ws = c("at") - window
     known = F.coalesce((ws < c("first_st")) & (c("first_st") < c("first_t")), F.lit(False)) if counter else F.lit(False)
     df = df.withColumn("_known", known).withColumn("_zero", (c("_known") | F.lit(zero_start)) if counter else c("_known"))
-    df = df.withColumn("_n", c("n") + F.when(c("_zero"), 1).otherwise(0)).where(c("_n") >= 2)
+    df = df.withColumn("_n", c("n") + F.when(c("_zero"), 1).otherwise(0))
+    df = df.withColumn("_n", F.when(c("_n") >= 2, c("_n"))) if keep else df.where(c("_n") >= 2)
     start = F.when(c("_known"), c("first_st")).when(c("_zero"), ws).otherwise(c("first_t"))
     delta = c("adj") + (c("last") - c("first"))
     df = df.withColumns({"_start": start, "_from": F.when(c("_zero"), F.lit(0.0)).otherwise(c("first")), "_delta": F.when(c("_zero"), delta + c("first")).otherwise(delta)})

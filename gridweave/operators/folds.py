@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.grid import Grid, checked_width, width
 from ..plans.roles import Roles
 from . import shapes
-from .counter import below, started
+from .counter import ResetPolicy, anchored, below, extrapolated, started
 from .samples import BEFORE, INSIDE, Samples, fanned, prepared
 
 
@@ -164,6 +164,29 @@ def _changes(x: Context) -> Column:
     return F.when(x.n > 0, x.use("_changes", F.count_if(x.pair & ~x.v.eqNullSafe(x.pv))).cast("double"))
 
 
+def _compensated(x: Context) -> Column:
+    """The window's sum in order of time with the error of each addition carried along (Neumaier's), which an infinity ends."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
+
+    def add(a: Column, y: Column) -> Column:
+        s = y["v"]
+        t = a["s"] + s
+        low = F.when(F.abs(a["s"]) >= F.abs(s), (a["s"] - t) + s).otherwise((s - t) + a["s"])
+        return F.struct(t.alias("s"), (a["c"] + F.when(F.abs(t) == float("inf"), 0.0).otherwise(low)).alias("c"))
+
+    return F.when(x.n > 0, F.aggregate(x.sorted, zero, add, lambda a: F.when(F.abs(a["s"]) == float("inf"), a["s"]).otherwise(a["s"] + a["c"])))
+
+
+def _sum(x: Context, exact: bool = False) -> Column:
+    """Plain sums combine before the exchange; with ``exact`` the window is gathered and its sum compensated, so that its
+    bits do not depend on how rows are dealt."""
+    return _compensated(x) if exact else x.use("_sum", F.sum(x.rows(x.v)))
+
+
+def _avg(x: Context, exact: bool = False) -> Column:
+    return _compensated(x) / x.n.cast("double") if exact else x.use("_avg", F.avg(x.rows(x.v)))
+
+
 def _regression(x: Context) -> tuple[Column, Column]:
     """Slope and intercept at the grid point, over times as distances from it."""
     dt = (x.t - x.at).cast("double")
@@ -191,11 +214,31 @@ def _double_exp(x: Context, sf: float = 0.5, tf: float = 0.5) -> Column:
     return F.when(F.size(x.sorted) > 1, F.aggregate(F.slice(x.sorted, 2, F.size(x.sorted)), start, step)["s"])
 
 
+def _smooth(x: Context) -> tuple[Column, Column, Column, Column]:
+    """For the sample in a window: whether the edge before it is read, the value there, and the same for the edge after it."""
+    first = F.coalesce((x.pt <= x.ws) & (x.pt >= x.ws - x.lookback), F.lit(False))
+    last = F.coalesce((x.nt > x.at) & (x.nt <= x.at + x.lookback), F.lit(False))
+    part = lambda a, b, c: (a - b).cast("double") / F.nullif((c - b).cast("double"), F.lit(0.0))
+    return first, x.pv + (x.v - x.pv) * part(x.ws, x.pt, x.t), last, x.v + (x.nv - x.v) * part(x.at, x.t, x.nt)
+
+
 def _integral(x: Context, method: str = "LOCF") -> Column:
     """Area under the samples in value times ticks. ANCHOR holds the value before the window from its open end, and with
-    LOCF the last one up to the grid point; INSIDE goes from the first sample to the last."""
-    if method == "LINEAR":
-        area = (x.v + x.pv) / 2 * (x.t - x.pt).cast("double")
+    LOCF the last one up to the grid point; SMOOTH goes from the value interpolated at the open end to that at the point,
+    where there is a neighbour in reach; INSIDE goes from the first sample to the last."""
+    if method not in ("LOCF", "LINEAR"):
+        raise ValueError(f"no method {method}")
+    line = method == "LINEAR"
+    area = ((x.v + x.pv) / 2 if line else x.pv) * (x.t - x.pt).cast("double")
+    if x.edge == "SMOOTH":
+        first, low, last, high = _smooth(x)
+        head = F.when(first, ((low + x.v) / 2 if line else low) * (x.t - x.ws).cast("double"))
+        tail = F.when(last, ((x.v + high) / 2 if line else x.v) * (x.at - x.t).cast("double"))
+        inside = F.when(x.pair, area)
+        some = x.row & (x.pair | first | last)
+        zero = F.lit(0.0)
+        return x.use(f"_area_smooth_{method}", F.sum(F.when(some, F.coalesce(inside, head, zero) + F.coalesce(tail, zero))))
+    if line:
         if x.edge == "ANCHOR":
             along = (x.ws - x.pt).cast("double") / (x.t - x.pt).cast("double")
             at_edge = x.pv + (x.v - x.pv) * along
@@ -204,10 +247,15 @@ def _integral(x: Context, method: str = "LOCF") -> Column:
     if x.edge == "ANCHOR":
         seen = F.col("role").isin(INSIDE, BEFORE) if x.with_before else x.row
         return x.use("_area_held", F.sum(F.when(seen & (x.held > 0), x.v * x.held.cast("double"))))
-    return x.use("_area_locf", F.sum(x.pairs(x.pv * (x.t - x.pt).cast("double"))))
+    return x.use("_area_locf", F.sum(x.pairs(area)))
 
 
 def _covered(x: Context, method: str) -> Column:
+    if x.edge == "SMOOTH":
+        first, _, last, _ = _smooth(x)
+        zero = F.lit(0).cast("long")
+        head = F.when(x.pair, x.t - x.pt).when(first, x.t - x.ws).otherwise(zero)
+        return x.use("_smooth_span", F.sum(F.when(x.row & (x.pair | first | last), head + F.when(last, x.at - x.t).otherwise(zero))))
     if x.edge == "ANCHOR" and method == "LOCF":
         seen = F.col("role").isin(INSIDE, BEFORE) if x.with_before else x.row
         return x.use("_held", F.sum(F.when(seen & (x.held > 0), x.held)))
@@ -321,8 +369,8 @@ FOLDS: dict[str, Fold] = {
     "resets": Fold(_resets, ("INSIDE", "ANCHOR")),
     "changes": Fold(_changes, ("INSIDE", "ANCHOR"), True),
     "count_over_time": Fold(lambda x: F.when(x.n > 0, x.n.cast("double"))),
-    "sum_over_time": Fold(lambda x: x.use("_sum", F.sum(x.rows(x.v)))),
-    "avg_over_time": Fold(lambda x: x.use("_avg", F.avg(x.rows(x.v)))),
+    "sum_over_time": Fold(_sum),
+    "avg_over_time": Fold(_avg),
     "min_over_time": Fold(_min),
     "max_over_time": Fold(_max),
     "first_over_time": Fold(_first, categorical=True),
@@ -340,8 +388,8 @@ FOLDS: dict[str, Fold] = {
     "predict_linear": Fold(_predict_linear),
     "double_exp_smoothing": Fold(_double_exp),
     "last_two_samples": Fold(_two_samples, categorical=True),
-    "time_weighted_avg_over_time": Fold(_time_weighted, ("INSIDE", "ANCHOR"), before=True),
-    "integral_over_time": Fold(_integral, ("INSIDE", "ANCHOR"), before=True),
+    "time_weighted_avg_over_time": Fold(_time_weighted, ("INSIDE", "ANCHOR", "SMOOTH"), before=True),
+    "integral_over_time": Fold(_integral, ("INSIDE", "ANCHOR", "SMOOTH"), before=True),
     "range_over_time": Fold(lambda x: _max(x) - _min(x)),
     "sum2_over_time": Fold(lambda x: x.use("_sum2", F.sum(x.rows(x.v * x.v)))),
     "geomean_over_time": Fold(lambda x: F.exp(x.use("_log", F.avg(x.rows(F.when(x.v == 0, F.lit(-math.inf)).otherwise(F.ln(x.v))))))),
@@ -374,25 +422,67 @@ class Member:
         return cls(name, alias or name, tuple(params.items()))
 
 
+#: Members that EXTRAPOLATE, ANCHOR and SMOOTH judge as counters, or as a gauge.
+COUNTERS = {"rate": True, "increase": True, "delta": False}
+
+
+def _change_sums(x: Context, counter: bool) -> dict[str, Column]:
+    """What extrapolated() and anchored() read, as aggregates over the window's samples."""
+    near = F.coalesce(x.pt > x.ws, F.lit(False)) if x.edge == "INSIDE" else F.coalesce(x.pt >= x.ws - x.lookback, F.lit(False))
+    reset = x.row & near & (below(x.v, x.pv) | started(x.t, x.st, x.pt))
+    t = x.rows(x.t)
+    out = {"n": F.count(t), "first_t": F.min(t), "last_t": F.max(t), "adj": F.coalesce(F.sum(F.when(reset, x.pv)), F.lit(0.0)) if counter else F.lit(0.0)}
+    for name, c in (("first", x.v), ("first_st", x.st), ("before_t", x.pt), ("before", x.pv)):
+        out[name] = F.min_by(c, t)
+    for name, c in (("last", x.v), ("after_t", x.nt), ("after", x.nv)):
+        out[name] = F.max_by(c, t)
+    return out
+
+
+def _with_changes(out: DataFrame, x: Context, edge: str, grid: Grid, counter: bool) -> DataFrame:
+    """``out`` with the change of counters (or gauges) at ``edge`` in a column of its own."""
+    name = f"_change_{int(counter)}"
+    out = out.select("*", F.struct("*").alias("_kept"))  # what follows has names of its own
+    out = out.withColumns({n: F.col(f"_c{int(counter)}_{n}") for n in _change_sums(x, counter)} | {"at": F.lit(grid.start) + F.col("gi") * grid.step})
+    if edge == "EXTRAPOLATE":
+        return extrapolated(out, x.window, counter, False, keep=True).select("_kept.*", F.col("value").alias(name))
+    value = anchored(F.col("at"), F.col("at") - x.window, x.lookback, counter, ResetPolicy(), edge == "SMOOTH")
+    return out.select("_kept.*", value.alias(name))
+
+
 def folded(df: DataFrame, grid: Grid, window, members: Sequence[Member], roles: Roles = Roles(), edge: str = "INSIDE", lookback=None, push: bool | None = None) -> tuple[Samples, DataFrame]:
-    """(samples, one row per series and grid point with a column for each member)."""
+    """(samples, one row per series and grid point with a column for each member).
+
+    With EXTRAPOLATE, rates, increases and deltas are projected to the window's edges and all else stays inside.
+    """
     window = checked_width(window)
     lookback = checked_width(lookback, "lookback") if lookback is not None else window
     for m in members:
-        if m.name not in FOLDS:
+        if m.name not in FOLDS and m.name not in COUNTERS:
             raise ValueError(f"no fold {m.name}")
-        if edge not in FOLDS[m.name].edges:
+        edges = ("EXTRAPOLATE", "ANCHOR", "SMOOTH") if m.name in COUNTERS else (*FOLDS[m.name].edges, "EXTRAPOLATE") if any(o.name in COUNTERS for o in members) else FOLDS[m.name].edges
+        if edge not in edges:
             raise ValueError(f"{m.name} has no edge mode {edge}")
-    numeric = not all(FOLDS[m.name].categorical for m in members) or dict(df.dtypes).get(roles.value) == "double"
-    s = prepared(df, grid, window, roles, edge, lookback if edge != "INSIDE" else 0, numeric=numeric, push=push)
-    with_before = edge == "ANCHOR" and any(FOLDS[m.name].before for m in members)
+    own = [m for m in members if m.name in FOLDS]
+    changes = sorted({COUNTERS[m.name] for m in members if m.name in COUNTERS})
+    inner = "INSIDE" if edge == "EXTRAPOLATE" else edge
+    numeric = bool(changes) or not all(FOLDS[m.name].categorical for m in own) or dict(df.dtypes).get(roles.value) == "double"
+    s = prepared(df, grid, window, roles, inner, lookback if inner != "INSIDE" else 0, numeric=numeric, push=push)
+    with_before = edge == "ANCHOR" and any(FOLDS[m.name].before for m in own)
     rows = fanned(s, (INSIDE, BEFORE) if with_before else (INSIDE,))
     if with_before:
         rows = rows.where((F.col("role") == INSIDE) | (F.col("t") >= F.col("ws") - lookback))
-    x = Context(edge, lookback, window, numeric, with_before)
-    finals = [FOLDS[m.name].build(x, **dict(m.params)).alias(m.alias or m.name) for m in members]
-    out = rows.groupBy(*s.keys, "chunk", "gi").agg(*[c.alias(n) for n, c in x.aggs.items()])
-    return s, out.select(*s.keys, "chunk", "gi", *finals)
+    x = Context(inner, lookback, window, numeric, with_before)
+    finals = {m.alias or m.name: FOLDS[m.name].build(x, **dict(m.params)) for m in own}
+    aggs = [c.alias(n) for n, c in x.aggs.items()] + [c.alias(f"_c{int(k)}_{n}") for k in changes for n, c in _change_sums(x, k).items()]
+    out = rows.groupBy(*s.keys, "chunk", "gi").agg(*aggs)
+    for counter in changes:
+        out = _with_changes(out, x, edge, grid, counter)
+    for m in members:
+        if m.name in COUNTERS:
+            value = F.col(f"_change_{int(COUNTERS[m.name])}")
+            finals[m.alias or m.name] = value / F.lit(float(window)) if m.name == "rate" else value
+    return s, out.select(*s.keys, "chunk", "gi", *[finals[m.alias or m.name].alias(m.alias or m.name) for m in members])
 
 
 def over_time(df: DataFrame, name: str, grid: Grid, window, roles: Roles = Roles(), edge: str = "INSIDE", lookback=None, shape: str = "rows", push: bool | None = None, **params: Any) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions import histograms as H
 from ..plans.grid import Grid, checked_width
 from ..plans.roles import Roles
 from . import shapes
-from .samples import fanned, prepared
+from .samples import AFTER, BEFORE, INSIDE, fanned, prepared
 
 POINT: dict[str, tuple[str, Any]] = {
     "quantile": ("double", lambda h, phi: H.quantile(h, phi)),
@@ -129,48 +129,79 @@ def merge(df: DataFrame, keys: list[str], h: str = "h") -> DataFrame:
 
 
 OVER_TIME = ("first", "last", "count", "present", "changes", "resets", "sum", "avg", "rate", "increase", "delta")
+#: Edge modes by fold; the others stay inside their windows.
+EDGES = dict.fromkeys(("changes", "resets"), ("INSIDE", "ANCHOR")) | dict.fromkeys(("rate", "increase", "delta"), ("EXTRAPOLATE", "ANCHOR", "SMOOTH"))
 
 
-def hist_over_time(df: DataFrame, name: str, grid: Grid, window, roles: Roles = Roles(value="h"), per: str = "tick") -> DataFrame:
+def hist_over_time(df: DataFrame, name: str, grid: Grid, window, roles: Roles = Roles(value="h"), per: str = "tick", edge: str | None = None, lookback=None) -> DataFrame:
     """A fold of exponential histograms over (at - window, at], as rows (series, ts, value).
 
     Of equal times the histogram with the greatest count stays. rate, increase and delta project the change to the
-    window's edges; sum and avg add at the coarsest scale.
+    window's edges, or with ANCHOR and SMOOTH begin and end at the samples around it, no further off than ``lookback`` (the
+    window); changes and resets with ANCHOR count the pair that the window's open end parts. sum and avg add at the coarsest
+    scale.
     """
     if name not in OVER_TIME:
         raise ValueError(f"no histogram fold {name}")
+    edges = EDGES.get(name, ("INSIDE",))
+    edge = edges[0] if edge is None else edge
+    if edge not in edges:
+        raise ValueError(f"{name} has no edge mode {edge}")
     window = checked_width(window)
-    s = prepared(df, grid, window, roles, numeric=False)
-    rows = fanned(s)
+    lookback = checked_width(lookback, "lookback") if lookback is not None else window
+    wide = edge in ("ANCHOR", "SMOOTH")
+    s = prepared(df, grid, window, roles, edge, lookback if wide else 0, numeric=False)
     keys = [*s.keys, "chunk", "gi"]
+    if name in ("rate", "increase", "delta"):
+        return shapes.rows(s, _changed(s, keys, name, per, edge, lookback))
+    rows = fanned(s)
     t, v = F.col("t"), F.col("v")
-    pair = F.coalesce(F.col("pt") > F.col("ws"), F.lit(False))
+    pair = F.coalesce(F.col("pt") >= F.col("ws") - lookback if wide else F.col("pt") > F.col("ws"), F.lit(False))
     simple = {"first": F.min_by(v, t), "last": F.max_by(v, t), "count": F.count(F.lit(1)).cast("double"), "present": F.max(F.lit(1.0)), "changes": F.count_if(pair & ~v.eqNullSafe(F.col("pv"))).cast("double")}
     if name in simple:
         return shapes.rows(s, rows.groupBy(*keys).agg(simple[name].alias("value")))
     if name == "resets":
         rows = rows.withColumn("_r", F.coalesce(detect_reset("pv", "v"), F.lit(False)) & pair)
         return shapes.rows(s, rows.groupBy(*keys).agg(F.count_if("_r").cast("double").alias("value")))
-    if name in ("sum", "avg"):
-        out = merge(rows.select(*keys, "v"), keys, "v")
-        if name == "avg":
-            out = out.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n")), keys)
-            h, n = F.col("value"), F.col("_n")
-            over = {c: h[c] / n for c in ("count", "sum", "zero_count")} | {f"{x}_counts": F.transform(h[f"{x}_counts"], lambda c: c / n) for x in ("pos", "neg")}
-            for c, e in over.items():
-                h = h.withField(c, e)
-            out = out.select(*keys, h.alias("value"))
-        return shapes.rows(s, out)
-    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("a")).withColumn("at", F.lit(grid.start) + F.col("gi") * grid.step)
+    out = merge(rows.select(*keys, "v"), keys, "v")
+    if name == "avg":
+        out = out.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n")), keys)
+        h, n = F.col("value"), F.col("_n")
+        over = {c: h[c] / n for c in ("count", "sum", "zero_count")} | {f"{x}_counts": F.transform(h[f"{x}_counts"], lambda c: c / n) for x in ("pos", "neg")}
+        for c, e in over.items():
+            h = h.withField(c, e)
+        out = out.select(*keys, h.alias("value"))
+    return shapes.rows(s, out)
+
+
+def _changed(s, keys: list[str], name: str, per: str, edge: str, lookback: int) -> DataFrame:
+    """Samples of a window are gathered, with those around it where its edge is read."""
+    grid, window = s.grid, s.window
+    rows = fanned(s, {"EXTRAPOLATE": (INSIDE,), "ANCHOR": (INSIDE, BEFORE), "SMOOTH": (INSIDE, BEFORE, AFTER)}[edge])
+    if edge != "EXTRAPOLATE":
+        near = (F.col("role") == INSIDE) | ((F.col("role") == BEFORE) & (F.col("t") >= F.col("ws") - lookback)) | ((F.col("role") == AFTER) & (F.col("t") <= F.col("at") + lookback))
+        rows = rows.where(near)
+    else:
+        rows = rows.withColumn("role", F.lit(INSIDE))
+    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "role", "v"))).alias("a")).withColumn("at", F.lit(grid.start) + F.col("gi") * grid.step)
     fields = ["count", "sum", "scale", "zero_count", "zero_threshold", "pos_offset", "pos_counts", "neg_offset", "neg_counts"]
     by = 1.0 if name != "rate" else (1e6 if per == "second" else 1.0) / window
 
     def change(a: pd.Series, at: pd.Series) -> pd.DataFrame:
         out = []
         for samples, end in zip(a, at):
-            h = H.increase([(int(x["t"]), H.unpack(x["v"])) for x in samples], int(end), window, name == "delta")
+            by_role: dict[int, list] = {INSIDE: [], BEFORE: [], AFTER: []}
+            for x in samples:
+                by_role[int(x["role"])].append((int(x["t"]), H.unpack(x["v"])))
+            inside, before, after = by_role[INSIDE], by_role[BEFORE], by_role[AFTER]
+            if edge == "EXTRAPOLATE":
+                h = H.increase(inside, int(end), window, name == "delta")
+            elif not inside:
+                h = None
+            else:
+                h = H.change(inside, before[-1] if before else None, after[0] if after else None, int(end), window, edge == "SMOOTH", name == "delta")
             out.append(dict.fromkeys(fields) if h is None else H.pack(H.scaled(h, by)))
         return pd.DataFrame(out, columns=fields, dtype=object)
 
-    out = gathered.select(*keys, F.pandas_udf(change, H.EXPONENTIAL)("a", "at").alias("value")).where("value.count IS NOT NULL")
-    return shapes.rows(s, out)
+    out = gathered.select(*keys, F.pandas_udf(change, H.EXPONENTIAL)("a", "at").alias("value"))
+    return out.where("value.count IS NOT NULL")

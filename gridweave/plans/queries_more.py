@@ -11,7 +11,7 @@ from ..sources import grid as grid_source
 from ..sources import samples as sample_source
 from . import series_sql
 from .grid import Grid
-from .queries_range import DAY, GRID, ROLES, WINDOW, counter_sql, events, rounded, table
+from .queries_range import DAY, GRID, LOOKBACK, ROLES, WINDOW, ORACLE_SQL as RANGE_SQL, counter_sql, counters, events, rounded, table
 from .roles import Roles
 
 HOUR = 3_600_000_000
@@ -50,6 +50,16 @@ def _sql_aggregate(spark, sf_dir):
     return rounded(out.select("user_id", F.timestamp_micros(F.lit(GRID.start) + F.col("i") * F.lit(GRID.step)).cast("timestamp_ntz").alias("ts"), "value"), 9, by=1e6)
 
 
+def _sql_aggregate_starts(spark, sf_dir):
+    """The aggregate of seven arguments: counters with the start of their day as start time."""
+    sql.register(spark)
+    c = counters(spark, sf_dir)
+    micros = lambda name: f"unix_micros(CAST({name} AS timestamp))"
+    out = spark.sql(f"SELECT user_id, ts_rate_agg_st({micros('ts')}, value, {micros('start_ts')}, {GRID.start}, {GRID.end}, {GRID.step}, {WINDOW}) AS vs FROM {{c}} GROUP BY user_id", c=c)
+    out = out.select("user_id", F.posexplode("vs").alias("i", "value")).where("value IS NOT NULL")
+    return rounded(out.select("user_id", F.timestamp_micros(F.lit(GRID.start) + F.col("i") * F.lit(GRID.step)).cast("timestamp_ntz").alias("ts"), "value"), 9, by=1e6)
+
+
 def _sql_grid(spark, sf_dir):
     sql.register(spark)
     return spark.sql("SELECT ts, ts_grid_index(CAST(ts AS timestamp), timestamp'2024-01-05', 172800000000) AS idx FROM ts_grid(timestamp'2024-01-01', timestamp'2024-01-30', 86400000000)")
@@ -57,6 +67,7 @@ def _sql_grid(spark, sf_dir):
 
 register("sql_ts_rate_table", _sql_rate, counter_sql())
 register("sql_ts_rate_aggregate", _sql_aggregate, counter_sql())
+register("sql_ts_rate_aggregate_starts", _sql_aggregate_starts, RANGE_SQL["ts_rate_start_ts"])
 register("sql_ts_grid", _sql_grid, "SELECT ts, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-05')) / 172800000000.0) AS BIGINT) AS idx FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS ts)")
 register("ts_rate_no_pushdown", lambda spark, sf_dir: rounded(ts_rate(events(spark, sf_dir), GRID, WINDOW, ROLES, per="second", push=False), 9), counter_sql())
 
@@ -179,6 +190,16 @@ for _name in ("rate", "increase", "delta"):
     register(f"hist_{_name}", lambda spark, sf_dir, n=_name: rounded(hist.hist_over_time(_hist_samples(spark, sf_dir), n, GRID, WINDOW, HIST_ROLES, "second").withColumn("value", F.col("value.count")), 6))
 
 
+for _edge in ("ANCHOR", "SMOOTH"):
+    for _name in ("rate", "increase", "delta"):
+        register(
+            f"hist_{_name}_{_edge.lower()}",
+            lambda spark, sf_dir, n=_name, e=_edge: rounded(hist.hist_over_time(_hist_samples(spark, sf_dir), n, GRID, WINDOW, HIST_ROLES, "second", e, LOOKBACK).withColumn("value", F.col("value.count")), 6),
+        )
+for _name in ("resets", "changes"):
+    register(f"hist_{_name}_anchor", lambda spark, sf_dir, n=_name: hist.hist_over_time(_hist_samples(spark, sf_dir), n, GRID, WINDOW, HIST_ROLES, edge="ANCHOR", lookback=LOOKBACK))
+
+
 def _hist_reset_flags(spark, sf_dir):
     h = _hist_samples(spark, sf_dir)
     by = Window.partitionBy("user_id").orderBy("ts")
@@ -187,7 +208,7 @@ def _hist_reset_flags(spark, sf_dir):
 
 
 register("hist_detect_reset", _hist_reset_flags)
-ORACLE_SQL.update(series_sql.hist_sql((ENDS.start, ENDS.end), DAY, HELD_DAYS * DAY, (GRID.start, GRID.end, GRID.step), WINDOW))
+ORACLE_SQL.update(series_sql.hist_sql((ENDS.start, ENDS.end), DAY, HELD_DAYS * DAY, (GRID.start, GRID.end, GRID.step), WINDOW, LOOKBACK))
 
 
 def _hist_resample(spark, sf_dir):

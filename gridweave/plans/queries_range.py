@@ -227,11 +227,27 @@ ANCHORED: list[tuple] = [
     ("integral_over_time", {}, f"sum(v * ({HELD})) / 1000000.0", f"{HELD} > 0", {"by": 1e-6, "digits": 3}),
     ("monotone_over_time", {"kind": "increases"}, "CAST(count(CASE WHEN v > pv THEN 1 END) AS DOUBLE)", "role = 0", {}),
     ("gaps_over_time", {"max_gap": DAY // 2}, f"CAST(count(CASE WHEN t - pt > {DAY // 2} THEN 1 END) AS DOUBLE)", "role = 0", {}),
+    ("active_duration_over_time", {"max_gap": DAY // 2}, f"CAST(coalesce(sum(CASE WHEN t - pt <= {DAY // 2} THEN t - greatest(pt, ws) END), 0) AS DOUBLE)", "role = 0", {"digits": 0}),
 ]
 for _name, _params, _sql, _where, _o in ANCHORED:
     register(f"ts_{_name}_anchor", _range(_name, _params, _o, "ANCHOR"), windowed_sql(_sql, "wa", _where, _o.get("digits", 6)))
 
 
+# From the value on the line to the first sample, at the window's open end, to that on the line to the next one, at the point.
+SMOOTHED = f"""{EDGES}, q0 AS (SELECT w.*, w.a - {WINDOW} AS ws, CASE WHEN pt IS NULL THEN bt END AS et, CASE WHEN pt IS NULL THEN bv + (v - bv) * (CAST(w.a - {WINDOW} - bt AS DOUBLE) / (t - bt)) END AS ev,
+ CASE WHEN nt IS NULL THEN ft END AS ut, CASE WHEN nt IS NULL THEN v + (fv - v) * (CAST(w.a - t AS DOUBLE) / (ft - t)) END AS uv FROM w LEFT JOIN b ON w.user_id = b.user_id AND w.a = b.a LEFT JOIN f ON w.user_id = f.user_id AND w.a = f.a),
+q AS (SELECT *, coalesce(CASE WHEN pt IS NOT NULL THEN t - pt WHEN et IS NOT NULL THEN t - ws END, 0) + coalesce(CASE WHEN ut IS NOT NULL THEN a - t END, 0) AS width,
+ coalesce(CASE WHEN pt IS NOT NULL THEN pv * (t - pt) WHEN et IS NOT NULL THEN ev * (t - ws) END, 0) + coalesce(CASE WHEN ut IS NOT NULL THEN v * (a - t) END, 0) AS held,
+ coalesce(CASE WHEN pt IS NOT NULL THEN (pv + v) / 2 * (t - pt) WHEN et IS NOT NULL THEN (ev + v) / 2 * (t - ws) END, 0) + coalesce(CASE WHEN ut IS NOT NULL THEN (v + uv) / 2 * (a - t) END, 0) AS area FROM q0 WHERE pt IS NOT NULL OR et IS NOT NULL OR ut IS NOT NULL)"""
+for _name, _params, _sql, _o in (
+    ("time_weighted_avg_over_time", {}, "sum(held) / nullif(sum(width), 0)", {}), ("time_weighted_avg_over_time", {"method": "LINEAR"}, "sum(area) / nullif(sum(width), 0)", {}),
+    ("integral_over_time", {}, "sum(held) / 1000000.0", {"by": 1e-6, "digits": 3}), ("integral_over_time", {"method": "LINEAR"}, "sum(area) / 1000000.0", {"by": 1e-6, "digits": 3}),
+):
+    register(f"ts_{_name}_smooth" + "_linear" * bool(_params), _range(_name, _params, _o, "SMOOTH"), windowed_sql(_sql, "q", digits=_o.get("digits", 6)).replace(EDGES, SMOOTHED))
+for _name, _sql in (("sum", "fsum(v)"), ("avg", "favg(v)")):
+    register(f"ts_{_name}_over_time_exact", _range(f"{_name}_over_time", {"exact": True}, {"digits": 9}), windowed_sql(_sql, digits=9))
+
+
 SF, TF = 0.3141592653, 0.2718281828
 
 
@@ -314,6 +330,29 @@ def _fold(spark, sf_dir):
 register("ts_fold", _fold, f"WITH {SAMPLES}, {POINTS}, {INSIDE} SELECT user_id, make_timestamp(a) AS ts, round(sum(v), 6) AS total, max(v) AS top, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY user_id, a")
 
 
+def _fold_changes(edge):
+    """Rate, increase and delta from one pass with another fold, at each edge mode."""
+    changes = [folds.Member.of(n) for n in ("rate", "increase", "delta")]
+
+    def run(spark, sf_dir):
+        out = folds.fold(events(spark, sf_dir), GRID, WINDOW, [*changes, folds.Member.of("max_over_time", "top")] if edge == "EXTRAPOLATE" else changes, ROLES, edge, LOOKBACK)
+        said = [F.round(F.col("value.rate") * 1e6, 9) + 0.0, F.round("value.increase", 6) + 0.0, F.round("value.delta", 6) + 0.0]
+        return out.select("user_id", "ts", *[c.alias(n) for c, n in zip(said, ("rate", "increase", "delta"))], *(["value.top"] if edge == "EXTRAPOLATE" else []))
+
+    return run
+
+
+def _fold_changes_sql(edge):
+    top = ", top" if edge == "EXTRAPOLATE" else ""
+    parts = ", ".join(f"{n} AS ({counter_sql(n, edge, digits=9 if n == 'rate' else 6)})" for n in ("rate", "increase", "delta"))
+    return f"""WITH {SAMPLES}, {POINTS}, {INSIDE}, p AS (SELECT user_id, make_timestamp(a) AS ts, max(v) AS top FROM w GROUP BY user_id, a), {parts}
+SELECT p.user_id, p.ts, rate.value AS rate, increase.value AS increase, delta.value AS delta{top} FROM p LEFT JOIN rate USING (user_id, ts) LEFT JOIN increase USING (user_id, ts) LEFT JOIN delta USING (user_id, ts)"""
+
+
+for _edge in ("EXTRAPOLATE", "ANCHOR", "SMOOTH"):
+    register(f"ts_fold_{_edge.lower()}", _fold_changes(_edge), _fold_changes_sql(_edge))
+
+
 def _bounded(spark, sf_dir):
     """Calendar months as windows of each user."""
     e = events(spark, sf_dir)

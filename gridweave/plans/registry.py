@@ -52,9 +52,13 @@ class Row:
             return n.removeprefix("series_") in series.SERIES
         if self.family is Family.HIST:
             short = n.removeprefix("hist_")
+            if set(self.edges) != set(hist.EDGES.get(short, self.edges)):
+                return False
             return short in hist.POINT or short.removesuffix("_over_time") in hist.OVER_TIME or hasattr(hist, short) or short == "resample"
         if self.family is Family.PATTERN:
             return hasattr(pattern, n)
+        if n in folds.FOLDS and set(self.edges) != set(folds.FOLDS[n].edges):
+            return False
         if n in folds.FOLDS or n in ("rate", "increase", "delta", "fold", "version", "grid", "grid_index", "stale_marker"):
             return True
         return hasattr(resample, n)
@@ -63,7 +67,7 @@ class Row:
 def _rows() -> list[Row]:
     R, S, D = Family, State, Determinism
     counter = ("EXTRAPOLATE", "ANCHOR", "SMOOTH")
-    anchored = ("INSIDE", "ANCHOR")
+    edges = dict.fromkeys(("rate", "increase", "delta"), counter) | dict.fromkeys(("resets", "changes"), ("INSIDE", "ANCHOR"))
     out = [
         Row("version", R.META, S.NONE, D.D0, "version", ()),
         Row("grid", R.GRID, S.NONE, D.D0, "ts_grid", ()),
@@ -74,7 +78,7 @@ def _rows() -> list[Row]:
         Row("delta", R.RANGE, S.RAW_WINDOW, D.D0, "ts_delta", counter, Domain.GAUGE),
         Row("resample", R.INSTANT, S.LAST_K, D.D0, "ts_resample_lookback", ("LOOKBACK", "INTERPOLATE", "NEXT", "NEAREST")),
         Row("resample_ts", R.INSTANT, S.LAST_K, D.D0, "ts_resample_ts", ("LOOKBACK", "NEXT", "NEAREST")),
-        Row("fold", R.RANGE, S.RAW_WINDOW, D.D0, "ts_fold", anchored),
+        Row("fold", R.RANGE, S.RAW_WINDOW, D.D0, "ts_fold", ("INSIDE", *counter)),
     ]
     last = {"irate", "idelta", "last_over_time", "last_two_samples"}
     slices = {"count_over_time", "sum_over_time", "avg_over_time", "min_over_time", "max_over_time", "first_over_time", "present_over_time", "ts_of_min_over_time", "ts_of_max_over_time", "ts_of_first_over_time", "ts_of_last_over_time", "range_over_time", "sum2_over_time", "geomean_over_time", "stale_samples_over_time", "m4_over_time"}
@@ -88,7 +92,7 @@ def _rows() -> list[Row]:
     for short in ("rate", "increase", "delta", "resets", "sum_over_time", "avg_over_time", "last_over_time", "first_over_time", "count_over_time", "present_over_time", "changes", "resample", "merge", "from_values", "from_classic", "quantile", "fraction", "count", "sum", "avg", "stddev", "stdvar", "downscale", "compact", "detect_reset"):
         name = f"hist_{short}"
         state = S.HIST_MERGE if name in merges else S.HIST_WINDOW if short.endswith(("_over_time", "rate", "increase", "delta", "resets", "changes")) else S.LAST_K if short == "resample" else S.NONE
-        out.append(Row(name, R.HIST, state, D.D1 if name in SUMS else D.D0, name, domain=Domain.HISTOGRAM))
+        out.append(Row(name, R.HIST, state, D.D1 if name in SUMS else D.D0, name, edges.get(short, ("INSIDE",)), Domain.HISTOGRAM))
     from ..operators.series import SERIES
 
     out += [Row(f"series_{n}", R.SERIES, S.SERIES, D.D0, f"series_{n}", ()) for n in SERIES]

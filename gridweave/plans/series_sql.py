@@ -97,20 +97,41 @@ m AS (SELECT n.user_id, n.event_id AS first_id, z.event_id AS last_id, n.e - n.r
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY r) AS match_number, first_id, last_id, clicks FROM m"""
 
 
-def hist_sql(days: tuple[int, int], day: int, reach: int, grid: tuple[int, int, int], window: int) -> dict[str, str]:
+def hist_sql(days: tuple[int, int], day: int, reach: int, grid: tuple[int, int, int], window: int, lookback: int) -> dict[str, str]:
     """Folds of histograms that each day's end takes of the samples of ``reach`` ticks before it: buckets are powers of two."""
     base = f"""d AS (SELECT unnest(generate_series({days[0]}, {days[1]}, {day})) AS t), s AS (SELECT user_id, epoch_us(ts) AS et, value AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
 b AS (SELECT s.user_id, d.t, CASE WHEN v = 0 THEN -100000 ELSE sign(v) * 1000 + ceil(log2(abs(v))) END AS k, count(*) AS c, sum(v) AS total FROM s JOIN d ON s.et <= d.t AND s.et > d.t - {reach} GROUP BY ALL),
 h AS (SELECT user_id, t, CAST(sum(c) AS DOUBLE) AS n, round(sum(total), 6) AS total FROM b GROUP BY ALL),
 o AS (SELECT *, lag(t) OVER w AS pt, lag(n) OVER w AS pn, lag(total) OVER w AS ptotal FROM h WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 fell AS (SELECT o.user_id, o.t, bool_or(p.c > coalesce(q.c, 0)) AS reset, bool_or(p.c <> coalesce(q.c, 0)) AS other FROM o JOIN b p ON p.user_id = o.user_id AND p.t = o.pt LEFT JOIN b q ON q.user_id = o.user_id AND q.t = o.t AND q.k = p.k GROUP BY ALL),
-x AS (SELECT o.*, reset, other OR n <> pn OR total <> ptotal AS changed FROM o LEFT JOIN fell USING (user_id, t)),
-g AS (SELECT unnest(generate_series({grid[0]}, {grid[1]}, {grid[2]})) AS a), w AS (SELECT x.*, g.a, pt > g.a - {window} AS pair FROM x JOIN g ON t > g.a - {window} AND t <= g.a)"""
+x AS (SELECT o.*, reset, other OR n <> pn OR total <> ptotal AS changed, lead(o.t) OVER u AS nt, lead(n) OVER u AS nn, lead(reset) OVER u AS nreset FROM o LEFT JOIN fell ON fell.user_id = o.user_id AND fell.t = o.t WINDOW u AS (PARTITION BY o.user_id ORDER BY o.t)),
+g AS (SELECT unnest(generate_series({grid[0]}, {grid[1]}, {grid[2]})) AS a), w AS (SELECT x.*, g.a, pt > g.a - {window} AS pair, pt >= g.a - {window + lookback} AS near, nt <= g.a + {lookback} AS soon FROM x JOIN g ON t > g.a - {window} AND t <= g.a)"""
     change = f"""e AS (SELECT user_id, a, count(*) AS m, min(t) AS t0, max(t) AS t1, arg_max(n, t) - arg_min(n, t) AS d, coalesce(sum(pn) FILTER (WHERE pair AND reset), 0) AS r FROM w GROUP BY ALL HAVING count(*) > 1),
 e2 AS (SELECT *, CAST(t1 - t0 AS DOUBLE) AS sp, CAST(t1 - t0 AS DOUBLE) / (m - 1) AS av FROM e),
 e3 AS (SELECT *, (sp + CASE WHEN t0 - (a - {window}) <= av * 1.1 THEN t0 - (a - {window}) ELSE av / 2 END + CASE WHEN a - t1 <= av * 1.1 THEN a - t1 ELSE av / 2 END) / sp AS grown FROM e2)"""
+    # The first sample of a window knows the one before it, and the last the one after the point.
+    ends = f"""e AS (SELECT user_id, a, count(*) AS m, min(t) AS t0, max(t) AS t1, arg_min(n, t) AS n0, arg_max(n, t) AS n1, arg_min(CASE WHEN near THEN pt ELSE -1 END, t) AS bt, arg_min(coalesce(pn, 0), t) AS bn, arg_min(coalesce(reset, FALSE), t) AS breset,
+ arg_max(CASE WHEN soon THEN nt ELSE -1 END, t) AS ft, arg_max(coalesce(nn, 0), t) AS fn, arg_max(coalesce(nreset, FALSE), t) AS freset, coalesce(sum(pn) FILTER (WHERE pair AND reset), 0) AS r FROM w GROUP BY ALL),
+z AS (SELECT *, bt >= 0 AND bt IS NOT NULL AS hb, ft >= 0 AND ft IS NOT NULL AS hf FROM e)"""
+
+    def edged(counter: bool, smooth: bool) -> str:
+        low = "CASE WHEN breset THEN 0 ELSE bn END" if counter else "bn"
+        high = "CASE WHEN freset THEN n1 + fn ELSE fn END" if counter else "fn"
+        r = ("r" if smooth else "r + CASE WHEN hb AND breset THEN bn ELSE 0 END") if counter else "0"
+        left = f"CASE WHEN hb THEN ({low}) + (n0 - ({low})) * (CAST(a - {window} - bt AS DOUBLE) / (t0 - bt)) ELSE n0 END" if smooth else "CASE WHEN hb THEN bn ELSE n0 END"
+        right = f"CASE WHEN hf THEN n1 + (({high}) - n1) * (CAST(a - t1 AS DOUBLE) / (ft - t1)) ELSE n1 END" if smooth else "n1"
+        return f"({r}) + (({right}) - ({left}))"
+
+    modes = {}
+    for mode in ("anchor", "smooth"):
+        smooth = mode == "smooth"
+        some = f"z WHERE m + hb::INT {'+ hf::INT' if smooth else ''} >= 2"
+        for name, value in (("rate", f"({edged(True, smooth)}) / {window / 1e6}"), ("increase", edged(True, smooth)), ("delta", edged(False, smooth))):
+            modes[f"hist_{name}_{mode}"] = f"WITH {base}, {ends} SELECT user_id, make_timestamp(a) AS ts, round({value}, 6) + 0.0 AS value FROM {some}"
     say = lambda value, source: f"SELECT user_id, make_timestamp(a) AS ts, round({value}, 6) + 0.0 AS value FROM {source}"
-    return {
+    return modes | {
+        "hist_resets_anchor": f"WITH {base} {say('CAST(count(*) FILTER (WHERE near AND reset) AS DOUBLE)', 'w')} GROUP BY ALL",
+        "hist_changes_anchor": f"WITH {base} {say('CAST(count(*) FILTER (WHERE near AND changed) AS DOUBLE)', 'w')} GROUP BY ALL",
         "hist_resets": f"WITH {base} {say('CAST(count(*) FILTER (WHERE pair AND reset) AS DOUBLE)', 'w')} GROUP BY ALL",
         "hist_changes": f"WITH {base} {say('CAST(count(*) FILTER (WHERE pair AND changed) AS DOUBLE)', 'w')} GROUP BY ALL",
         "hist_detect_reset": f"WITH {base} SELECT user_id, make_timestamp(t) AS ts, reset FROM x WHERE pt IS NOT NULL",

@@ -31,3 +31,16 @@ def test_every_row_of_the_registry_has_a_query_and_an_implementation():
         assert row.query in OWN, row.name
         assert row.is_valid(), row.name
         assert row.implemented(), row.name
+
+
+def test_edge_modes_have_queries_of_their_own():
+    """Each mode beyond a row's first is shown by a query with SQL."""
+    for row in registry.ROWS.values():
+        for edge in row.edges[1:]:
+            names = {f"{row.query}_{edge.lower()}", f"{row.query.removesuffix('_lookback')}_{edge.lower()}", f"{row.query}_inside"}
+            if row.family in (registry.Family.RANGE, registry.Family.HIST) and row.name not in NO_QUERY:
+                assert names & set(SQL), (row.name, edge)
+
+
+#: Its only query is in the mode ANCHOR.
+NO_QUERY = {"state_duration_over_time"}
