@@ -228,9 +228,10 @@ ANCHORED: list[tuple] = [
     ("monotone_over_time", {"kind": "increases"}, "CAST(count(CASE WHEN v > pv THEN 1 END) AS DOUBLE)", "role = 0", {}),
     ("gaps_over_time", {"max_gap": DAY // 2}, f"CAST(count(CASE WHEN t - pt > {DAY // 2} THEN 1 END) AS DOUBLE)", "role = 0", {}),
     ("active_duration_over_time", {"max_gap": DAY // 2}, f"CAST(coalesce(sum(CASE WHEN t - pt <= {DAY // 2} THEN t - greatest(pt, ws) END), 0) AS DOUBLE)", "role = 0", {"digits": 0}),
+    ("ts_of_last_change_over_time", {}, "max(CASE WHEN v <> pv THEN t END)", "role = 0", {"cast": "BIGINT"}),
 ]
 for _name, _params, _sql, _where, _o in ANCHORED:
-    register(f"ts_{_name}_anchor", _range(_name, _params, _o, "ANCHOR"), windowed_sql(_sql, "wa", _where, _o.get("digits", 6)))
+    register(f"ts_{_name}_anchor", _range(_name, _params, _o, "ANCHOR"), windowed_sql(_sql, "wa", _where, _o.get("digits", 6), _o.get("cast", "DOUBLE")))
 
 
 # From the value on the line to the first sample, at the window's open end, to that on the line to the next one, at the point.
