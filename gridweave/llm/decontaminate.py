@@ -110,8 +110,9 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Null text has no words; an item without words has no window; a null item_id is not listed but its windows hit.
-    Rows that repeat get the same result each. Other columns of either table are ignored, whatever their names.
+    Null and empty text has no words, long text is searched whole; an item without words has no window; a null item_id is not
+    listed but its windows hit. Rows that repeat get the same result each, rows with one id (or none) that of their own text.
+    Empty tables give no rows, or no hits. Other columns of either table are ignored, whatever their names.
     """
     found = occurrences(docs, benchmark, window, shingle)
     per_doc = found.groupBy("doc_id", "text_key").agg(
@@ -131,7 +132,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs, with all their columns."""
+    """The rows of ``docs`` in which no window of an item occurs, with all their columns, whatever their names.
+
+    Null and empty texts have no words and stay; long texts are searched whole; equal rows fare alike, and rows with one id (or
+    none) by their own texts. An empty benchmark takes nothing out; an empty table gives no rows.
+    """
     hit = materialize(occurrences(docs, benchmark, window, shingle).select("doc_id", "text_key").distinct(), "decontaminate-hit")
     side, _ = small(hit)
     id_, key = fresh(docs, "_hit_id", "_hit_key")
@@ -140,6 +145,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """contamination() of whole ``documents`` by whole ``benchmark``; its docstring says what null, empty and repeated rows give."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

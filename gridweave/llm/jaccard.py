@@ -190,14 +190,18 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     A link is a pair of rows whose texts have a Jaccard similarity of ``threshold`` or more; a class is a connected
     component of links, named by its least doc_id. Equal texts are one text with copies: links count the copies of
     every linked text and the row's own other copies. Null, empty and blank texts have no n-grams: they link to
-    nothing, and each has its own id as class. A null id names a class only where none of it has another. Other columns
-    are ignored.
+    nothing, and each has its own id as class; long texts are compared whole. A null id names a class only where none of it has
+    another. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     return classified(docs, n, threshold, recall, block_words, seed).drop("tid", "root")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with one of each class, the first by id and text; rows without links all stay."""
+    """The rows of ``docs`` with one of each class, the first by id and MD5 of the text; rows without links all stay.
+
+    All columns stay, whatever their names. Of equal rows one stays. Null, empty and blank texts are in no class; classes under
+    null ids are told apart by their texts. An empty table gives no rows.
+    """
     linked = materialize(classified(docs, **options).where("n_links > 0"), "jaccard-linked")
     first = linked.groupBy("root").agg(F.min(F.struct("doc_id", "tid")).alias("first"))
     first = materialize(first, "jaccard-first")
@@ -219,4 +223,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() over whole ``documents``; its docstring says what null, empty and repeated rows give."""
     return near_duplicates(table(spark, sf_dir, "documents"))

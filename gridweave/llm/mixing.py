@@ -140,7 +140,11 @@ def mix_report(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = N
 
 
 def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that are taken, with their columns, each as often as it is taken."""
+    """The rows of ``docs`` that are taken, with all their columns, each as often as it is taken.
+
+    Null names are 'unknown'; null and empty texts cost nothing; long texts are counted whole; rows with equal ids have equal
+    places in the order and are taken together or not at all, and so are null ids. An empty table gives no rows.
+    """
     _, ends = cuts(docs, mix, domain)
     side, _ = small(ends)
     names = dict(zip(LEVELS, fresh(docs, *[f"_leaf_{c}" for c in LEVELS])))
@@ -155,6 +159,7 @@ def mix_documents(docs: DataFrame, mix: Mix = PRODUCTION, domain: Column | None
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    """mix_report() over whole ``documents``; its docstring says what null, empty and repeated rows give."""
     return mix_report(table(spark, sf_dir, "documents"))
 
 

@@ -108,8 +108,9 @@ def _judged(batch: pa.RecordBatch, known: W.Hashes, ratios: np.ndarray, threshol
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, most_trusted: int = MOST_TRUSTED) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, the base features, base_failed, score, kept.
 
-    Null text has no words and fails. Without trusted labels all scores are 0 and the base rules decide. Repeated
-    rows count as often as they are there. Other columns are ignored.
+    Null and empty text has no words and fails; long text is judged whole. Without trusted labels all scores are 0 and the base
+    rules decide; a null id has no label. Repeated rows count as often as they are there and are judged alike. An empty table
+    gives no rows. Other columns of either table are ignored, whatever their names.
     """
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, buckets, most_trusted))
 
@@ -127,7 +128,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, most_trusted: int = MOST_TRUSTED) -> DataFrame:
-    """The rows of ``docs`` that judge() keeps, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` that judge() keeps, with all their columns, whatever their names; nothing is shuffled. Null, empty,
+    long and repeated rows, and empty tables, fare as there."""
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, buckets, most_trusted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,4 +141,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
+    """judge() over whole ``documents``; its docstring says what null, empty and repeated rows give."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 import pytest
 
 from gridweave.llm import jaccard
+from gridweave.llm import words as W
 
 from .helpers import SCHEMA, edited, prose, table
 
@@ -97,3 +98,20 @@ def test_classes_under_null_ids_keep_one_each(spark):
 def test_empty(spark):
     df = table(spark, [])
     assert jaccard.near_duplicates(df).count() == 0 and jaccard.keep_one(df).count() == 0
+
+
+def test_recall_on_a_table(spark, duck):
+    """All links of the documents of the smallest table, by exact comparison of every pair, against those found."""
+    import numpy as np
+
+    docs = duck.execute("SELECT doc_id, text FROM documents").fetchall()
+    known = W.Hashes()
+    sets = [set(jaccard.shingles(known.of(W.split(t))).tolist()) for _, t in docs]
+    want = {}
+    for i, (doc_id, _) in enumerate(docs):
+        a = sets[i]
+        want[doc_id] = sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for j, b in enumerate(sets) if j != i and a and b)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.op9_jaccard(spark, "/root/testdata/sf0.001").collect()}
+    links = np.array([[want[i], got[i]] for i, _ in docs])
+    assert links[:, 0].sum() > 0 and (links[:, 1] <= links[:, 0]).all()
+    assert links[:, 1].sum() >= 0.99 * links[:, 0].sum()
