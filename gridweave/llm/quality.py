@@ -143,3 +143,22 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     """judge() over whole ``documents``; its docstring says what null, empty and repeated rows give."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def quality_base(spark, sf_dir: str) -> DataFrame:
+    """The base columns of op4_quality, which SQL can express."""
+    return op4_quality(spark, sf_dir).drop("score", "kept")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, w[i : i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+n AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g),
+c AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM n WHERE n > 1) GROUP BY r),
+l AS (SELECT r, l, count(*) - 1 AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY ALL),
+s AS (SELECT r, sum(n) AS n FROM l GROUP BY r),
+o AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
+  CAST(len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(s.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN s ON s.r = d.r)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o
+"""

@@ -16,10 +16,13 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_substrings": substrings.op10_substrings,
     "sharding_splits": sharding.sharding_splits,
+    "quality_base": quality.quality_base,
 }
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op3_secrets": secrets.OP3_SQL,
+    "quality_base": quality.BASE_SQL,
     "op6_warc": warc.OP6_SQL,
     "op7_sharding": sharding.OP7_SQL,
     "op8_mixing": mixing.OP8_SQL,

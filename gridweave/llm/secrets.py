@@ -155,3 +155,44 @@ def scan(docs: DataFrame, classes: tuple[EntropyClass, ...] = CLASSES) -> DataFr
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     """scan() over whole ``documents``; its docstring says what null, empty, very long and repeated rows give."""
     return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def _located_sql(kind: str, pattern: str, rank: int, keep: str) -> str:
+    """DuckDB: (doc_id, s, m) of the matches of a pattern that pass ``keep``. Pieces and matches alternate, so a match starts where
+    the lengths before it end."""
+    return f"""x_{kind} AS (SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(range(len(regexp_extract_all(t, '{pattern}')))) AS k FROM d),
+p_{kind} AS (SELECT doc_id, unnest(string_split_regex(t, '{pattern}')) AS p, unnest(range(len(string_split_regex(t, '{pattern}')))) AS k FROM d WHERE regexp_matches(t, '{pattern}')),
+l_{kind} AS (SELECT x.doc_id, x.k, x.m, CAST(sum(len(p.p)) OVER w + sum(len(x.m)) OVER w - len(x.m) AS BIGINT) AS s FROM x_{kind} x JOIN p_{kind} p ON p.doc_id = x.doc_id AND p.k = x.k WINDOW w AS (PARTITION BY x.doc_id ORDER BY x.k)),
+f_{kind} AS (SELECT doc_id, s, {rank} AS rank, '{kind}' AS kind, s + len(m) AS stop, m FROM l_{kind} WHERE {keep})"""
+
+
+def _entropy_sql(cls: EntropyClass, rank: int, allowed: str) -> str:
+    """DuckDB: spans of windows over the threshold in candidates that are not on the allow-list."""
+    w, k = cls.window, cls.kind
+    return f"""{_located_sql(k + '_run', f'{cls.chars}{{{w},}}', rank, f'NOT ({allowed})')},
+w_{k} AS (SELECT doc_id, s + i AS i, s AS c FROM (SELECT doc_id, s, m, unnest(range(len(m) - {w - 1})) AS i FROM f_{k}_run) WHERE round(list_entropy(string_split(m[i + 1 : i + {w}], '')), 9) >= {cls.bits}),
+h_{k} AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, c ORDER BY i) <= {w} THEN 0 ELSE 1 END AS new FROM w_{k}),
+g_{k} AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, c ORDER BY i) AS g FROM h_{k}),
+f_{k} AS (SELECT doc_id, min(i) AS s, {rank} AS rank, '{k}' AS kind, max(i) + {w} AS stop FROM g_{k} GROUP BY doc_id, c, g)"""
+
+
+def op3_sql(docs: str = "documents") -> str:
+    """DuckDB. Its expressions know no back-references, so runs that repeat up to four characters are told by rebuilding them."""
+    assign = ASSIGN.replace("'", "''")
+    again = " OR ".join(f"(len(m) - {r} >= {2 * n} AND (len(m) - {r}) % {n} = 0 AND m[1 : len(m) - {r}] = repeat(m[1 : {n}], (len(m) - {r}) // {n}))" for n in range(1, 5) for r in range(4))
+    hex_allowed = f"regexp_matches(m, '^[0-9]+$|^[a-fA-F]+$|0123456789') OR {again}"
+    kinds = [*BASE_KINDS, *[c.kind for c in CLASSES]]
+    listing = "coalesce(string_agg(kind || ':' || s || ':' || stop, ',' ORDER BY s, rank, stop){where}, '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {docs}),
+{_located_sql('assign', assign, 0, f"len(regexp_extract(m, '{assign}', 2)) >= {ASSIGN_LEAST}")},
+{_located_sql('access', ACCESS, 1, f'len(m) >= {ACCESS_LEAST}')},
+{_located_sql('hex', HEX, 2, f'len(m) >= {HEX_LEAST}')},
+{_entropy_sql(CLASSES[0], 3, hex_allowed)},
+{_entropy_sql(CLASSES[1], 4, f"regexp_matches(m, '{CLASSES[1].allow}')")},
+a AS ({' UNION ALL '.join(f'SELECT doc_id, s, rank, kind, stop FROM f_{k}' for k in kinds)}),
+o AS (SELECT doc_id, {counts}, sha256({listing.format(where=' FILTER (WHERE rank < 3)')}) AS base_sha256, {listing.format(where='')} AS spans FROM a GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE_KINDS)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o ON o.doc_id = d.doc_id"""
+
+
+OP3_SQL = op3_sql()
