@@ -320,6 +320,28 @@ register(
     f"WITH {_STATE}, {POINTS}, {INSIDE} SELECT user_id, make_timestamp(a) AS ts, v AS key, count(*) AS count_lo, count(*) AS count_hi FROM w GROUP BY user_id, a, v",
 )
 
+TYPE_ROLES = Roles("event_type", value="user")
+
+
+def _top_bounds(spark, sf_dir):
+    """Users of each type of event, of whom a window has more than the sketch of 64 holds: whether the exact count of each key
+    that is returned lies within its bounds, restated over the raw samples."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_type", "ts", F.col("user_id").cast("string").alias("user"))
+    found = folds.over_time(e, "approx_top_k_over_time", GRID, WINDOW, TYPE_ROLES, k=10, most=64).select("event_type", "ts", F.explode("value").alias("x"))
+    points = grids.ts_grid(spark, GRID).withColumnRenamed("ts", "at")
+    inside = (F.col("s.ts") <= F.col("at")) & (F.col("s.ts") > F.col("at") - F.expr(f"INTERVAL {WINDOW // DAY} DAYS"))
+    # Of samples of one series and time the greatest value stays.
+    raw = e.groupBy("event_type", "ts").agg(F.max("user").alias("user")).alias("s").join(F.broadcast(points), inside).groupBy("event_type", F.col("at").alias("ts"), "user").agg(F.count(F.lit(1)).alias("n"))
+    both = found.select("event_type", "ts", F.col("x.key").alias("user"), "x.count_lo", "x.count_hi").join(raw, ["event_type", "ts", "user"], "left")
+    return both.groupBy("event_type", "ts").agg((F.count(F.lit(1)) > 0).alias("some"), F.bool_and(F.coalesce((F.col("n") >= F.col("count_lo")) & (F.col("n") <= F.col("count_hi")), F.lit(False))).alias("bounded"))
+
+
+register(
+    "ts_approx_top_k_over_time_bounds",
+    _top_bounds,
+    f"WITH s AS (SELECT event_type, epoch_us(ts) AS t, max(CAST(user_id AS VARCHAR)) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL), {POINTS}, w AS (SELECT event_type, g.pt_at AS a, s.v FROM s JOIN g ON s.t > g.pt_at - {WINDOW} AND s.t <= g.pt_at) SELECT event_type, make_timestamp(a) AS ts, TRUE AS some, TRUE AS bounded FROM w GROUP BY event_type, a",
+)
+
 _MEMBERS = [folds.Member.of("sum_over_time", "total"), folds.Member.of("max_over_time", "top"), folds.Member.of("count_over_time", "n")]
 
 

@@ -86,6 +86,27 @@ h AS (SELECT user_id, y, x, 0 AS s, list_transform(generate_series(0, {n}), lamb
  UNION ALL SELECT user_id, y, x, s + 1, CASE WHEN j = {n} THEN b || [d] ELSE a END, CASE WHEN j = {n} THEN [] ELSE b || [d] END FROM (
   SELECT *, CASE WHEN j = 0 OR abs(i - j) > 5 THEN 'inf'::DOUBLE ELSE pow(y[i] - x[j], 2) + least(a[j + 1], b[j], a[j]) END AS d FROM (SELECT *, s // {n + 1} + 1 AS i, s % {n + 1} AS j FROM h WHERE s < {n * (n + 1)})))
 SELECT user_id, round(sqrt(a[{n + 1}]), 5) AS value FROM h WHERE s = {n * (n + 1)}"""
+    # The best cost up to each place and where its last piece begins; then the places, from the end.
+    out["series_changepoints"] = f"""WITH RECURSIVE {daily}, {FILLED}, y AS (SELECT user_id, list(y ORDER BY i) AS y FROM f GROUP BY user_id),
+z AS (SELECT *, list_transform(generate_series(0, {n}), lambda j: coalesce(list_sum(y[1:j]), 0)) AS s, list_transform(generate_series(0, {n}), lambda j: coalesce(list_sum(list_transform(y[1:j], lambda x: x * x)), 0)) AS q,
+  3 * pow(greatest(list_median(list_transform(generate_series(1, {n - 1}), lambda j: abs(y[j + 1] - y[j]))) / 0.6745 / sqrt(2), 1e-12), 2) * ln({n}) AS pen FROM y),
+h AS (SELECT user_id, s, q, pen, 0 AS j, [-pen] AS best, [0] AS prev FROM z
+ UNION ALL SELECT user_id, s, q, pen, j + 1, best || [list_min(c) + pen], prev || [list_position(c, list_min(c)) - 1] FROM (
+  SELECT *, list_transform(generate_series(0, j), lambda i: best[i + 1] + q[j + 2] - q[i + 1] - pow(s[j + 2] - s[i + 1], 2) / (j + 1 - i)) AS c FROM h WHERE j < {n})),
+b AS (SELECT user_id, prev, CAST(prev[{n + 1}] AS BIGINT) AS place FROM h WHERE j = {n} UNION ALL SELECT user_id, prev, CAST(prev[place + 1] AS BIGINT) FROM b WHERE place > 0)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY place) - 1 AS INTEGER) AS i, CAST(place AS INTEGER) AS "at" FROM b WHERE place > 0"""
+    # Second derivatives of the natural spline from its system of three diagonals: forward over the known cells, then back.
+    out["series_fill_spline"] = f"""WITH RECURSIVE {daily}, {FILLED}, k2 AS (SELECT user_id, list(i ORDER BY i) AS x, list(v ORDER BY i) AS y FROM c WHERE v IS NOT NULL GROUP BY user_id),
+a AS (SELECT user_id, x, y, 1 AS j, [0.0::DOUBLE] AS u, [0.0::DOUBLE] AS r FROM k2
+ UNION ALL SELECT user_id, x, y, j + 1, u || [(x[j + 2] - x[j + 1]) / d], r || [(6 * ((y[j + 2] - y[j + 1]) / (x[j + 2] - x[j + 1]) - (y[j + 1] - y[j]) / (x[j + 1] - x[j])) - (x[j + 1] - x[j]) * r[j]) / d]
+  FROM (SELECT *, 2 * (x[j + 2] - x[j]) - (x[j + 1] - x[j]) * u[j] AS d FROM a WHERE j < len(x) - 1)),
+e AS (SELECT user_id, x, y, u, r, j, [0.0::DOUBLE] AS m FROM a WHERE j = greatest(1, len(x) - 1)
+ UNION ALL SELECT user_id, x, y, u, r, j - 1, [CASE WHEN j = 1 THEN 0.0 ELSE r[j] - u[j] * m[1] END] || m FROM e WHERE j >= 1),
+m AS (SELECT user_id, unnest(x) AS i, unnest(y) AS y, unnest(m) AS m, len(x) AS n FROM e WHERE j = 0),
+p AS (SELECT *, lead(i) OVER w AS i1, lead(y) OVER w AS y1, lead(m) OVER w AS m1 FROM m WINDOW w AS (PARTITION BY user_id ORDER BY i))
+SELECT c.user_id, CAST(c.i AS INTEGER) AS i, round(CASE WHEN c.v IS NOT NULL THEN c.v WHEN p.n < 3 THEN p.y + (p.y1 - p.y) * (CAST(c.i - p.i AS DOUBLE) / (p.i1 - p.i))
+ ELSE (p.i1 - c.i) / (p.i1 - p.i) * p.y + (c.i - p.i) / (p.i1 - p.i) * p.y1 + pow(p.i1 - p.i, 2) / 6 * ((pow((p.i1 - c.i) / (p.i1 - p.i), 3) - (p.i1 - c.i) / (p.i1 - p.i)) * p.m + (pow((c.i - p.i) / (p.i1 - p.i), 3) - (c.i - p.i) / (p.i1 - p.i)) * p.m1) END, 5) + 0.0 AS value
+FROM c LEFT JOIN p ON p.user_id = c.user_id AND c.i >= p.i AND c.i < p.i1"""
     return out
 
 
