@@ -122,6 +122,22 @@ def names_of(tree: tuple) -> list[str]:
     return list(dict.fromkeys(n for x in inner for n in names_of(x)))
 
 
+def anchored(tree: tuple, anchor: str) -> bool:
+    inner = tree[1] if tree[0] in ("seq", "or") else [tree[1]] if tree[0] in ("repeat", "not") else []
+    return tree[0] == anchor or any(anchored(x, anchor) for x in inner)
+
+
+def within_run(tree: tuple, first: bool, last: bool) -> tuple:
+    """The tree for a run of a partition's rows: ^ holds in the first run only, $ in the last only."""
+    if tree[0] in ("seq", "or"):
+        return tree[0], [within_run(x, first, last) for x in tree[1]]
+    if tree[0] in ("repeat", "not"):
+        return tree[0], within_run(tree[1], first, last), *tree[2:]
+    if (tree[0] == "^" and not first) or (tree[0] == "$" and not last):
+        return "or", []
+    return tree
+
+
 Step = tuple[int, str, bool]  # row, variable, left out of the output
 Holds = Callable[[str, int, Sequence[Step]], bool]
 

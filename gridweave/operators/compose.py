@@ -121,8 +121,8 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bounds
     return joined.where(F.col("_b") == F.greatest("_llo", "_rlo")).drop("_b", "_llo", "_rlo")
 
 
-def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap, stretch=STRETCH) -> DataFrame:
-    """Rows with session_id, from 0 up in each key: a new one after more than ``gap`` ticks."""
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap, stretch=STRETCH, out: str = "session_id") -> DataFrame:
+    """Rows with ``out``, the session, from 0 up in each key: a new one after more than ``gap`` ticks."""
     t, most = tick_of(df, ts), width(gap)
     rows = df.withColumn("_t", t).withColumn("_cut", _cut(F.col("_t"), width(stretch)))
     inside = Window.partitionBy(*keys, "_cut").orderBy("_t")
@@ -135,8 +135,8 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap, stretch=STRETCH)
     both = rows.withColumn("_n", F.lit(None).cast("long")).withColumn("_side", F.lit(1)).unionByName(first, allowMissingColumns=True)
     by = Window.partitionBy(*keys, "_cut").orderBy("_side", "_t")
     new = F.coalesce("_n", F.when(F.col("_t") - F.lag("_t").over(by) > most, 1).otherwise(0))
-    out = both.withColumn("_n", new).withColumn("session_id", F.sum("_n").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return out.where("_side = 1").drop("_t", "_cut", "_n", "_side")
+    told = both.withColumn("_n", new).withColumn(out, F.sum("_n").over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    return told.where("_side = 1").drop("_t", "_cut", "_n", "_side")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], ts: str, value: str = "value", out: str = "total", stretch=STRETCH) -> DataFrame:

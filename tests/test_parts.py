@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.functions import walk
+from gridweave.functions import patterns, walk
 from gridweave.operators import compose, folds, hist, pattern, resample, series, windows
 from gridweave.plans import queries_more
 from gridweave.plans.grid import Grid, carries, contains, scan_bounds
@@ -159,6 +159,35 @@ def test_pattern_rows_and_measures(spark):
         pattern.match_pattern(e, ["k"], "ts", "A", define, None)
 
 
+@pytest.mark.parametrize("text", ["A B+? C", "^ A | B C", "A B* $ | C A", "{- A -} B?", "A (B | C)* C"])
+@pytest.mark.parametrize("skip", ["PAST LAST ROW", "TO NEXT ROW"])
+def test_a_hot_partition_is_matched_by_runs(spark, monkeypatch, text, skip):
+    monkeypatch.setattr(pattern, "RUNS", 3)
+    r = random.Random(4)
+    t, events = 0, []
+    for _ in range(400):
+        t += r.choice([1, 1, 2, 3, 30])
+        events.append((0, t, r.choice("ABC")))
+    tree, times, kinds = patterns.parse(text), [t for _, t, _ in events], [c for *_, c in events]
+    want = patterns.find_all(tree, len(events), lambda v, i, taken: kinds[i] == v, times, 12, skip)
+    df = spark.createDataFrame([*events, (0, None, "A"), (None, 5, "A")], "k long, ts long, c string")
+    define = {x: F.col("c") == x for x in "ABC"}
+    one = pattern.match_pattern(df, ["k"], "ts", text, define, 12, skip=skip, stretch=100).where("k = 0").collect()
+    assert sorted((x["match_number"], x["match_start"], x["match_end"]) for x in one) == [(n, times[m[0][0]], times[m[-1][0]]) for n, m in enumerate(want, 1)]
+    assert len({x["match_number"] for x in one}) > 1 or "^" in text
+    rows = pattern.match_pattern(df, ["k"], "ts", text, define, 12, rows="ALL", skip=skip, stretch=100).where("k = 0").collect()
+    assert sorted((x["match_number"], x["ts"], x["classifier"]) for x in rows) == sorted((n, times[i], v) for n, m in enumerate(want, 1) for i, v, left_out in m if not left_out)
+
+
+def test_sequences_of_many_conditions(spark):
+    e = spark.createDataFrame([(1, t, n) for t, n in enumerate([0, 11, 3, 99, 7, 0, 3])] + [(2, 0, 99)], "k long, ts long, n long")
+    many = [F.col("n") == i for i in range(12)]
+    asked = {"(?1)(?12)": True, "(?4)(?12)": False, "(?1).(?4)": True, "(?1).*(?8)": True, "(?12).+(?1)": True, "(?12)(?1)": False}
+    for text, want in asked.items():
+        assert {r["k"]: r["matched"] for r in pattern.sequence_match(e, ["k"], "ts", text, many).collect()} == {1: want, 2: False}
+    assert {r["k"]: r["n"] for r in pattern.sequence_count(e, ["k"], "ts", "(?1).*(?4)", many).collect()} == {1: 2, 2: 0}
+
+
 def test_series_of_nulls(spark):
     df = spark.createDataFrame([(1, [None, 1.0, None, 3.0]), (2, [None, None]), (3, None)], "k long, a array<double>")
     for name in ("fill_forward", "fill_linear", "znorm", "ema", "fill_spline", "acf", "fit_2lines", "changepoints"):
