@@ -43,7 +43,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each leaf's documents in a seeded order, up to its budget. Null names make a leaf 'unknown'; null and empty texts cost
-    nothing and come with whatever stands beside them in the order; rows with equal or null ids are taken together."""
+    nothing and come with whatever stands beside them in the order; a leaf's rows with equal ids, or none,
+    are taken together."""
     return mix_documents(docs, PIPELINE_MIX)
 
 
