@@ -190,6 +190,13 @@ def test_histogram_points():
     assert H.quantile(c, 0.5) == pytest.approx(1 + 4 * 0.5) and H.quantile(c, 0.9) == 10
 
 
+def test_fraction_counts_zeros_at_its_lower_bound():
+    h = H.from_values([0.0, 0.0, 1.0, 20.0])
+    assert H.fraction(h, 0, 16) == 0.75 and H.fraction(h, 0, 32) == 1 and H.fraction(h, -1, 0) == 0.5 and H.fraction(h, 1, 16) == 0
+    both = H.from_values([-4.0, 0.0, 0.0, 4.0])
+    assert H.fraction(both, 0, 4) == 0.75 and H.fraction(both, -4, 0) == 0.75 and H.fraction(both, -4, 4) == 1
+
+
 def test_histogram_increase():
     one, two = H.from_values([1, 2, 4], 1), H.from_values([1, 2, 4, 8, 8], 1)
     got = H.increase([(0, one), (60, two)], 60, 60)
