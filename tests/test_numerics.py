@@ -154,6 +154,16 @@ def test_changepoints_and_ks():
     assert k["statistic"] == pytest.approx(want) and k["p_value"] < 0.01 and N.ks_test(a, a)["p_value"] == 1
 
 
+def test_changepoints_of_equal_costs_are_the_earliest():
+    """The second cell lies halfway between its neighbours, so a piece may end before or after it at one cost."""
+    nan = math.nan
+    a = np.array([
+        102.71000000000001, nan, 535.57, 69.16999999999999, 16.05, 5.4, 27.4, 45.50000000000001, 48.03, 132.97, nan, 177.07999999999998, nan, 127.77000000000001, 0.79,
+        47.400000000000006, nan, 1.62, 87.96, 81.25, 130.94, 75.32, 35.55, 368.45, 51.31, 172.38, 15.57, 1.09, nan, 287.31,
+    ])
+    assert N.changepoints(a) == [1, 3, 23, 24, 29]
+
+
 # --- histograms
 
 
