@@ -11,7 +11,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions import numerics as N
@@ -159,12 +159,23 @@ def series(name: str, *columns: str | Column, **params: Any) -> Column:
     return _numpy(name, params)(*columns)
 
 
-def make_series(df: DataFrame, grid, keys: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
-    """One array per key from values at grid points: the sum of what falls on a point, null where nothing does."""
+def make_series(df: DataFrame, grid, keys: list[str], ts: str = "ts", value: str = "value", order: str | None = None) -> DataFrame:
+    """One array per key from values at grid points: the sum of what falls on a point, null where nothing does.
+
+    Doubles of a point are added one after another by ``order`` and value, so the sum is the same to the bit however rows are
+    split. Rows stream through a window that spills; they are not gathered.
+    """
     from .samples import tick_of
 
-    at = df.select(*keys, ((tick_of(df, ts) - grid.start) / grid.step).alias("x"), value).where((F.col("x") >= 0) & (F.col("x") < grid.count) & (F.col("x") == F.floor("x")))
-    sums = at.groupBy(*keys, F.col("x").cast("int").alias("gi")).agg(F.sum(value).alias("v"))
+    kept = [] if order is None else [F.col(order).alias("_o")]
+    at = df.select(*keys, ((tick_of(df, ts) - grid.start) / grid.step).alias("x"), F.col(value).alias("_v"), *kept).where((F.col("x") >= 0) & (F.col("x") < grid.count) & (F.col("x") == F.floor("x")))
+    at = at.withColumn("gi", F.col("x").cast("int"))
+    if at.schema["_v"].dataType.typeName() in ("double", "float"):
+        by = Window.partitionBy(*keys, "gi").orderBy(*(["_o"] if kept else []), "_v")
+        upto = F.sum("_v").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        sums = at.select(*keys, "gi", upto.alias("v"), F.lead("gi").over(by).alias("_next")).where("_next IS NULL").drop("_next")
+    else:
+        sums = at.groupBy(*keys, "gi").agg(F.sum("_v").alias("v"))
     packed = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("gi", "v"))).alias("m"))
     return packed.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(grid.count - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
 

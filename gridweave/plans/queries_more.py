@@ -224,8 +224,8 @@ register("hist_resample", _hist_resample, f"WITH {_RUN} SELECT user_id, make_tim
 
 
 def daily(spark, sf_dir) -> DataFrame:
-    e = events(spark, sf_dir).select("user_id", F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("ts"), "value")
-    return series.make_series(e, DAYS, ["user_id"])
+    e = events(spark, sf_dir).select("user_id", F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("ts"), "value", F.col("ts").alias("at"))
+    return series.make_series(e, DAYS, ["user_id"], order="at")
 
 
 _DAILY = f"""c AS (SELECT u.user_id, i, v FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(generate_series(0, {DAYS.count - 1})) AS i) g

@@ -197,6 +197,18 @@ def test_series_of_nulls(spark):
     assert got == [None, 1.0, 2.0, 3.0]
 
 
+def test_cells_are_added_in_order_of_time(spark):
+    """Sums of doubles do not depend on the order of rows or on how they are split, so ties in later steps do not either."""
+    rows = [(1, 0, 5, 0.1), (1, 0, 6, 0.2), (1, 0, 7, 0.3), (1, 10, 12, 0.3), (1, 10, 15, 0.6000000000000001), (1, 20, 21, None), (2, 20, 22, 1.0), (2, 20, 22, None)]
+    for split in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        for parts in (1, 3):
+            df = spark.createDataFrame(spark.sparkContext.parallelize(split, parts), "k long, ts long, at long, value double")
+            got = {r["k"]: r["values"] for r in series.make_series(df, Grid(0, 20, 10), ["k"], order="at").collect()}
+            assert got == {1: [0.1 + 0.2 + 0.3, 0.3 + 0.6000000000000001, None], 2: [None, None, 1.0]}
+    whole = series.make_series(df.select("k", "ts", F.lit(2).cast("long").alias("value")), Grid(0, 20, 10), ["k"]).collect()
+    assert {r["k"]: r["values"] for r in whole} == {1: [6, 4, 2], 2: [None, None, 4]}
+
+
 def test_histogram_rate(spark):
     df = spark.createDataFrame([(1, t, float(1 + t % 7)) for t in range(0, 205, 5)], SCHEMA)
     running = hist.from_values(df, Grid(20, 200, 20), 1000).withColumnRenamed("value", "h")
