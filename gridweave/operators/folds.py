@@ -345,14 +345,28 @@ def _state_duration(x: Context) -> Column:
 
 
 def _top_k(x: Context, k: int = 5, most: int = 1000) -> Column:
-    """The ``k`` most frequent values with bounds of their counts: (key, count_lo, count_hi). The sketch overstates a count by
-    no more than its error, a long that it holds in bytes 24 to 31, low byte first, and that is 0 while it tracks all values."""
+    """The ``k`` most frequent of the values tracked, with bounds of their counts: (key, count_lo, count_hi).
+
+    The sketch counts a value short by no more than its error, a long that it holds in bytes 24 to 31, low byte first, and
+    that is 0 while it tracks all values. Its estimate leaves out values counted no higher than the error, all of them where none
+    is frequent; so it is asked with that long set to 0, which gives each tracked value's lower bound. A sketch that drops
+    values of one count may be left without any, and then forgets its error: samples that it no longer knows of (bytes 16 to 23
+    have those it does) are added to the error, and a window without a tracked value gives its last one.
+    """
     state = x.use(f"_top_{most}", F.call_function("approx_top_k_accumulate", x.rows(x.v), F.lit(most)))
-    found = F.call_function("approx_top_k_estimate", state, F.lit(k))
     sketch = state["sketch"]
-    high_first = F.concat(*[F.hex(F.substring(sketch, i, 1)) for i in range(32, 24, -1)])
-    error = F.when(F.octet_length(sketch) >= 32, F.conv(high_first, 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
-    return F.transform(found, lambda e: F.struct(e["item"].alias("key"), (e["count"] - error).alias("count_lo"), e["count"].alias("count_hi")))
+    full = F.octet_length(sketch) >= 32  # an empty sketch is its first long alone
+
+    def held(first: int) -> Column:
+        high_first = F.concat(*[F.hex(F.substring(sketch, i, 1)) for i in range(first + 8, first, -1)])
+        return F.when(full, F.conv(high_first, 16, 10).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    error = held(24) + F.greatest(x.n - held(16), F.lit(0).cast("long"))
+    bare = F.when(full, F.overlay(sketch, F.lit(bytes(8)), F.lit(25), F.lit(8))).otherwise(sketch)
+    found = F.call_function("approx_top_k_estimate", state.withField("sketch", bare), F.lit(k))
+    said = F.transform(found, lambda e: F.struct(e["item"].alias("key"), e["count"].alias("count_lo"), (e["count"] + error).alias("count_hi")))
+    seen = F.array(F.struct(_last(x).alias("key"), F.lit(1).cast("long").alias("count_lo"), error.alias("count_hi")))
+    return F.when((F.size(said) > 0) | (x.n == 0), said).otherwise(seen)
 
 
 @dataclass(frozen=True)

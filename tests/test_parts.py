@@ -242,6 +242,19 @@ def test_bounds_of_top_values_hold_where_the_sketch_is_full(spark):
     assert any(e["count_hi"] > exact[e["key"]] for e in row["value"])
 
 
+def test_top_values_are_found_where_none_is_frequent(spark):
+    """Counts under the sketch's error still give k values, each with its count between its bounds."""
+    df = spark.sql("SELECT 1L AS series_id, id AS ts, CAST(id % 5000 AS STRING) AS value FROM range(1, 20000, 1, 3)")
+    (row,) = folds.over_time(df, "approx_top_k_over_time", Grid(20_000, 20_000, 1), 20_000, k=10, most=64).collect()
+    exact = {r["value"]: r["count"] for r in df.groupBy("value").count().collect()}
+    assert len(row["value"]) == 10 and all(0 < e["count_lo"] <= exact[e["key"]] <= e["count_hi"] for e in row["value"])
+    # Values once each: now and then the sketch drops all that it tracks, here in one part or in several.
+    for parts in (1, 3):
+        once = spark.range(1, 400, 1, parts).selectExpr("1L AS series_id", "id AS ts", "CAST(id AS STRING) AS value")
+        rows = folds.over_time(once, "approx_top_k_over_time", Grid(90, 390, 1), 90, k=10, most=64).collect()
+        assert len(rows) == 301 and all(r["value"] and all(e["count_lo"] == 1 <= e["count_hi"] for e in r["value"]) for r in rows)
+
+
 def test_running_compositions_of_a_hot_key_are_spread_and_equal(spark):
     """One key with all rows: results do not depend on how long a stretch is, and no task has more than a part of the rows."""
     from pyspark.sql import functions as F
