@@ -255,6 +255,16 @@ def test_top_values_are_found_where_none_is_frequent(spark):
         assert len(rows) == 301 and all(r["value"] and all(e["count_lo"] == 1 <= e["count_hi"] for e in r["value"]) for r in rows)
 
 
+def test_few_distinct_values_are_told_apart(spark):
+    """Six values whose hashes begin with the same 13 bits, which one register of a larger sketch took for one value."""
+    alike = [3255.0, 11244.0, 17440.0, 24391.0, 38325.0, 49591.0]
+    df = spark.createDataFrame([(1, t, v) for t, v in enumerate([*alike, 3255.0], 1)], "series_id long, ts long, value double")
+    assert [r["value"] for r in folds.over_time(df, "approx_distinct_over_time", Grid(10, 10, 1), 10).collect()] == [6]
+    many = spark.sql("SELECT 1L AS series_id, id AS ts, CAST(id % 9000 AS DOUBLE) AS value FROM range(1, 20000, 1, 3)")
+    (row,) = folds.over_time(many, "approx_distinct_over_time", Grid(20_000, 20_000, 1), 20_000).collect()
+    assert abs(row["value"] - 9000) <= 0.05 * 9000
+
+
 def test_running_compositions_of_a_hot_key_are_spread_and_equal(spark):
     """One key with all rows: results do not depend on how long a stretch is, and no task has more than a part of the rows."""
     from pyspark.sql import functions as F
