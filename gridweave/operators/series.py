@@ -43,14 +43,20 @@ TWO = ("ccf", "dtw", "ks_test", "ifft")
 NUMPY = ("fill_linear", "fill_spline", "time_decayed", "fir", "iir", "fft", "ifft", "acf", "ccf", "periods_detect", "periods_validate", "decompose_stl", "decompose_additive", "seasonal", "decompose_forecast", "holt_winters", "fit_poly", "fit_robust", "fit_2lines", "outliers_tukey", "decompose_anomalies", "lttb", "asap", "dtw", "paa", "sax", "matrix_profile", "changepoints", "ks_test")
 
 
+#: Functions that take series of one length together, as rows, and cells of them at once.
+TOGETHER, CELLS = ("decompose_stl",), 100_000
+
+
 def _cells(x) -> np.ndarray:
-    return np.array([np.nan if y is None else y for y in x], float)
+    return np.array(x, float)  # None becomes NaN
 
 
 def _out(x: Any) -> Any:
     """Numpy to what Arrow takes; NaN means no value."""
     if isinstance(x, dict):
         return {k: _out(v) for k, v in x.items()}
+    if isinstance(x, np.ndarray) and x.dtype == float:
+        return [None if y != y else y for y in x.tolist()]
     if isinstance(x, (np.ndarray, list)):
         return [_out(y) for y in x]
     if isinstance(x, (float, np.floating)):
@@ -62,7 +68,23 @@ def _numpy(name: str, params: dict) -> Callable[..., Column]:
     run = getattr(N, name)
     kind = STRUCTS.get(name, ARRAY)
 
+    def together(column: pd.Series) -> list:
+        out: list = [None] * len(column)
+        by_length: dict[int, list[int]] = {}
+        for i, x in enumerate(column):
+            if x is not None:
+                by_length.setdefault(len(x), []).append(i)
+        for n, rows in by_length.items():
+            most = max(1, CELLS // max(1, n))
+            for at in (rows[i : i + most] for i in range(0, len(rows), most)):
+                found = run(np.stack([_cells(column.iloc[i]) for i in at]), **params)
+                for j, i in enumerate(at):
+                    out[i] = {k: _out(v[j]) for k, v in found.items()}
+        return out
+
     def each(*columns: pd.Series) -> list:
+        if name in TOGETHER:
+            return together(*columns)
         return [None if any(x is None for x in row) else _out(run(*[_cells(x) for x in row], **params)) for row in zip(*columns)]
 
     if kind.startswith("struct"):

@@ -89,6 +89,23 @@ def test_decompositions():
     assert found["flag"][40] == 1 and np.argmax(np.abs(found["score"])) == 40
 
 
+def test_series_are_decomposed_together_as_apart(monkeypatch):
+    many = np.array([WAVE, np.where(R.random(84) < 0.2, np.nan, WAVE * 3), R.normal(0, 1, 84)])
+    for outer in (1, 3):
+        monkeypatch.setattr(N, "LOESS_CELLS", 1_000_000)
+        all_ = N.decompose_stl(many, 7, outer=outer)
+        monkeypatch.setattr(N, "LOESS_CELLS", 50)  # places in blocks
+        for i, a in enumerate(many):
+            for k, v in N.decompose_stl(a, 7, outer=outer).items():
+                assert np.allclose(all_[k][i], v, atol=1e-9, equal_nan=True)
+    short = N.decompose_stl(many[:, :9], 7)
+    assert all(np.allclose(short["trend"][i], N.decompose_stl(a[:9], 7)["trend"]) for i, a in enumerate(many))
+    # Weights of the second point are those of places -1..2 by hand.
+    y = np.array([1.0, 2.0, 4.0])
+    w = (1 - (np.array([1.0, 0.0, 1.0]) / 1.0000001) ** 3) ** 3
+    assert N.loess(y, 3)[1] == pytest.approx(np.polyval(np.polyfit([0, 1, 2], y, 1, w=np.sqrt(w)), 1), abs=1e-6)
+
+
 def test_fits():
     t = np.arange(50.0)
     p = N.fit_poly(3 + 2 * t - 0.1 * t * t, 2)
