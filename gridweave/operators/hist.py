@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import histograms as H
@@ -184,24 +187,130 @@ def _changed(s, keys: list[str], name: str, per: str, edge: str, lookback: int)
     else:
         rows = rows.withColumn("role", F.lit(INSIDE))
     gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "role", "v"))).alias("a")).withColumn("at", F.lit(grid.start) + F.col("gi") * grid.step)
-    fields = ["count", "sum", "scale", "zero_count", "zero_threshold", "pos_offset", "pos_counts", "neg_offset", "neg_counts"]
     by = 1.0 if name != "rate" else (1e6 if per == "second" else 1.0) / window
+    is_delta = name == "delta"
+
+    def change(a: pa.Array, at: pa.Array) -> pa.Array:
+        return changes(a, at, window, edge, is_delta, by)
 
-    def change(a: pd.Series, at: pd.Series) -> pd.DataFrame:
-        out = []
-        for samples, end in zip(a, at):
-            by_role: dict[int, list] = {INSIDE: [], BEFORE: [], AFTER: []}
-            for x in samples:
-                by_role[int(x["role"])].append((int(x["t"]), H.unpack(x["v"])))
-            inside, before, after = by_role[INSIDE], by_role[BEFORE], by_role[AFTER]
-            if edge == "EXTRAPOLATE":
-                h = H.increase(inside, int(end), window, name == "delta")
-            elif not inside:
-                h = None
-            else:
-                h = H.change(inside, before[-1] if before else None, after[0] if after else None, int(end), window, edge == "SMOOTH", name == "delta")
-            out.append(dict.fromkeys(fields) if h is None else H.pack(H.scaled(h, by)))
-        return pd.DataFrame(out, columns=fields, dtype=object)
-
-    out = gathered.select(*keys, F.pandas_udf(change, H.EXPONENTIAL)("a", "at").alias("value"))
+    out = gathered.select(*keys, F.arrow_udf(change, H.EXPONENTIAL)("a", "at").alias("value"))
     return out.where("value.count IS NOT NULL")
+
+
+_LIST = pa.list_(pa.float64())
+_STRUCT = pa.struct([("count", pa.float64()), ("sum", pa.float64()), ("scale", pa.int32()), ("zero_count", pa.float64()), ("zero_threshold", pa.float64()), ("pos_offset", pa.int32()), ("pos_counts", _LIST), ("neg_offset", pa.int32()), ("neg_counts", _LIST)])
+#: So many bucket counts are held at once, or one window's.
+CELLS = 2_000_000
+
+
+def changes(a: pa.Array, at: pa.Array, window: int, edge: str, is_delta: bool, by: float) -> pa.Array:
+    """Changes of windows, each a list of (t, role, histogram) by time. Windows whose histograms have one layout are taken
+    together as rows of a matrix of buckets, in the order of additions of ``H.change`` and ``H.increase``; others go to these."""
+    ends = at.to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+    bounds = np.r_[0, np.cumsum(sizes)].astype(int)
+    t, role, v = a.flatten().flatten()
+    t, role = (x.to_numpy(zero_copy_only=False) for x in (t, role))
+    part = dict(zip((f.name for f in v.type), v.flatten()))
+    number = {n: pc.fill_null(part[n], 0).to_numpy(zero_copy_only=False) for n in part if not n.endswith("_counts")}
+    window_of = np.repeat(np.arange(len(a)), sizes)
+    first = bounds[window_of]
+    odd = (number["scale"] != number["scale"][first]) | (number["zero_threshold"] != number["zero_threshold"][first]) | part["count"].is_null().to_numpy(zero_copy_only=False)
+    slow = np.zeros(len(a), bool)
+    slow[window_of[odd]] = True
+    sides, columns = {}, 3
+    for side in ("pos", "neg"):
+        lengths = pc.fill_null(pc.list_value_length(part[f"{side}_counts"]), 0).to_numpy(zero_copy_only=False).astype(int)
+        offsets, some = number[f"{side}_offset"].astype(int), lengths > 0
+        low, high = (int(offsets[some].min()), int((offsets + lengths)[some].max())) if some.any() else (0, 0)
+        sides[side] = (lengths, np.r_[0, np.cumsum(lengths)], part[f"{side}_counts"].flatten().to_numpy(zero_copy_only=False), offsets - low, low, slice(columns, columns + high - low))
+        columns += high - low
+    found, i = [], 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CELLS // columns, "right")) - 1)
+        x = slice(bounds[i], bounds[j])
+        m = np.zeros((bounds[j] - bounds[i], columns))
+        for k, n in enumerate(("count", "sum", "zero_count")):
+            m[:, k] = number[n][x]
+        for lengths, starts, counts, offsets, _, where in sides.values():
+            rows = np.repeat(np.arange(len(m)), lengths[x])
+            own = np.arange(starts[x.start], starts[x.stop])
+            m[rows, where.start + offsets[x][rows] + own - starts[x][rows]] = counts[own]
+        total, valid = _plain(m, t[x], role[x], bounds[i : j + 1] - bounds[i], ends[i:j], window, edge, is_delta)
+        found.append(_structs_of(total * by, valid & ~slow[i:j], number, bounds[i:j], sides))
+        i = j
+    out = pa.concat_arrays(found) if found else pa.array([], _STRUCT)
+    if not slow.any():
+        return out
+    others = np.flatnonzero(slow)
+    one = [_change_of(samples, int(end), window, edge, is_delta) for samples, end in zip(a.take(pa.array(others)).to_pylist(), ends[others])]
+    place = np.arange(len(a))
+    place[others] = len(a) + np.arange(len(others))
+    return pa.concat_arrays([out, pa.array([None if h is None else H.pack(H.scaled(h, by)) for h in one], _STRUCT)]).take(pa.array(place))
+
+
+def _plain(m: np.ndarray, t: np.ndarray, role: np.ndarray, bounds: np.ndarray, at: np.ndarray, window: int, edge: str, is_delta: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Changes of windows of samples ``m``, and which windows have one."""
+    start, stop = bounds[:-1], bounds[1:]
+    before, after = role[start] == BEFORE, role[stop - 1] == AFTER
+    i0, i1 = start + before, stop - 1 - after
+    inside, smooth = i1 - i0 + 1, edge == "SMOOTH"
+    valid = (inside >= 1) & (inside + before + (after if smooth else 0) >= 2)
+    i0, i1 = np.minimum(i0, stop - 1), np.maximum(i1, start)
+    fell = np.zeros(len(m) + 1, bool)  # from the row before
+    if not is_delta:
+        fell[1 : len(m)] = (np.delete(m, 1, 1)[1:] < np.delete(m, 1, 1)[:-1]).any(1)
+    left, right = m[np.where(before, start, i0)], m[i1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if smooth:
+            low = np.where(fell[i0][:, None], left * 0.0, left)
+            on = (at - window - t[start]) / (t[i0] - t[start])
+            left = np.where(before[:, None], low + (m[i0] - low) * on[:, None], left)
+            next_ = m[stop - 1]
+            high = np.where(fell[stop - 1][:, None], right + next_, next_)
+            on = (at - t[i1]) / (t[stop - 1] - t[i1])
+            right = np.where(after[:, None], right + (high - right) * on[:, None], right)
+        total = right - left
+        of = np.repeat(np.arange(len(start)), stop - start)
+        row = np.arange(len(m))
+        resets = row[fell[:-1] & (row > i0[of]) & (row <= i1[of])]
+        np.add.at(total, of[resets], m[resets - 1])
+        if edge == "ANCHOR":
+            cut = before & fell[i0] & valid
+            total[cut] += m[start[cut]]
+        elif not smooth:
+            span = (t[i1] - t[i0]).astype(float)
+            mean = span / (inside - 1)
+            reach = [np.where(e <= mean * 1.1, e, mean / 2) for e in (t[i0] - (at - window), at - t[i1])]
+            total = total * ((span + reach[0] + reach[1]) / span)[:, None]
+    return total, valid
+
+
+def _structs_of(total: np.ndarray, valid: np.ndarray, number: dict[str, np.ndarray], first: np.ndarray, sides: dict) -> pa.Array:
+    """Histograms from rows of a matrix, each side from its first bucket that is not empty to its last."""
+    total = np.where(valid[:, None], total, 0.0) + 0.0
+    out = {n: total[:, k] for k, n in enumerate(("count", "sum", "zero_count"))}
+    out["scale"], out["zero_threshold"] = number["scale"][first].astype("int32"), number["zero_threshold"][first]
+    for side, (*_, low, where) in sides.items():
+        c = total[:, where]
+        full = c != 0
+        some = full.any(1)
+        lo = np.where(some, full.argmax(1), 0) if c.shape[1] else np.zeros(len(c), int)
+        hi = np.where(some, c.shape[1] - full[:, ::-1].argmax(1), 0) if c.shape[1] else lo
+        place = np.arange(c.shape[1])
+        out[f"{side}_offset"] = np.where(some, low + lo, 0).astype("int32")
+        out[f"{side}_counts"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(hi - lo)], pa.int32()), pa.array(c[(place >= lo[:, None]) & (place < hi[:, None])]))
+    return pa.StructArray.from_arrays([pa.array(out[f.name]).cast(f.type) for f in _STRUCT], fields=list(_STRUCT), mask=pa.array(~valid))
+
+
+def _change_of(samples: list[dict], end: int, window: int, edge: str, is_delta: bool) -> H.Hist | None:
+    """One window's change, whatever the layouts of its histograms."""
+    by_role: dict[int, list] = {INSIDE: [], BEFORE: [], AFTER: []}
+    for x in samples:
+        by_role[x["role"]].append((x["t"], H.unpack(x["v"])))
+    inside, before, after = by_role[INSIDE], by_role[BEFORE], by_role[AFTER]
+    if edge == "EXTRAPOLATE":
+        return H.increase(inside, end, window, is_delta)
+    if not inside:
+        return None
+    return H.change(inside, before[-1] if before else None, after[0] if after else None, end, window, edge == "SMOOTH", is_delta)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.functions import patterns, walk
+from gridweave.functions import histograms as H, patterns, walk
 from gridweave.operators import compose, folds, hist, pattern, resample, series, windows
 from gridweave.plans import queries_more
 from gridweave.plans.grid import Grid, carries, contains, scan_bounds
@@ -216,6 +216,31 @@ def test_histogram_rate(spark):
     assert out and all(r["value"]["count"] == pytest.approx(12, rel=0.01) for r in out)
 
 
+@pytest.mark.parametrize("edge", ["EXTRAPOLATE", "ANCHOR", "SMOOTH"])
+@pytest.mark.parametrize("is_delta", [False, True])
+def test_windows_of_histograms_change_together_as_apart(monkeypatch, edge, is_delta):
+    """Windows of one layout, of mixed scales and without samples; in one block and in many."""
+    r = np.random.default_rng(5)
+
+    def window(scale):
+        t = [int(x) for x in sorted(r.choice(np.arange(901, 1001), r.integers(1, 5), replace=False))]
+        spots = [(880, 1)] * (edge != "EXTRAPOLATE" and r.random() < 0.6) + [(x, 0) for x in t] + [(1010, 2)] * (edge == "SMOOTH" and r.random() < 0.6)
+        made = [H.from_values([float(x) for x in r.normal(0, 5, r.integers(0, 12))], int(r.integers(-1, 3)) if scale is None else scale) for _ in spots]
+        return [{"t": x, "role": role, "v": H.pack(h)} for (x, role), h in zip(spots, made)]
+
+    samples = [window(None if i % 9 == 0 else i % 3 - 1) for i in range(120)] + ([[{"t": 880, "role": 1, "v": H.pack(H.from_values([1.0]))}]] if edge != "EXTRAPOLATE" else [])
+    a = pa.array(samples, pa.list_(pa.struct([("t", pa.int64()), ("role", pa.int32()), ("v", hist._STRUCT)])))
+    want = [hist._change_of(w, 1000, 100, edge, is_delta) for w in samples]
+    for cells in (2_000_000, 300):
+        monkeypatch.setattr(hist, "CELLS", cells)
+        got = hist.changes(a, pa.array([1000] * len(samples)), 100, edge, is_delta, 0.5).to_pylist()
+        for g, h in zip(got, want):
+            assert (g is None) == (h is None)
+            for k, x in H.pack(H.scaled(h, 0.5)).items() if h else ():
+                assert g[k] == pytest.approx(x, rel=1e-12, abs=1e-12), k
+    assert hist.changes(a[:0], pa.array([], pa.int64()), 100, edge, is_delta, 0.5).to_pylist() == []
+
+
 def test_states_finish_to_the_folds(spark):
     from gridweave.operators import states
     from pyspark.sql import types as T
